@@ -29,39 +29,35 @@ _BYTE_ORDER_MARK = "﻿"
 _NUMBER_KINDS = ("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN")
 
 
-def parse_document(line: Column) -> Column:
-    """The single JSON value of a line as a variant, null if the line is anything else.
+def _wrapped(line: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
 
-    The parser stops after the first value. Wrapped in brackets, text after it is an error
-    or a second element; only a stray ``]`` right behind an object could close the bracket
-    early, and then the same line inside an object does not parse.
+
+def _single_value(line: Column, wrapped: Column) -> Column:
+    """The one JSON value of a line, given the line parsed in brackets.
+
+    The parser stops after the first value. Inside brackets, text after it is an error or a
+    second element; only a stray ``]`` behind the value could close the bracket early, and then the same line inside an object does not parse.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
     single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    closed = ~F.regexp_like(line, F.lit(r"[}\]\"\w]\s*\]")) | F.try_parse_json(
+    closed = ~F.contains(line, F.lit("]")) | F.try_parse_json(
         F.concat(F.lit('{"line":'), line, F.lit("}"))
     ).isNotNull()
     return F.when(single & closed, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
-def _field(document: Column, column: str, wire: str) -> Column:
-    """The field as a variant: null when absent, a variant null for JSON null."""
-    value = F.try_variant_get(document, f"$.{wire}", "variant")
-    if wire == column:
-        return value
-    return F.coalesce(value, F.try_variant_get(document, f"$.{column}", "variant"))
+def with_document(rows: DataFrame, text: str) -> DataFrame:
+    """Replace a text column by ``document``: its JSON value, null if it is not exactly one."""
+    wrapped = rows.withColumn("wrapped", _wrapped(F.col(text)))
+    return wrapped.withColumn("document", _single_value(F.col(text), F.col("wrapped"))).drop("wrapped", text)
 
 
 def _text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def _is(kind: Column, *kinds: str) -> Column:
-    return F.coalesce(kind.isin(*kinds), F.lit(False))
-
-
 def _is_number(kind: Column) -> Column:
-    return _is(kind, *_NUMBER_KINDS) | F.coalesce(F.startswith(kind, F.lit("DECIMAL")), F.lit(False))
+    return kind.isin(*_NUMBER_KINDS) | F.startswith(kind, F.lit("DECIMAL"))
 
 
 def _absent(kind: Column) -> Column:
@@ -94,71 +90,93 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return (
         lines.withColumn("line", text)
         .filter(F.length("line") > 0)
-        .withColumn("document", parse_document(F.col("line")))
-        .drop("value", "line")
+        .drop("value")
+        .transform(with_document, "line")
     )
 
 
+# Both names of every field, read from the document in one go.
+_NAMES = sorted({name for pair in schema.WIRE_FIELDS for name in pair})
+_FIELDS_TYPE = f"struct<{', '.join(f'{name}: variant' for name in _NAMES)}>"
+
+
 def validate_events(parsed: DataFrame) -> DataFrame:
-    """Typed event columns and ``error`` for the output of :func:`parse_lines`."""
+    """Typed event columns and ``error`` for the output of :func:`parse_lines`.
+
+    Each stage only reads columns of the one before, so that no expression is evaluated twice.
+    """
     others = [c for c in parsed.columns if c != "document"]
     wire = dict(schema.WIRE_FIELDS)
-    found = parsed.select(
+    invalid = F.col("document").isNull().alias("invalid")
+
+    fields = parsed.select(
+        *others, invalid, F.try_variant_get("document", "$", _FIELDS_TYPE).alias("fields")
+    )
+    found = fields.select(
         *others,
-        "document",
-        *[_field(F.col("document"), column, wire[column]).alias(f"f_{column}") for column in wire],
+        "invalid",
+        *[F.coalesce(f"fields.{wire[c]}", f"fields.{c}").alias(f"f_{c}") for c in wire],
     )
-    found = found.select(
+    kinds = found.select(
         "*",
-        *[F.schema_of_variant(F.col(f"f_{c}")).alias(f"k_{c}") for c in wire if c != "metadata"],
-        is_object(F.col("f_metadata")).alias("has_metadata"),
+        *[F.schema_of_variant(f"f_{c}").alias(f"k_{c}") for c in wire if c != "metadata"],
+        is_object(F.col("f_metadata")).alias("k_metadata"),
+    )
+    typed = kinds.select(
+        *others,
+        "invalid",
+        *[f"k_{c}" for c in wire],
+        *[_typed(c, F.col(f"f_{c}"), F.col(f"k_{c}")).alias(c) for c in wire],
     )
+    broken = F.concat_ws(
+        "; ", *[_rule(c, wire[c], F.col(c), F.col(f"k_{c}")) for c in wire]
+    ).alias("broken")
+    judged = typed.select(*others, *wire, "invalid", broken)
 
-    typed: dict[str, Column] = {}
-    rules: list[Column] = []
-
-    def rule(column: str, broken: Column, message: str) -> None:
-        rules.append(F.when(broken, F.lit(f"{wire[column]}: {message}")))
-
-    for column in wire:
-        value, kind = F.col(f"f_{column}"), F.col(f"k_{column}")
-        if column == "metadata":
-            typed[column] = F.when(F.col("has_metadata"), F.to_json(value))
-            rule(column, ~F.col("has_metadata"), "an object is required")
-        elif column == "timestamp_utc":
-            typed[column] = _timestamp(value, kind)
-            rule(column, _timestamp(value, kind).isNull(), "a date-time is required")
-        elif column == "details":
-            typed[column] = F.when(kind == "STRING", _text(value))
-            rule(column, ~_is(kind, "STRING"), "text is required")
-        elif column in schema.REQUIRED_TEXT:
-            typed[column] = F.when(kind == "STRING", _text(value))
-            given = _is(kind, "STRING") & (F.length(_text(value)) > 0)
-            rule(column, ~F.coalesce(given, F.lit(False)), "text is required")
-            if column == "result":
-                rules.append(
-                    F.when(
-                        given & ~_text(value).isin(*schema.RESULTS),
-                        F.concat(F.lit("Unsupported result: "), _text(value)),
-                    )
-                )
-        elif column in schema.OPTIONAL_TEXT:
-            typed[column] = F.when(kind == "STRING", _text(value))
-            rule(column, ~(_absent(kind) | _is(kind, "STRING")), "text expected")
-        elif column in schema.OPTIONAL_NUMBER:
-            typed[column] = _number(value, kind)
-            rule(column, ~_absent(kind) & _number(value, kind).isNull(), "number expected")
-        else:
-            typed[column] = _integer(value, kind)
-            rule(column, ~_absent(kind) & _integer(value, kind).isNull(), "integer expected")
-
-    broken = F.concat_ws("; ", *rules)
     line_no = F.col("line_no").cast("string")
-    error = F.when(F.col("document").isNull(), F.concat(F.lit("Invalid JSON on line "), line_no)).when(
-        F.length(broken) > 0,
-        F.concat(F.lit("Event validation failed on line "), line_no, F.lit(": "), broken),
+    error = F.when(F.col("invalid"), F.concat(F.lit("Invalid JSON on line "), line_no)).when(
+        F.length("broken") > 0,
+        F.concat(F.lit("Event validation failed on line "), line_no, F.lit(": "), F.col("broken")),
     )
-    return found.select(*others, *[typed[c].alias(c) for c in wire], error.alias("error"))
+    return judged.select(*others, *wire, error.alias("error"))
+
+
+def _typed(column: str, value: Column, kind: Column) -> Column:
+    """The value of a field, null where it breaks the type."""
+    if column == "metadata":
+        return F.when(kind, F.to_json(value))
+    if column == "timestamp_utc":
+        return _timestamp(value, kind)
+    if column in schema.OPTIONAL_NUMBER:
+        return _number(value, kind)
+    if column in schema.OPTIONAL_INTEGER:
+        return _integer(value, kind)
+    return F.when(kind == "STRING", _text(value))
+
+
+def _rule(column: str, wire: str, typed: Column, kind: Column) -> Column:
+    """The message of a broken rule, else null."""
+
+    def broken(condition: Column, message: str) -> Column:
+        return F.when(condition, F.lit(f"{wire}: {message}"))
+
+    if column == "metadata":
+        return broken(~kind, "an object is required")
+    if column == "timestamp_utc":
+        return broken(typed.isNull(), "a date-time is required")
+    if column == "details":
+        return broken(typed.isNull(), "text is required")
+    if column == "result":
+        unsupported = F.concat(F.lit("Unsupported result: "), typed)
+        return broken(F.coalesce(typed, F.lit("")) == "", "text is required").when(
+            ~typed.isin(*schema.RESULTS), unsupported
+        )
+    if column in schema.REQUIRED_TEXT:
+        return broken(F.coalesce(typed, F.lit("")) == "", "text is required")
+    given = ~_absent(kind) & typed.isNull()
+    if column in schema.OPTIONAL_TEXT:
+        return broken(given, "text expected")
+    return broken(given, "number expected" if column in schema.OPTIONAL_NUMBER else "integer expected")
 
 
 def gate_batches(checked: DataFrame, batches: DataFrame, keys: tuple[str, ...] = BATCH_KEYS) -> DataFrame:
@@ -188,9 +206,10 @@ def envelope_events(bodies: DataFrame, body: str = "body") -> DataFrame:
     verdict in :func:`gate_batches` is that of an empty batch.
     """
     others = [c for c in bodies.columns if c != body]
-    events = F.try_variant_get(parse_document(F.col(body)), "$.events", "array<variant>")
+    events = F.try_variant_get("document", "$.events", "array<variant>")
     return (
-        bodies.select(*others, events.alias("events"))
+        with_document(bodies, body)
+        .select(*others, events.alias("events"))
         .select(*others, F.posexplode("events").alias("position", "document"))
         .select(*others, (F.col("position") + 1).cast("long").alias("line_no"), "document")
     )
