@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import board_queries, import_queries, probe_queries  # noqa: F401
+from checks import board_queries, config_queries, import_queries, probe_queries  # noqa: F401
 from checks.registry import ORACLES, QUERIES, Query
 from linkscope.session import configure
 

@@ -68,7 +68,9 @@ def _internet_test(test: Column) -> Column:
 
 def configured_targets(configs: DataFrame) -> DataFrame:
     """Internal targets as configured, with what a promotion to an internet target needs."""
-    ids = F.transform("config.targets", lambda t, i: F.struct(t["id"].alias("id"), i.alias("at")))
+    ids = F.transform(
+        "config.targets", lambda t, i: F.named_struct(F.lit("id"), t["id"], F.lit("at"), i)
+    )
     # Only such ids can collide with the id of a promoted target.
     similar = F.filter(ids, lambda t: F.contains(t["id"], F.lit("-internet")))
     item = F.col("item")

@@ -72,9 +72,20 @@ def text_list(value: Column) -> Column:
     return F.coalesce(listed, F.when(single.isNotNull(), F.array(single)))
 
 
-def read_configs(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """Documents below a folder as ``config_id`` (the file) and ``document`` (its text)."""
+def read_configs(
+    spark: SparkSession, path: str, pattern: str = "*.json", per_line: bool = False
+) -> DataFrame:
+    """Documents below a folder as ``config_id`` and ``document`` (its text).
+
+    Usually a file is a document, and its path the id. For large fleets, ``per_line`` reads
+    exports with one document per line; the id is then a digest, and a repeated document
+    counts once.
+    """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    if per_line:
+        lines = files.text(path).filter(F.regexp_like("value", F.lit(r"\S")))
+        documents = lines.select(F.sha2("value", 256).alias("config_id"), F.col("value").alias("document"))
+        return documents.dropDuplicates(["config_id"])
     return files.option("wholetext", "true").text(path).select(
         F.col("_metadata.file_path").alias("config_id"), F.col("value").alias("document")
     )
