@@ -103,7 +103,7 @@ def event_source(spark: SparkSession, sf_dir: str) -> batches.ContentSource:
 
 
 LINES_SQL = f"""numbered AS (
-  SELECT t.*, {DEFECT} AS c, concat('event-', CAST(event_id AS VARCHAR)) AS source_identifier, 2 * seq + 1 AS line_no
+  SELECT t.*, {DEFECT} AS c, concat('event-', CAST(event_id AS VARCHAR)) AS source_identifier, CAST(2 * seq + 1 AS BIGINT) AS line_no
   FROM tel t JOIN (SELECT event_id, k FROM named) USING (event_id)
 ), judged AS (
   SELECT *, CASE c WHEN 1 THEN concat('Invalid JSON on line ', CAST(line_no AS VARCHAR)) WHEN 2 THEN concat('Invalid JSON on line ', CAST(line_no AS VARCHAR))

@@ -68,7 +68,7 @@ def trace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HOPS_SQL = f"""hops AS (
-  SELECT event_id AS run_id, i AS line_no, i AS hop_index, k, a, CASE WHEN NOT (i = 3 AND k % 2 = 0) THEN concat('10.', CAST(k % 3 AS VARCHAR), '.0.', CAST(i AS VARCHAR)) END AS hop_address,
+  SELECT event_id AS run_id, CAST(i AS INT) AS line_no, CAST(i AS INT) AS hop_index, k, a, CASE WHEN NOT (i = 3 AND k % 2 = 0) THEN concat('10.', CAST(k % 3 AS VARCHAR), '.0.', CAST(i AS VARCHAR)) END AS hop_address,
          CASE WHEN i = 1 THEN concat('gw-', CAST(a AS VARCHAR), '.example.net') END AS hop_name,
          CASE WHEN i = 3 AND k % 2 = 0 THEN NULL WHEN i = 4 THEN 1.0 ELSE k + 0.25 END::DOUBLE AS hop_latency_ms
   FROM named CROSS JOIN range(1, 6) AS r(i) WHERE i <= {LAST_HOP}

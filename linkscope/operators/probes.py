@@ -154,30 +154,86 @@ def trace_outcome(runs: DataFrame, hashes: DataFrame, timeout_seconds: int = TRA
     return (
         runs.join(hashes, "run_id", "left")
         .withColumn("outcome", outcome)
-        .select(*RUN_COLUMNS, "hop_count", "path_hash", "outcome.*")
+        .select(*RUN_COLUMNS, *[c for c in hashes.columns if c != "run_id"], "outcome.*")
+    )
+
+
+def _hop_sets(hops: DataFrame) -> DataFrame:
+    """All hops of a run as one array in line order, with its path hash.
+
+    A run is the output of one command, so its array is short.
+    """
+    fields = ("line_no", "hop_index", "hop_address", "hop_name", "hop_latency_ms", "details")
+    steps = F.transform(
+        "hops",
+        lambda h: F.concat(h["hop_index"].cast("string"), F.lit(":"), F.coalesce(h["hop_address"], F.lit(""))),
+    )
+    return (
+        hops.groupBy("run_id")
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("hops"))
+        .select(
+            "run_id",
+            "hops",
+            F.size("hops").cast("long").alias("hop_count"),
+            F.substring(F.sha2(F.array_join(steps, "|"), 256), 1, 16).alias("path_hash"),
+        )
     )
 
 
 def trace_events(runs: DataFrame, lines: DataFrame, timeout_seconds: int = TRACEROUTE_TIMEOUT) -> DataFrame:
-    """Hop events and a summary per good run, one failure event per other run."""
-    hops = trace_hops(lines)
-    outcomes = trace_outcome(runs, trace_path_hashes(hops), timeout_seconds)
+    """Hop events and a summary per good run, one failure event per other run.
+
+    Lines are parsed once and shuffled once, by run.
+    """
+    sets = _hop_sets(trace_hops(lines))
     good = F.col("result") == "SUCCESS"
+
+    def event(probe_name, result, code, details, metadata, hop=None) -> Column:
+        return F.struct(
+            probe_name.alias("probe_name"),
+            result.alias("result"),
+            code.alias("error_code"),
+            details.alias("details"),
+            metadata.alias("metadata"),
+            *[
+                (hop[name] if hop is not None else F.lit(None).cast(kind)).alias(name)
+                for name, kind in (
+                    ("hop_index", "int"),
+                    ("hop_address", "string"),
+                    ("hop_name", "string"),
+                    ("hop_latency_ms", "double"),
+                )
+            ],
+        )
+
     summary_metadata = F.to_json(
         F.struct(F.lit("summary").alias("role"), F.col("hop_count").alias("hopCount"))
     )
-    summaries = outcomes.withColumns(
-        {
-            "probe_name": F.when(good, "Traceroute.Summary").otherwise("Traceroute.Path"),
-            "path_hash": F.when(good, F.col("path_hash")),
-            "metadata": F.when(good, summary_metadata).otherwise("{}"),
-        }
+    summary = event(
+        F.when(good, "Traceroute.Summary").otherwise("Traceroute.Path"),
+        F.col("result"),
+        F.col("error_code"),
+        F.col("details"),
+        F.when(good, summary_metadata).otherwise("{}"),
+    )
+    hop_events = F.transform(
+        "hops",
+        lambda hop: event(
+            F.lit("Traceroute.Path"),
+            F.lit("INFO"),
+            F.lit(None).cast("string"),
+            hop["details"],
+            F.lit('{"role":"hop"}'),
+            hop,
+        ),
     )
-    paths = outcomes.filter(good).select(*RUN_COLUMNS, "path_hash").join(hops, "run_id")
-    paths = paths.withColumns({"result": F.lit("INFO"), "metadata": F.lit('{"role":"hop"}')})
-    return to_events(paths, "traceroute", "Traceroute.Path").unionByName(
-        to_events(summaries, "traceroute", "Traceroute.Path")
+    outcomes = trace_outcome(runs, sets, timeout_seconds)
+    rows = outcomes.select(
+        *RUN_COLUMNS,
+        F.when(good, F.col("path_hash")).alias("path_hash"),
+        F.explode(F.when(good, F.concat(F.array(summary), hop_events)).otherwise(F.array(summary))).alias("event"),
     )
+    return to_events(rows.select(*RUN_COLUMNS, "path_hash", "event.*"), "traceroute", "Traceroute.Path")
 
 
 # -- ping --------------------------------------------------------------------

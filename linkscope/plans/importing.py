@@ -52,12 +52,14 @@ def commit_batches(
 ) -> DataFrame:
     """Write the events of good batches, then their ledger rows; return all verdicts.
 
-    The verdicts are written to the shared folder, so they are computed once and survive a
-    lost executor. They are small: one row per pending batch.
+    The checked lines are staged in the shared folder, so that text is read and parsed once:
+    the verdicts then need three of the staged columns, and the events come from columnar files.
     """
-    folder = shared_folder(spark, f"verdicts-{run_id}")
-    validate.gate_batches(checked, pending).write.parquet(folder)
-    verdicts = spark.read.parquet(folder)
+    folder = shared_folder(spark, f"import-{run_id}")
+    checked.write.parquet(f"{folder}/checked")
+    checked = spark.read.parquet(f"{folder}/checked")
+    validate.gate_batches(checked, pending).write.parquet(f"{folder}/verdicts")
+    verdicts = spark.read.parquet(f"{folder}/verdicts")
     good = verdicts.filter(F.col("error").isNull())
     if not good.isEmpty():
         events = sink.with_lineage(validate.accepted_events(checked, verdicts))

@@ -18,6 +18,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkscope.session import shared_folder
+
 BATCH_KEYS = ("source_type", "source_identifier", "fingerprint")
 LINE_COLUMNS = (*BATCH_KEYS, "line_no", "value")
 
@@ -203,6 +205,10 @@ class FileSource:
         )
         rows, blocks = number_lines(text)
         blocks = blocks.join(pending.select("file_path", *BATCH_KEYS), "file_path")
+        # Written, its size is known: Spark then broadcasts it, or shuffles if it is large.
+        folder = shared_folder(spark, "blocks")
+        blocks.write.parquet(folder)
+        blocks = spark.read.parquet(folder)
         return rows.join(blocks, ["file_path", "block_start"]).select(
             *BATCH_KEYS, line_number().alias("line_no"), "value"
         )

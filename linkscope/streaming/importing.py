@@ -104,7 +104,7 @@ def import_file_lines(spark: SparkSession, lake: Lake, source: batches.FileSourc
     ).write.parquet(folder)
     blocks = spark.read.parquet(folder)
     listing = blocks.select(*batches.BATCH_KEYS).distinct()
-    pending = new_batches(listing, lake.ledger(spark))
+    pending = new_batches(listing, lake.ledger(spark)).distinct()
     wanted = blocks.join(pending, importing.KEYS, "left_semi")
     numbered = rows.join(wanted.drop("fingerprint"), ["file_path", "block_start"]).select(
         *batches.BATCH_KEYS, batches.line_number().alias("line_no"), "value"
