@@ -86,7 +86,7 @@ def read_configs(
         lines = files.text(path).filter(F.regexp_like("value", F.lit(r"\S")))
         documents = lines.select(F.sha2("value", 256).alias("config_id"), F.col("value").alias("document"))
         return documents.dropDuplicates(["config_id"])
-    return files.option("wholetext", "true").text(path).select(
+    return files.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("config_id"), F.col("value").alias("document")
     )
 

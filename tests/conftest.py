@@ -15,11 +15,20 @@ from linkscope import schema  # noqa: E402
 
 NOON = datetime(2026, 4, 9, 12)
 
+# The frames here have a few rows: interpreting an expression is faster than compiling it.
+# The catalog test runs every registered query with the usual settings.
+TINY_DATA = {
+    "spark.sql.shuffle.partitions": "3",
+    "spark.sql.codegen.wholeStage": "false",
+    "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+}
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(8)
-    session.conf.set("spark.sql.shuffle.partitions", "8")
+    for key, value in TINY_DATA.items():
+        session.conf.set(key, value)
     yield session
     session.stop()
 
