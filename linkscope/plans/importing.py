@@ -75,20 +75,21 @@ def run_record(
 ) -> DataFrame:
     """The one-row log entry of an import run.
 
-    ``listing`` has one row per discovered batch, ``verdicts`` one per batch not skipped.
+    ``listing`` has one row per discovered batch, ``verdicts`` one per batch not skipped. Both
+    go through a single aggregation.
     """
-    seen = listing.agg(
-        F.count(F.lit(1)).alias("discovered"),
-        F.max("source_identifier").alias("last_source_identifier"),
-    )
-    failed = F.col("error").isNotNull()
-    outcome = verdicts.agg(
-        F.count_if(~failed).alias("imported"),
+    order = F.struct("source_identifier", "fingerprint")
+    seen = listing.select("source_identifier", "fingerprint", F.lit(None).cast("string").alias("error"), F.lit(False).alias("tried"))
+    tried = verdicts.select("source_identifier", "fingerprint", "error", F.lit(True).alias("tried"))
+    is_tried, failed = F.col("tried"), F.col("error").isNotNull()
+    totals = seen.unionByName(tried).agg(
+        F.count_if(~is_tried).alias("discovered"),
+        F.count_if(is_tried & ~failed).alias("imported"),
         F.count_if(failed).alias("failed"),
-        F.max_by("error", F.when(failed, F.struct("source_identifier", "fingerprint"))).alias("last_error"),
+        F.max_by("error", F.when(failed, order)).alias("last_error"),
+        F.max("source_identifier").alias("last_source_identifier"),
     )
-    # Both sides are global aggregates: one row each.
-    return seen.join(outcome, F.lit(True)).select(
+    return totals.select(
         F.lit(run_id).alias("run_id"),
         F.lit(source_type).alias("source_type"),
         _utc_literal(at).alias("run_utc"),
