@@ -53,7 +53,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configs.with_defaults(configs.parse_configs(documents(spark, sf_dir)))
+    return configs.stored_configs(
+        spark, configs.with_defaults(configs.parse_configs(documents(spark, sf_dir)))
+    )
 
 
 # -- the same in SQL ---------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkscope.session import shared_folder
+
 # A list of texts may be written as a single text, so such fields are read as variants.
 _LIST = "variant"
 _TARGET = f"""id: string, fqdn: string, address: string, tests: {_LIST}, dnsServers: {_LIST}, roles: {_LIST}, tags: {_LIST},
@@ -130,3 +132,14 @@ def with_defaults(configs: DataFrame) -> DataFrame:
             ),
         ),
     )
+
+
+def stored_configs(spark: SparkSession, configs: DataFrame) -> DataFrame:
+    """The same documents, written once to the shared folder.
+
+    Every inventory table explodes its own lists. From columnar files each reads just those,
+    instead of parsing all documents again.
+    """
+    folder = shared_folder(spark, "configs")
+    configs.write.parquet(folder)
+    return spark.read.parquet(folder)
