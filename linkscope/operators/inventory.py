@@ -317,8 +317,10 @@ def _broken(rows: DataFrame, section: int, checks: list[Column], *order: str) ->
     """One row per broken check, with its place in the document."""
     place = [F.col(name).cast("int") for name in order] + [F.lit(0)] * (2 - len(order))
     listed = F.array(*[F.struct(F.lit(n).alias("check"), check.alias("broken")) for n, check in enumerate(checks)])
-    found = F.explode(F.filter(listed, lambda item: item["broken"].isNotNull())).alias("found")
-    return rows.select("config_id", *[p.alias(f"place_{n}") for n, p in enumerate(place)], found).select(
+    # The outer form: an inner explode adds a filter that evaluates every rule a second time.
+    found = F.explode_outer(F.filter(listed, lambda item: item["broken"].isNotNull())).alias("found")
+    places = [p.alias(f"place_{n}") for n, p in enumerate(place)]
+    return rows.select("config_id", *places, found).filter(F.col("found").isNotNull()).select(
         "config_id",
         F.struct(
             F.lit(section).alias("section"), "place_0", "place_1", F.col("found.check").alias("check")

@@ -231,7 +231,10 @@ def trace_events(runs: DataFrame, lines: DataFrame, timeout_seconds: int = TRACE
     rows = outcomes.select(
         *RUN_COLUMNS,
         F.when(good, F.col("path_hash")).alias("path_hash"),
-        F.explode(F.when(good, F.concat(F.array(summary), hop_events)).otherwise(F.array(summary))).alias("event"),
+        # Never empty; the outer form spares a filter that would build the array twice.
+        F.explode_outer(
+            F.when(good, F.concat(F.array(summary), hop_events)).otherwise(F.array(summary))
+        ).alias("event"),
     )
     return to_events(rows.select(*RUN_COLUMNS, "path_hash", "event.*"), "traceroute", "Traceroute.Path")
 

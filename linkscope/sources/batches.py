@@ -66,7 +66,8 @@ def stat_fingerprint(length: Column, modified: Column) -> Column:
 def split_lines(batches: DataFrame, content: str = "content") -> DataFrame:
     """Lines of whole batch texts, numbered from 1; blank lines keep their number."""
     keys = [c for c in batches.columns if c != content]
-    split = F.posexplode(F.split(F.col(content), "\r\n|\n|\r")).alias("position", "value")
+    # The outer form: an inner explode adds a filter that splits the text a second time.
+    split = F.posexplode_outer(F.split(F.col(content), "\r\n|\n|\r")).alias("position", "value")
     return batches.select(*keys, split).select(
         *keys, (F.col("position") + 1).cast("long").alias("line_no"), "value"
     )

@@ -210,7 +210,8 @@ def envelope_events(bodies: DataFrame, body: str = "body") -> DataFrame:
     return (
         with_document(bodies, body)
         .select(*others, events.alias("events"))
-        .select(*others, F.posexplode("events").alias("position", "document"))
+        .select(*others, F.posexplode_outer("events").alias("position", "document"))
+        .filter(F.col("position").isNotNull())
         .select(*others, (F.col("position") + 1).cast("long").alias("line_no"), "document")
     )
 
