@@ -37,7 +37,7 @@ RUN_COLUMNS = ("run_id", "agent_id", "site_id", "target_id", "fqdn", "target_add
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b\u00a0"))
 
 
 def _outcome(result: str, code: str | Column | None, details: str | Column) -> Column:

@@ -26,9 +26,6 @@ _INTEGER = r"^[+-]?\d+(\.0*)?$"
 _STRIPPED = " \t\n\r\f\x0b"
 _BYTE_ORDER_MARK = "﻿"
 
-_NUMBER_KINDS = ("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN")
-
-
 def _wrapped(line: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
 
@@ -56,26 +53,19 @@ def _text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def _is_number(kind: Column) -> Column:
-    return kind.isin(*_NUMBER_KINDS) | F.startswith(kind, F.lit("DECIMAL"))
-
-
 def _absent(kind: Column) -> Column:
     return kind.isNull() | (kind == "VOID")
 
 
-def _number(value: Column, kind: Column) -> Column:
+def _number(value: Column, kind: Column, pattern: str = _NUMBER) -> Column:
+    """A number, a boolean, or a text that reads as a number."""
     text = F.btrim(_text(value), F.lit(_STRIPPED))
-    return F.when(_is_number(kind), F.try_variant_get(value, "$", "double")).when(
-        (kind == "STRING") & F.regexp_like(text, F.lit(_NUMBER)), text.try_cast("double")
-    )
+    fits = (kind != "STRING") | F.regexp_like(text, F.lit(pattern))
+    return F.when(fits, F.try_variant_get(value, "$", "double"))
 
 
-def _integer(value: Column, kind: Column) -> Column:
-    text = F.btrim(_text(value), F.lit(_STRIPPED))
-    number = F.when(_is_number(kind), F.try_variant_get(value, "$", "double")).when(
-        (kind == "STRING") & F.regexp_like(text, F.lit(_INTEGER)), text.try_cast("double")
-    )
+def _whole(number: Column) -> Column:
+    """A number without fraction as an integer; null if it has one or is too large."""
     return F.when(number == F.floor(number), number.try_cast("int"))
 
 
@@ -128,6 +118,7 @@ def validate_events(parsed: DataFrame) -> DataFrame:
         *[f"k_{c}" for c in wire],
         *[_typed(c, F.col(f"f_{c}"), F.col(f"k_{c}")).alias(c) for c in wire],
     )
+    typed = typed.withColumns({c: _whole(F.col(c)) for c in schema.OPTIONAL_INTEGER})
     broken = F.concat_ws(
         "; ", *[_rule(c, wire[c], F.col(c), F.col(f"k_{c}")) for c in wire]
     ).alias("broken")
@@ -150,7 +141,7 @@ def _typed(column: str, value: Column, kind: Column) -> Column:
     if column in schema.OPTIONAL_NUMBER:
         return _number(value, kind)
     if column in schema.OPTIONAL_INTEGER:
-        return _integer(value, kind)
+        return _number(value, kind, _INTEGER)
     return F.when(kind == "STRING", _text(value))
 
 
