@@ -342,21 +342,6 @@ def _probe_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _certificate_probe(target: dict) -> list[dict]:
-    """Per target: nothing, an error, one default event, or two events of its own."""
-    case = int(target["target_id"][2:]) % 4
-    if case == 0:
-        return []
-    if case == 1:
-        raise ValueError(f"no route to {target['target_address']}")
-    if case == 2:
-        return [{"latency_ms": float("nan"), "hop_index": -1, "error_code": "  "}]
-    return [
-        {"result": "SUCCESS", "details": "ok", "latency_ms": 1.5, "test_type": "tls", "metadata": '{"extensionId":"own"}'},
-        {"result": "FAILURE", "details": "old", "error_code": "Expired", "metadata": '{"days":3}'},
-    ]
-
-
 _PROBE_COLUMNS = T.StructType(
     [
         T.StructField("result", T.StringType()),
@@ -385,8 +370,23 @@ _PROBE_COLUMNS = T.StructType(
     ),
 )
 def ext_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A local function travels to the workers with the task; they need not import this module.
+    def certificate_probe(target: dict) -> list[dict]:
+        """Per target: nothing, an error, one default event, or two events of its own."""
+        case = int(target["target_id"][2:]) % 4
+        if case == 0:
+            return []
+        if case == 1:
+            raise ValueError(f"no route to {target['target_address']}")
+        if case == 2:
+            return [{"latency_ms": float("nan"), "hop_index": -1, "error_code": "  "}]
+        return [
+            {"result": "SUCCESS", "details": "ok", "latency_ms": 1.5, "test_type": "tls", "metadata": '{"extensionId":"own"}'},
+            {"result": "FAILURE", "details": "old", "error_code": "Expired", "metadata": '{"days":3}'},
+        ]
+
     extension = extensions.register_probe(
-        "certificate", extensions.python_probe(_certificate_probe, _PROBE_COLUMNS), entry_point="check"
+        "certificate", extensions.python_probe(certificate_probe, _PROBE_COLUMNS), entry_point="check"
     )
     events = extensions.run_probe(_probe_targets(spark, sf_dir), extension)
     return events.select(
