@@ -30,16 +30,28 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# One temporary folder per local application that names no folder of its own.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name that every executor can reach.
 
-    The parent is the cluster's ``spark.checkpoint.dir``. Only a session without that
-    setting (a local test) gets a temporary folder.
+    The parent is the cluster's ``spark.checkpoint.dir``. Without that setting a local session
+    gets a temporary folder; a cluster session raises, as its executors share no local disk.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="linkscope-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="linkscope-")
+        base = _LOCAL_FOLDERS[context.applicationId]
     return f"{base.rstrip('/')}/linkscope/{label}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, wherever it lives."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
