@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from linkscope.llm.staging import staged
 
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 10_000
+SEED = 17
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
@@ -54,16 +55,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
     )
 
 
+def document_key(seed: int = SEED) -> Column:
+    """The hash that orders documents within their source; not negative."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 2)
+
+
 def mix(
     docs: DataFrame,
     size: Column,
     weights: Sequence[float] = (5, 2, 1),
     cap: float = 3.0,
-    seed: int = 17,
+    seed: int = SEED,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Decide how much of every document a mix takes: doc_id, source, size, source_size, target,
-    taken, copies; one row per row of ``docs`` (doc_id, text, source and any other column).
+    taken, copies, epochs, key; one row per row of ``docs`` (doc_id, text, source and any other column).
 
     ``taken`` is in units of ``size``: each source's sum is its target rounded to a whole number,
     so the document at the cut counts with its part; ``copies`` counts that document whole. A target
@@ -78,7 +84,7 @@ def mix(
             "doc_id",
             "source",
             size.alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 2).alias("key"),
+            document_key(seed).alias("key"),
             F.coalesce("source", F.lit("")).alias("source_name"),
             F.col("source").isNull().alias("no_source"),
         ),
@@ -128,6 +134,32 @@ def mix(
                 + F.greatest(F.lit(0), F.least(F.col("rest") - F.col("start"), F.col("size")))
             ).cast("long").alias("taken"),
             (F.col("epochs") + (F.col("start") < F.col("rest")).cast("long")).alias("copies"),
+            "epochs",
             "key",
         )
     )
+
+
+def sample(docs: DataFrame, size: Column, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, the one at a source's cut whole.
+
+    A source's decision is its number of epochs and the last key of the part that follows, so one small
+    row for each source is all that documents are joined with, and texts are not shuffled while that
+    table is small enough for Spark to send around.
+    """
+    decided = mix(docs, size, weights, cap)
+    cuts = staged(
+        decided.groupBy("source").agg(
+            F.first("epochs").alias("mix_epochs"),
+            F.max(F.when(F.col("copies") > F.col("epochs"), F.col("key"))).alias("mix_last"),
+        ),
+        "mix-cuts",
+    ).withColumnRenamed("source", "mix_source")
+    more = F.coalesce((document_key() <= F.col("mix_last")).cast("long"), F.lit(0))
+    return (
+        docs.join(cuts, docs["source"].eqNullSafe(cuts["mix_source"]))
+        .withColumn("mix_copies", F.col("mix_epochs") + more)
+        .where("mix_copies > 0")
+        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+        .select([docs[name] for name in docs.columns])
+    )

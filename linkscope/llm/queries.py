@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkscope.llm import bpe, chat, mixing, sharding, token_files, urls
+from linkscope.llm import bpe, chat, jaccard, mixing, neighbours, sharding, staging, token_files, topk, toxicity, urls
 from linkscope.llm.words import word_count
 from linkscope.session import configure, shared_folder
 
@@ -86,6 +86,35 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = staging.staged(topk.quantized(table(spark, sf_dir, "embeddings"), 1024), "topk-vectors")
+    return topk.top_k(vectors, vectors.where("id % 100 = 0"))
+
+
+@query()
+def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = staging.staged(neighbours.usable_vectors(table(spark, sf_dir, "embeddings")), "lsh-vectors")
+    return neighbours.nearest(vectors, vectors.where("id % 100 = 0"))
+
+
+@query()
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query()
+def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 URL_SQL = r"""
 WITH parts AS (
     SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
@@ -142,7 +171,9 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
