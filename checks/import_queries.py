@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.board_queries import CHANGES_SQL, INCIDENT_COLUMNS, PATHS_SQL, SITE_STATE_SQL, with_targets
+from checks.board_queries import AGENTS_SQL, BAD, CHANGES_SQL, INCIDENT_COLUMNS, LATE, PATHS_SQL, ROUTED_SQL, SUMMARY_SQL, with_targets
 from checks.fixtures import AS_OF, named, tel, with_base, with_tel
 from checks.registry import query
 from linkscope import schema
@@ -506,45 +506,54 @@ def ext_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sink_snapshot",
     with_targets(
-        f""", {PATHS_SQL}, {CHANGES_SQL}, {SITE_STATE_SQL}, {RUNS_SQL}
-  SELECT 'summary' AS frame, 1::BIGINT AS row_count, max(timestamp_utc) AS newest FROM tel
-  UNION ALL SELECT 'agents', count(DISTINCT agent_id), max(last_timestamp_utc) FROM targets
-  UNION ALL SELECT 'sites', count(DISTINCT site_id), max(timestamp_utc) FROM site_state
-  UNION ALL SELECT 'targets', count(*), max(last_timestamp_utc) FROM targets
-  UNION ALL SELECT 'paths', count(*), max(last_seen_utc) FROM paths
-  UNION ALL SELECT 'path_changes', least(count(*), 25), max(timestamp_utc) FROM changes
-  UNION ALL SELECT 'incidents', least(count(*), 25), max(timestamp_utc) FROM (SELECT {INCIDENT_COLUMNS} FROM tel WHERE result NOT IN ('SUCCESS', 'INFO'))
-  UNION ALL SELECT 'import_sources', count(DISTINCT source_type), max(run_utc) FROM runs
-  UNION ALL SELECT 'import_status', 1, max(run_utc) FROM runs"""
+        f""", {ROUTED_SQL}, {PATHS_SQL}, {CHANGES_SQL}, {RUNS_SQL}, week AS ({SUMMARY_SQL} WHERE ts >= TIMESTAMP '2024-01-24 00:00:00')
+  SELECT 'summary' AS frame, 'all' AS item, concat_ws('|', total_events, total_agents, total_targets, active_sites, failure_events, timeout_events) AS content,
+    latest_timestamp_utc AS newest FROM week
+  UNION ALL SELECT 'agents', agent_id, concat_ws('|', site_id, total_targets, healthy_targets, failing_targets, timeout_targets), last_timestamp_utc FROM ({AGENTS_SQL})
+  UNION ALL SELECT 'sites', concat('site-', a % 5), concat_ws('|', count(DISTINCT a), count(*), count_if({BAD} OR {LATE})), max(ts) FROM newest GROUP BY a % 5
+  UNION ALL SELECT 'targets', target_key, concat_ws('|', target_kind, site_id, last_test_type, latest_result), last_timestamp_utc FROM targets
+  UNION ALL SELECT 'paths', target_key, concat_ws('|', path_hash, path_preview, hop_count), last_seen_utc FROM paths
+  UNION ALL SELECT * FROM (SELECT 'path_changes', target_key, concat_ws('|', previous_path_hash, path_hash, path_preview), timestamp_utc FROM changes
+    ORDER BY timestamp_utc DESC, target_key, path_hash LIMIT 25)
+  UNION ALL SELECT * FROM (SELECT 'incidents', concat(agent_id, '::', target_id), concat_ws('|', test_type, outcome, concat('event ', event_id)), ts FROM named
+    WHERE outcome <> 'SUCCESS' ORDER BY ts DESC, event_id DESC LIMIT 25)
+  UNION ALL SELECT 'import_sources', source_type, concat_ws('|', sum(discovered), sum(imported), sum(skipped), sum(failed)), max(run_utc) FROM runs GROUP BY source_type
+  UNION ALL SELECT 'import_status', 'hybrid', concat_ws('|', sum(discovered), sum(imported), sum(skipped), sum(failed)), max(run_utc) FROM runs"""
     ),
 )
 def sink_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All snapshot tables, written and read back: their sizes and newest times."""
+    """The rows of all snapshot tables, written and read back."""
     frames = snapshot.board_snapshot(
         spark, tel(spark, sf_dir), _runs(spark, sf_dir), AS_OF, 7 * 1440, "hybrid"
     )
     folder = shared_folder(spark, "board")
     snapshot.write_snapshot(frames, folder)
-    newest = {
-        "summary": "latest_timestamp_utc",
-        "agents": "last_timestamp_utc",
-        "sites": "last_timestamp_utc",
-        "targets": "last_timestamp_utc",
-        "paths": "last_seen_utc",
-        "path_changes": "timestamp_utc",
-        "incidents": "timestamp_utc",
-        "import_sources": "last_run_utc",
-        "import_status": "last_run_utc",
+    totals = ("cumulative_discovered", "cumulative_imported", "cumulative_skipped", "cumulative_failed")
+    counted = ("total_events", "total_agents", "total_targets", "active_sites", "failure_events", "timeout_events")
+    shown = {
+        "summary": (F.lit("all"), counted, "latest_timestamp_utc"),
+        "agents": (
+            "agent_id",
+            ("site_id", "total_targets", "healthy_targets", "failing_targets", "timeout_targets"),
+            "last_timestamp_utc",
+        ),
+        "sites": ("site_id", ("agent_count", "target_count", "failing_targets"), "last_timestamp_utc"),
+        "targets": ("target_key", ("target_kind", "site_id", "last_test_type", "latest_result"), "last_timestamp_utc"),
+        "paths": ("target_key", ("path_hash", "path_preview", "hop_count"), "last_seen_utc"),
+        "path_changes": ("target_key", ("previous_path_hash", "path_hash", "path_preview"), "timestamp_utc"),
+        "incidents": ("target_key", ("test_type", "result", "details"), "timestamp_utc"),
+        "import_sources": ("source_type", totals, "last_run_utc"),
+        "import_status": ("mode", totals, "last_run_utc"),
     }
-    parts = [
-        spark.read.parquet(f"{folder}/{name}").agg(
-            F.lit(name).alias("frame"), F.count(F.lit(1)).alias("row_count"), F.max(column).alias("newest")
+    stacked = None
+    for name, (item, content, newest) in shown.items():
+        part = spark.read.parquet(f"{folder}/{name}").select(
+            F.lit(name).alias("frame"),
+            (F.col(item) if isinstance(item, str) else item).alias("item"),
+            F.concat_ws("|", *[F.col(column).cast("string") for column in content]).alias("content"),
+            F.col(newest).alias("newest"),
         )
-        for name, column in newest.items()
-    ]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
+        stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
 
 
@@ -588,7 +597,7 @@ def run_stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-@query("stream_path_changes", with_tel(f", {CHANGES_SQL} SELECT * FROM changes"))
+@query("stream_path_changes", with_tel(f", {ROUTED_SQL}, {CHANGES_SQL} SELECT * FROM changes"))
 def run_stream_path_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "changes")
     stream_state.start_path_changes(

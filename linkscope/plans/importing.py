@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscope import schema
-from linkscope.session import shared_folder
+from linkscope.session import scratch, shared_folder
 from linkscope.sinks import lake as sink
 from linkscope.sources import validate
 from linkscope.sources.batches import BATCH_KEYS, BatchSource
@@ -47,19 +47,21 @@ def check_lines(lines: DataFrame) -> DataFrame:
     return validate.validate_events(validate.parse_lines(lines))
 
 
-def commit_batches(
-    spark: SparkSession, lake: Lake, checked: DataFrame, pending: DataFrame, run_id: str, at: datetime
-) -> DataFrame:
-    """Write the events of good batches, then their ledger rows; return all verdicts.
+def judge_batches(spark: SparkSession, checked: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The checked lines, stored, and one verdict per batch.
 
-    The checked lines are staged in the shared folder, so that text is read and parsed once:
-    the verdicts then need three of the staged columns, and the events come from columnar files.
+    Text is read and parsed once: the verdicts need three of the stored columns, and the events
+    come from columnar files.
     """
-    folder = shared_folder(spark, f"import-{run_id}")
-    checked.write.parquet(f"{folder}/checked")
-    checked = spark.read.parquet(f"{folder}/checked")
+    folder = shared_folder(spark, "checked")
+    checked.write.parquet(f"{folder}/lines")
+    checked = spark.read.parquet(f"{folder}/lines")
     validate.gate_batches(checked, pending).write.parquet(f"{folder}/verdicts")
-    verdicts = spark.read.parquet(f"{folder}/verdicts")
+    return checked, spark.read.parquet(f"{folder}/verdicts")
+
+
+def store_batches(lake: Lake, checked: DataFrame, verdicts: DataFrame, run_id: str, at: datetime) -> None:
+    """Write the events of good batches, then their ledger rows."""
     good = verdicts.filter(F.col("error").isNull())
     if not good.isEmpty():
         events = sink.with_lineage(validate.accepted_events(checked, verdicts))
@@ -67,6 +69,14 @@ def commit_batches(
         sink.append_ledger(
             lake, good.withColumns({"imported_utc": _utc_literal(at), "run_id": F.lit(run_id)})
         )
+
+
+def commit_batches(
+    spark: SparkSession, lake: Lake, checked: DataFrame, pending: DataFrame, run_id: str, at: datetime
+) -> DataFrame:
+    """Judge batches and store the good ones; return all verdicts."""
+    checked, verdicts = judge_batches(spark, checked, pending)
+    store_batches(lake, checked, verdicts, run_id, at)
     return verdicts
 
 
@@ -104,11 +114,11 @@ def run_record(
     )
 
 
-def failed_listing_record(
-    spark: SparkSession, source_type: str, run_id: str, at: datetime, error: str
+def failed_run_record(
+    spark: SparkSession, source_type: str, run_id: str, at: datetime, error: str, discovered: int = 0, failed: int = 1
 ) -> DataFrame:
-    """The log entry of a source that could not be listed."""
-    row = (run_id, source_type, at, 0, 0, 0, 1, 1, error, None, None)
+    """The log entry of a run that could not be finished."""
+    row = (run_id, source_type, at, discovered, 0, max(0, discovered - failed), failed, failed, error, None, None)
     return spark.createDataFrame([row], schema.IMPORT_RUN_SCHEMA)
 
 
@@ -118,26 +128,30 @@ def import_source(
     """Import what is new in one source, and log the run.
 
     A batch is imported whole or not at all. A failed batch stays out of the ledger, so every
-    later run tries it again and counts it again.
+    later run tries it again and counts it again. A source that cannot be listed or read is an
+    outcome as well: it is logged, all its new batches count as failed, and nothing of it is committed.
     """
     at = as_of or utc_now()
     run_id = uuid.uuid4().hex
-    folder = shared_folder(spark, f"listing-{run_id}")
-    try:
-        source.batches(spark).write.parquet(f"{folder}/listing")
-    except Exception as error:  # an unreadable source is an outcome, not a crash
-        message = str(error)
-        sink.append_import_run(lake, failed_listing_record(spark, source.source_type, run_id, at, message))
-        return ImportResult(source.source_type, run_id, 0, 0, 0, 1, message, None)
-
-    listing = spark.read.parquet(f"{folder}/listing")
-    # A source may list the same batch twice; the second one counts as skipped.
-    new_batches(listing, lake.ledger(spark)).dropDuplicates(KEYS).write.parquet(f"{folder}/pending")
-    pending = spark.read.parquet(f"{folder}/pending")
-    checked = check_lines(source.lines(spark, pending))
-    verdicts = commit_batches(spark, lake, checked, pending, run_id, at)
-    record = run_record(verdicts, listing, source.source_type, run_id, at)
-    return log_run(lake, record, source.source_type, run_id)
+    discovered, tried = 0, 1
+    with scratch(spark, f"import-{run_id}"):
+        try:
+            folder = shared_folder(spark, "listing")
+            source.batches(spark).write.parquet(f"{folder}/listing")
+            listing = spark.read.parquet(f"{folder}/listing")
+            # A source may list the same batch twice; the second one counts as skipped.
+            new_batches(listing, lake.ledger(spark)).dropDuplicates(KEYS).write.parquet(f"{folder}/pending")
+            pending = spark.read.parquet(f"{folder}/pending")
+            discovered, tried = listing.count(), pending.count()
+            checked = check_lines(source.lines(spark, pending))
+            verdicts = commit_batches(spark, lake, checked, pending, run_id, at)
+            record = run_record(verdicts, listing, source.source_type, run_id, at)
+            return log_run(lake, record, source.source_type, run_id)
+        except Exception as error:  # an unreadable source does not stop the others
+            record = failed_run_record(
+                spark, source.source_type, run_id, at, str(error), discovered, tried if discovered else 1
+            )
+            return log_run(lake, record, source.source_type, run_id)
 
 
 def log_run(lake: Lake, record: DataFrame, source_type: str, run_id: str) -> ImportResult:
@@ -179,9 +193,14 @@ def ingest_envelopes(
         F.concat(F.lit(f"{run_id}-"), F.sha2("body", 256)).alias("fingerprint"),
         "body",
     )
-    checked = validate.validate_events(validate.envelope_events(requests))
-    bad = validate.gate_batches(checked, requests).filter(F.col("error").isNotNull()).first()
-    if bad is not None:
-        raise ValueError(f"{bad.source_identifier}: {bad.error}")
-    verdicts = commit_batches(spark, lake, checked, requests, run_id, at)
-    return verdicts.agg(F.sum("event_count")).first()[0] or 0
+    with scratch(spark, f"ingest-{run_id}"):
+        checked, verdicts = judge_batches(
+            spark, validate.validate_events(validate.envelope_events(requests)), requests
+        )
+        bad = verdicts.filter(F.col("error").isNotNull()).first()
+        if bad is not None:
+            torn = requests.filter(F.try_parse_json("body").isNull()).first()
+            reason = validate.BROKEN_BODY if torn is not None else bad.error
+            raise ValueError(f"{(torn or bad).source_identifier}: {reason}")
+        store_batches(lake, checked, verdicts, run_id, at)
+        return verdicts.agg(F.sum("event_count")).first()[0] or 0

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +33,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Folder of the job that runs now; intermediate tables go below it.
+_SCRATCH: ContextVar[str | None] = ContextVar("linkscope-scratch", default=None)
 # One temporary folder per local application that names no folder of its own.
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -40,6 +45,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     The parent is the cluster's ``spark.checkpoint.dir``. Without that setting a local session
     gets a temporary folder; a cluster session raises, as its executors share no local disk.
     """
+    if _SCRATCH.get():
+        return f"{_SCRATCH.get()}/{label}-{uuid.uuid4().hex}"
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -55,3 +62,18 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, wherever it lives."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """Shared folders taken inside lie below one folder, which is deleted at the end.
+
+    For jobs that store their results themselves: no frame may leave the block unread.
+    """
+    folder = shared_folder(spark, label)
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        remove_folder(spark, folder)

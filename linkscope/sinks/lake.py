@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscope import schema
 from linkscope.sources.batches import BATCH_KEYS
-from linkscope.sources.tables import Lake
-
-
-def batch_id() -> Column:
-    """Lineage text of a batch; sorts by source, then path."""
-    return F.concat(F.col("source_type"), F.lit(":"), F.col("source_identifier"), F.lit("@"), F.col("fingerprint"))
+from linkscope.sources.tables import Lake, batch_id
 
 
 def append_events(lake: Lake, events: DataFrame, run_id: str) -> None:

@@ -7,28 +7,30 @@ in the import ledger, so a file with changed content is a new batch.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkscope.session import shared_folder
 
 BATCH_KEYS = ("source_type", "source_identifier", "fingerprint")
 LINE_COLUMNS = (*BATCH_KEYS, "line_no", "value")
 
-# Files beyond this size are fingerprinted by size and modification time: hashing a file's
-# content needs all of it in one task.
-CONTENT_HASH_LIMIT = 256 * 1024 * 1024
-# With at most this many new files the reader is given their paths; beyond it, it scans the
-# whole root and joins with the list of new files.
-PATH_LIST_LIMIT = 10_000
+# The reader is given so many paths at a time, and the driver holds no more.
+PATHS_A_READ = 10_000
+
+# Modulus of line digests: products of two residues fit into 64 bits.
+_MODULUS = (1 << 31) - 1
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
@@ -73,27 +75,67 @@ def split_lines(batches: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame, by: tuple[str, ...] = ("file_path",)) -> tuple[DataFrame, DataFrame]:
-    """Prepare line numbers for a text scan whose files may be split over many tasks.
+def with_row_numbers(lines: DataFrame) -> DataFrame:
+    """Lines of a text scan with their place in the task that read them, as ``row``."""
+    return lines.withColumn("row", F.monotonically_increasing_id())
+
 
-    ``lines`` has ``value``, ``file_path`` and ``block_start`` (where the split begins).
-    Returns the lines with their row number in the task, and one row per split with the
-    first of those numbers and the count of lines in the file's earlier splits. The line
-    number is then ``row - first_row + earlier + 1``; no file is ever read by one task alone.
+def line_blocks(rows: DataFrame, by: tuple[str, ...] = ("file_path",)) -> DataFrame:
+    """One row per file split: its first row number, and the lines in the file's earlier splits.
+
+    ``rows`` has ``file_path``, ``block_start`` (where the split begins) and ``row``, and has been
+    stored: rows that were scanned anew could be split differently. The number of a line is
+    then ``row - first_row + earlier + 1``; no file is ever read by one task alone.
     """
-    rows = lines.withColumn("row", F.monotonically_increasing_id())
     blocks = rows.groupBy(*by, "block_start").agg(
         F.min("row").alias("first_row"), F.count(F.lit(1)).alias("block_lines")
     )
     before = Window.partitionBy(*by).orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("block_lines").over(before), F.lit(0))
-    return rows, blocks.withColumn("earlier", earlier).drop("block_lines")
+    return blocks.withColumn("earlier", earlier).drop("block_lines")
 
 
 def line_number() -> Column:
     return F.col("row") - F.col("first_row") + F.col("earlier") + 1
 
 
+def block_digests(text: DataFrame) -> DataFrame:
+    """Sums over the lines of each file split, from one scan; see :func:`file_digests`."""
+    # Within a task rows count up from a multiple of 2 ** 33.
+    place = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = {
+        "left": F.pmod(F.xxhash64("value"), F.lit(_MODULUS)),
+        "right": F.pmod(F.xxhash64(F.lit("line"), "value"), F.lit(_MODULUS)),
+    }
+    sums = []
+    for name, part in parts.items():
+        sums.append(F.pmod(F.sum(part), F.lit(_MODULUS)).alias(name))
+        placed = F.pmod(part * F.pmod(place, F.lit(_MODULUS)), F.lit(_MODULUS))
+        sums.append(F.pmod(F.sum(placed), F.lit(_MODULUS)).alias(f"placed_{name}"))
+    return (
+        with_row_numbers(text)
+        .groupBy("file_path", "block_start")
+        .agg(F.count(F.lit(1)).alias("lines"), F.pmod(F.min(place), F.lit(_MODULUS)).alias("first"), *sums)
+    )
+
+
+def file_digests(blocks: DataFrame) -> DataFrame:
+    """``file_path`` and ``fingerprint``: a digest of a file's lines and their order.
+
+    It adds up line hashes, and line hashes times line numbers, so the splits of a file can
+    be read by any tasks; how a file was split does not change the result. Line ends do not count.
+    """
+    before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = blocks.withColumn(
+        "shift", F.pmod(F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first"), F.lit(_MODULUS))
+    )
+    sums = [F.sum("lines").cast("string")]
+    for name in ("left", "right"):
+        ordered = F.pmod(F.col(f"placed_{name}") + F.pmod(F.col(name) * F.col("shift"), F.lit(_MODULUS)), F.lit(_MODULUS))
+        sums += [F.pmod(F.sum(x), F.lit(_MODULUS)).cast("string") for x in (F.col(name), ordered)]
+    return shifted.groupBy("file_path").agg(F.sha2(F.concat_ws("|", *sums), 256).alias("fingerprint"))
+
+
 # -- files ---------------------------------------------------------------------
 
 
@@ -101,22 +143,27 @@ def _bare(path: str) -> str:
     return re.sub(_SCHEME, "", path).rstrip("/")
 
 
-def _symlinks(root: str) -> list[str]:
-    """Symbolic links under a local root; object stores have none."""
-    if urlparse(root).scheme not in ("", "file"):
-        return []
-    found = []
-    for folder, folders, files in os.walk(_bare(root)):
-        found += [p for n in folders + files if os.path.islink(p := os.path.join(folder, n))]
-    return found
+@F.pandas_udf(T.BooleanType())
+def _is_linked(paths: pd.Series, roots: pd.Series) -> pd.Series:
+    """Whether a local path leads through a symbolic link below its root; asked where the files are read."""
+    real = {root: os.path.realpath(root) for root in set(roots)}
+    return pd.Series(
+        [os.path.realpath(path) != real[root] + path[len(root) :] for path, root in zip(paths, roots, strict=True)]
+    )
+
+
+def _literal_path(path: str) -> str:
+    """A path whose special characters are no pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
 @dataclass(frozen=True)
 class FileSource:
     """JSON-lines files under a folder or an object-store prefix.
 
-    ``fingerprint="content"`` hashes the text of each file, so every import reads all files.
-    ``fingerprint="stat"`` uses size and modification time: only new files are ever read.
+    ``fingerprint="content"`` digests the lines of each file, so every import reads all files, split
+    like any text scan. ``fingerprint="stat"`` uses size and modification time: only new files
+    are ever read. Each holds for files of any size.
     """
 
     source_type: str
@@ -124,9 +171,6 @@ class FileSource:
     prefix: str = ""
     pattern: str = "*.jsonl"
     fingerprint: str = "content"
-    universal_newlines: bool = True
-    hash_limit: int = CONTENT_HASH_LIMIT
-    path_list_limit: int = PATH_LIST_LIMIT
 
     def __post_init__(self) -> None:
         if self.fingerprint not in ("content", "stat"):
@@ -161,9 +205,8 @@ class FileSource:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], columns)
-        bare = F.regexp_replace("path", _SCHEME, "")
-        for link in _symlinks(self.location):
-            found = found.filter((bare != link) & ~F.startswith(bare, F.lit(link + "/")))
+        if urlparse(self.location).scheme in ("", "file"):  # object stores have no links
+            found = found.filter(~_is_linked(F.regexp_replace("path", _SCHEME, ""), F.lit(_bare(self.location))))
         return found
 
     def batches(self, spark: SparkSession) -> DataFrame:
@@ -172,57 +215,79 @@ class FileSource:
             return found.select(
                 "source_type", "source_identifier", F.lit("").alias("fingerprint"), "file_path", "path"
             )
-        by_stat = stat_fingerprint(F.col("length"), F.col("modificationTime"))
-        if self.fingerprint == "stat":
-            return self._listed(found, by_stat)
-        # The size filters reach the reader: it opens only the files that are hashed.
-        by_content = content_fingerprint(F.col("content").cast("string"), self.universal_newlines)
-        small = found.filter(F.col("length") <= self.hash_limit)
-        large = found.filter(F.col("length") > self.hash_limit)
-        return self._listed(small, by_content).unionByName(self._listed(large, by_stat))
-
-    def _listed(self, found: DataFrame, fingerprint: Column) -> DataFrame:
-        return found.select(
+        listed = found.select(
             F.lit(self.source_type).alias("source_type"),
             self._identifier(F.col("path")).alias("source_identifier"),
-            fingerprint.alias("fingerprint"),
+            stat_fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"),
             F.col("_metadata.file_path").alias("file_path"),
             "path",
         )
+        if self.fingerprint == "stat":
+            return listed
+        folder = shared_folder(spark, "digests")
+        listed.write.parquet(f"{folder}/files")
+        listed = spark.read.parquet(f"{folder}/files")
+        for text in self._texts(spark, listed):
+            block_digests(text).write.mode("append").parquet(f"{folder}/blocks")
+        blocks = read_folder(spark, f"{folder}/blocks", _DIGESTS)
+        return listed.drop("fingerprint").join(file_digests(blocks), "file_path")
+
+    def _texts(self, spark: SparkSession, files: DataFrame) -> Iterator[DataFrame]:
+        """Text scans that together read the files, some thousand at a time."""
+        paths = (row.path for row in files.select("path").toLocalIterator())
+        while some := list(itertools.islice(paths, PATHS_A_READ)):
+            yield (
+                spark.read.options(**self._options())
+                .text([_literal_path(path) for path in some])
+                .select(
+                    "value",
+                    F.col("_metadata.file_path").alias("file_path"),
+                    F.col("_metadata.file_block_start").alias("block_start"),
+                )
+            )
 
     def lines(self, spark: SparkSession, pending: DataFrame) -> DataFrame:
-        """Lines of the pending files. The scan is split like any text scan."""
-        reader = spark.read.options(**self._options())
-        paths = [row.path for row in pending.select("path").limit(self.path_list_limit + 1).collect()]
-        listed = len(paths) <= self.path_list_limit and not any(re.search(r"[*?\[\]{}\\]", p) for p in paths)
-        if not paths:
-            return spark.createDataFrame(
-                [], ", ".join(f"{k} string" for k in BATCH_KEYS) + ", line_no long, value string"
-            )
-        text = reader.text(paths if listed else self.location).select(
-            "value",
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-        )
-        rows, blocks = number_lines(text)
-        blocks = blocks.join(pending.select("file_path", *BATCH_KEYS), "file_path")
+        """Lines of the pending files. The text is scanned once and stored; numbers come from what was stored."""
+        folder = shared_folder(spark, "lines")
+        for text in self._texts(spark, pending):
+            with_row_numbers(text).write.mode("append").parquet(f"{folder}/rows")
+        rows = read_folder(spark, f"{folder}/rows", _ROWS)
         # Written, its size is known: Spark then broadcasts it, or shuffles if it is large.
-        folder = shared_folder(spark, "blocks")
-        blocks.write.parquet(folder)
-        blocks = spark.read.parquet(folder)
+        blocks = line_blocks(rows).join(pending.select("file_path", *BATCH_KEYS), "file_path")
+        blocks.write.parquet(f"{folder}/blocks")
+        blocks = spark.read.parquet(f"{folder}/blocks")
         return rows.join(blocks, ["file_path", "block_start"]).select(
             *BATCH_KEYS, line_number().alias("line_no"), "value"
         )
 
 
+_ROWS = "value string, file_path string, block_start long, row long"
+_DIGESTS = (
+    "file_path string, block_start long, lines long, first long, left long, placed_left long, right long, placed_right long"
+)
+
+
+def read_folder(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A folder written piece by piece; no rows if there was no piece."""
+    try:
+        return spark.read.schema(columns).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
+
+
 def local_source(path: str, **options: object) -> FileSource:
     """Files of a shared folder; the identifier is the path relative to it."""
     return FileSource("local", path, **options)
 
 
 def object_store_source(uri: str, prefix: str = "", **options: object) -> FileSource:
-    """Files below ``uri/prefix`` of any store Spark can read; the identifier keeps the prefix."""
-    return FileSource("azure", uri, prefix, universal_newlines=False, **options)
+    """Files below ``uri/prefix`` of any store Spark can read; the identifier keeps the prefix.
+
+    A store changes an object's time whenever it is written, so content is read only if it is new.
+    """
+    return FileSource("azure", uri, prefix, **{"fingerprint": "stat", **options})
 
 
 # -- user-defined sources --------------------------------------------------------

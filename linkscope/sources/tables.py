@@ -5,8 +5,8 @@
 * ``import_runs`` - one row per source and import run
 
 An import run writes its events first and its ledger rows last. Readers keep only events of
-runs the ledger knows, so what a lost driver left behind is never seen, and the next run
-simply imports those batches again.
+the batches that the ledger knows of that run, so what a lost driver left behind is never seen, and
+the next run simply imports those batches again.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +45,19 @@ class Lake:
         return read_or_empty(spark, self.path("import_runs"), schema.IMPORT_RUN_SCHEMA)
 
     def events(self, spark: SparkSession, dedupe: bool = False) -> DataFrame:
-        """Committed events. ``dedupe`` drops repeats of a re-imported, grown file."""
-        committed = self.ledger(spark).select("run_id").distinct()
+        """Committed events. ``dedupe`` drops repeats of a re-imported, grown file.
+
+        A batch counts once, with the run that committed it first, whoever else stored it: a run that was
+        lost halfway through its ledger rows, or two runs at the same time, add nothing.
+        """
+        committed = (
+            self.ledger(spark)
+            .groupBy("source_type", "source_identifier", "fingerprint")
+            .agg(F.min_by("run_id", F.struct("imported_utc", "run_id")).alias("run_id"))
+            .select("run_id", batch_id().alias("batch_id"))
+        )
         rows = read_or_empty(spark, self.path("events"), schema.STORED_EVENT_SCHEMA)
-        rows = rows.join(committed, "run_id", "left_semi")
+        rows = rows.join(committed, ["run_id", "batch_id"], "left_semi")
         return rows.dropDuplicates(list(schema.EVENT_COLUMNS)) if dedupe else rows
 
     def last_import(self, spark: SparkSession) -> DataFrame:
@@ -56,6 +65,11 @@ class Lake:
         return last_import(self.ledger(spark))
 
 
+def batch_id() -> Column:
+    """Lineage text of a batch; sorts by source, then path."""
+    return F.concat(F.col("source_type"), F.lit(":"), F.col("source_identifier"), F.lit("@"), F.col("fingerprint"))
+
+
 def last_import(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("source_type").agg(F.max("imported_utc").alias("last_imported_utc"))
 

@@ -16,6 +16,7 @@ from linkscope.functions.events import is_object, utc_timestamp
 from linkscope.sources.batches import BATCH_KEYS
 
 EMPTY_BATCH = "Batch did not contain any event lines."
+BROKEN_BODY = "Body is not a JSON document."
 
 # Fixed patterns of the accepted texts.
 _DATE_TIME = (

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkscope import schema
 from linkscope.plans import importing
-from linkscope.session import shared_folder
+from linkscope.session import scratch, shared_folder
 from linkscope.sources import batches
 from linkscope.sources.tables import Lake, new_batches
 
@@ -96,21 +96,22 @@ def start_file_import(
 def import_file_lines(spark: SparkSession, lake: Lake, source: batches.FileSource, lines: DataFrame) -> None:
     """Import one micro-batch of whole files. A replayed micro-batch is skipped by the ledger."""
     at, run_id = importing.utc_now(), uuid.uuid4().hex
-    rows, blocks = batches.number_lines(lines, ("file_path", "fingerprint"))
-    identifier = source.identifier_of_uri(F.col("file_path"))
-    folder = shared_folder(spark, f"blocks-{run_id}")
-    blocks.withColumns(
-        {"source_type": F.lit(source.source_type), "source_identifier": identifier}
-    ).write.parquet(folder)
-    blocks = spark.read.parquet(folder)
-    listing = blocks.select(*batches.BATCH_KEYS).distinct()
-    pending = new_batches(listing, lake.ledger(spark)).distinct()
-    wanted = blocks.join(pending, importing.KEYS, "left_semi")
-    numbered = rows.join(wanted.drop("fingerprint"), ["file_path", "block_start"]).select(
-        *batches.BATCH_KEYS, batches.line_number().alias("line_no"), "value"
-    )
-    checked = importing.check_lines(numbered)
-    verdicts = importing.commit_batches(spark, lake, checked, pending, run_id, at)
-    importing.log_run(
-        lake, importing.run_record(verdicts, listing, source.source_type, run_id, at), source.source_type, run_id
-    )
+    with scratch(spark, f"stream-{run_id}"):
+        # The micro-batch is scanned once; line numbers come from what was stored.
+        folder = shared_folder(spark, "lines")
+        batches.with_row_numbers(lines).write.parquet(f"{folder}/rows")
+        rows = spark.read.parquet(f"{folder}/rows")
+        identifier = source.identifier_of_uri(F.col("file_path"))
+        batches.line_blocks(rows, ("file_path", "fingerprint")).withColumns(
+            {"source_type": F.lit(source.source_type), "source_identifier": identifier}
+        ).write.parquet(f"{folder}/blocks")
+        blocks = spark.read.parquet(f"{folder}/blocks")
+        listing = blocks.select(*batches.BATCH_KEYS).distinct()
+        pending = new_batches(listing, lake.ledger(spark)).distinct()
+        wanted = blocks.join(pending, importing.KEYS, "left_semi")
+        numbered = rows.join(wanted.drop("fingerprint"), ["file_path", "block_start"]).select(
+            *batches.BATCH_KEYS, batches.line_number().alias("line_no"), "value"
+        )
+        verdicts = importing.commit_batches(spark, lake, importing.check_lines(numbered), pending, run_id, at)
+        record = importing.run_record(verdicts, listing, source.source_type, run_id, at)
+        importing.log_run(lake, record, source.source_type, run_id)

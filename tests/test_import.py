@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from conftest import event, frame, line, wire
 from linkscope import schema
 from linkscope.plans import importing, snapshot, status
+from linkscope.session import shared_folder
 from linkscope.sinks import files, lake as sink
 from linkscope.sources import batches
 from linkscope.sources.tables import Lake
@@ -97,13 +100,33 @@ def test_same_content_under_another_name_is_another_batch(spark, place):
     assert counts(run(spark, lake, root)) == (2, 2, 0, 0)
 
 
-def test_fingerprint_ignores_line_ends(spark, place):
+def test_content_fingerprint_is_of_the_lines(spark, place):
+    """Neither line ends nor the way a file is split count; the order of lines does."""
     root, _ = place
-    (root / "x.jsonl").write_bytes(b'{"a":1}\r\n{"b":2}\r\xc3\xa9')
-    (batch,) = batches.local_source(str(root)).batches(spark).collect()
-    assert batch.fingerprint == hashlib.sha256('{"a":1}\n{"b":2}\né'.encode()).hexdigest()
-    (raw,) = batches.object_store_source(str(root)).batches(spark).collect()
-    assert raw.fingerprint == hashlib.sha256('{"a":1}\r\n{"b":2}\ré'.encode()).hexdigest()
+    lines = [f"{{\"a\":{n}}}" * (n % 40) for n in range(3000)]
+    (root / "lf.jsonl").write_bytes("\n".join(lines).encode())
+    (root / "crlf.jsonl").write_bytes("\r\n".join(lines).encode())
+    (root / "swapped.jsonl").write_bytes("\n".join([*lines[:9], lines[10], lines[9], *lines[11:]]).encode())
+    (root / "shorter.jsonl").write_bytes("\n".join(lines[:-1]).encode())
+    found = []
+    for size in ("128m", "20000", "33333"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            batch = batches.local_source(str(root)).batches(spark).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        found.append({row.source_identifier: row.fingerprint for row in batch})
+    assert found[0] == found[1] == found[2]
+    assert found[0]["lf.jsonl"] == found[0]["crlf.jsonl"]
+    assert len(set(found[0].values())) == 3
+
+
+def test_a_touched_file_is_imported_once(spark, place):
+    root, lake = place
+    (root / "x.jsonl").write_text(line())
+    assert counts(run(spark, lake, root)) == (1, 1, 0, 0)
+    os.utime(root / "x.jsonl", (1, 1))
+    assert counts(run(spark, lake, root)) == (1, 0, 1, 0)
 
 
 def test_stat_fingerprint_changes_with_the_file(spark, place):
@@ -116,36 +139,35 @@ def test_stat_fingerprint_changes_with_the_file(spark, place):
     assert counts(run(spark, lake, root, fingerprint="stat")) == (1, 1, 0, 0)
 
 
-def test_large_files_use_the_stat_fingerprint(spark, place):
-    root, lake = place
-    (root / "small.jsonl").write_text(line())
-    (root / "large.jsonl").write_text("\n".join(line(details=str(n)) for n in range(50)))
-    result = run(spark, lake, root, hash_limit=2000)
-    assert counts(result) == (2, 2, 0, 0)
-    assert lake.events(spark).count() == 51
-
-
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_lines_of_split_files_are_numbered(spark, place, limit):
-    """Files cut into many splits; with and without the list of paths."""
+def test_lines_survive_another_split_size(spark, place):
+    """Files cut into many splits, and cut differently when the lines are used."""
     root, _ = place
     texts = {}
     for name, ending in (("lf", "\n"), ("crlf", "\r\n")):
         texts[name] = [f"{n}" * (n % 50) for n in range(4000)]
-        (root / f"{name} 100%+.jsonl").write_bytes(ending.join(texts[name]).encode())
+        (root / f"{name} [100]%+.jsonl").write_bytes(ending.join(texts[name]).encode())
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        source = batches.local_source(str(root), path_list_limit=limit)
-        lines = source.lines(spark, source.batches(spark)).cache()
-        assert lines.select(F.spark_partition_id()).distinct().count() > 1
+        source = batches.local_source(str(root))
+        lines = source.lines(spark, source.batches(spark))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "17000")
         for name, want in texts.items():
-            found = lines.filter(F.col("source_identifier") == f"{name} 100%+.jsonl").orderBy("line_no").collect()
+            found = lines.filter(F.col("source_identifier") == f"{name} [100]%+.jsonl").orderBy("line_no").collect()
             assert [r.line_no for r in found] == list(range(1, 4001))
             assert [r.value for r in found] == want
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_many_files_are_read_in_turns(spark, place, monkeypatch):
+    root, lake = place
+    monkeypatch.setattr(batches, "PATHS_A_READ", 2)
+    for n in range(5):
+        (root / f"{n}.jsonl").write_text(line() + "\n" + line())
+    assert counts(run(spark, lake, root)) == (5, 5, 0, 0)
+    assert lake.events(spark).count() == 10
+
+
 def test_links_are_skipped(spark, place, tmp_path):
     root, lake = place
     outside = tmp_path / "outside"
@@ -240,6 +262,61 @@ def test_rows_of_an_uncommitted_run_are_invisible(spark, place):
     assert [e.details for e in lake.events(spark).collect()] == ["ok"]
 
 
+def test_a_torn_ledger_repeats_nothing(spark, place):
+    """A run lost halfway through its ledger rows, and two runs of the same batches."""
+    root, lake = place
+    for n in range(4):
+        (root / f"{n}.jsonl").write_text(line())
+    run(spark, lake, root)
+    ledger = lake.ledger(spark).collect()
+    half = spark.createDataFrame(ledger[:2], schema.LEDGER_SCHEMA)
+    half.coalesce(1).write.mode("overwrite").parquet(lake.path("torn"))
+    spark.read.parquet(lake.path("torn")).write.mode("overwrite").parquet(lake.path("ledger"))
+    assert lake.events(spark).count() == 2
+    assert counts(run(spark, lake, root, AT + timedelta(hours=1))) == (4, 2, 2, 0)
+    assert lake.events(spark).count() == 4
+    late = [row.asDict() | {"run_id": "late", "imported_utc": AT + timedelta(days=1)} for row in ledger]
+    sink.append_ledger(lake, spark.createDataFrame([tuple(row[c] for c in schema.LEDGER_SCHEMA.names) for row in late], schema.LEDGER_SCHEMA))
+    assert lake.events(spark).count() == 4
+
+
+def test_a_source_that_cannot_be_read(spark, place, tmp_path):
+    class Broken(batches.ContentSource):
+        def lines(self, session, pending):
+            raise OSError("torn wire")
+
+    root, lake = place
+    (root / "x.jsonl").write_text(line())
+    rows = lambda s: s.createDataFrame([("a", "x"), ("b", "y")], "source_identifier string, content string")
+    results = importing.import_all(spark, lake, [Broken("custom", rows), batches.local_source(str(root))], AT)
+    assert [counts(result) for result in results] == [(2, 0, 0, 2), (1, 1, 0, 0)]
+    assert results[0].last_error == "torn wire" and lake.events(spark).count() == 1
+    assert lake.import_runs(spark).count() == 2
+
+
+def test_nothing_staged_is_left(spark, place):
+    root, lake = place
+    (root / "x.jsonl").write_text(line())
+    base = Path(shared_folder(spark, "probe")).parent
+    before = set(base.glob("*"))
+    run(spark, lake, root)
+    assert set(base.glob("*")) == before
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(), "x")
+
+
 def test_envelopes_are_stored_or_refused_as_a_whole(spark, tmp_path):
     lake = Lake(str(tmp_path))
     bodies = lambda *events: spark.createDataFrame(
@@ -251,6 +328,9 @@ def test_envelopes_are_stored_or_refused_as_a_whole(spark, tmp_path):
         importing.ingest_envelopes(spark, lake, bodies(wire(), wire(result="?")), AT)
     with pytest.raises(ValueError, match="did not contain any event"):
         importing.ingest_envelopes(spark, lake, bodies(), AT)
+    torn = spark.createDataFrame([("r", '{"events": [')], "source_identifier string, body string")
+    with pytest.raises(ValueError, match="no.*JSON|not a JSON"):
+        importing.ingest_envelopes(spark, lake, torn, AT)
     assert lake.events(spark).count() == 3
 
 
