@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +32,19 @@ def window_minutes(minutes: Column, hours: Column) -> Column:
     )
 
 
-def in_window(events: DataFrame, as_of: datetime, minutes: int | None) -> DataFrame:
+def in_window(events: DataFrame, as_of: datetime | None, minutes: int | None) -> DataFrame:
     """Rows at or after ``as_of - minutes``; no upper bound, ``None`` keeps all.
 
-    Stored tables are partitioned by ``event_date``: the same bound on it prunes folders.
+    A time with a zone is converted to UTC, one without is UTC, and no time means now. Stored tables are partitioned by ``event_date``: the same bound on it prunes folders.
     """
     if minutes is None:
         return events
+    if as_of is None:
+        as_of = datetime.now(timezone.utc)
+    if as_of.tzinfo is not None:
+        as_of = as_of.astimezone(timezone.utc).replace(tzinfo=None)
     start = as_of - timedelta(minutes=minutes)
-    bound = F.lit(start.replace(tzinfo=None).isoformat(sep=" ")).cast(
+    bound = F.lit(start.isoformat(sep=" ")).cast(
         events.schema["timestamp_utc"].dataType
     )
     kept = events.filter(F.col("timestamp_utc") >= bound)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linkscope import schema
 from linkscope.functions.events import target_key, unwrap_metadata
-from linkscope.functions.filters import for_target, in_window, incident_rows, visible_tests
+from linkscope.functions.filters import for_target, in_window, incident_rows, state_rows, visible_tests
 from linkscope.operators import board, paths, state
 
 
@@ -146,7 +146,8 @@ def target_detail(
     The target row ignores the window. A target with only INFO rows does not exist: all
     frames are then empty.
     """
-    target = board.targets(for_target(events, key), kind_mode)
+    own = for_target(events, key)
+    target = board.targets(own, kind_mode)
     frames = {
         "latency_series": timeline(events, key, timeline_limit, as_of, window_minutes),
         "tests": tests(events, key, as_of, window_minutes),
@@ -154,7 +155,8 @@ def target_detail(
         "paths": recent_paths(events, key, as_of, window_minutes, kind_mode=kind_mode),
         "incidents": recent_incidents(events, key, as_of, window_minutes),
     }
-    exists = target.select("target_key")
+    # One row with a result is enough to know that the target exists.
+    exists = state_rows(own).limit(1).select(target_key().alias("target_key"))
     return {
         "target": target,
         **{name: frame.join(exists, "target_key", "left_semi") for name, frame in frames.items()},

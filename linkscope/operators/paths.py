@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkscope import schema
-from linkscope.functions.events import hop_label, path_diff, path_hash_or_unknown, preview_hops
+from linkscope.functions.events import hop_label, path_change, path_hash_or_unknown, preview_hops, shared_prefix
 from linkscope.functions.events import target_key, target_kind
 from linkscope.functions.filters import trace_hop_rows
 from linkscope.operators import state
@@ -155,7 +155,7 @@ def visible_changes(
     selected_key: str | None = None,
     limit: int = schema.VISIBLE_CHANGE_LIMIT,
 ) -> DataFrame:
-    """Changes of external targets that pass the current filters, with a sentence each."""
+    """Changes of external targets that pass the current filters, and how each route moved."""
     shown = changes.filter(F.col("target_kind") == "external")
     if selected_key:
         shown = shown.filter(F.col("target_key") == selected_key)
@@ -164,6 +164,13 @@ def visible_changes(
 
 
 def with_path_diff(changes: DataFrame) -> DataFrame:
+    """Add how a route moved: ``change``, the hops both routes begin with, and the hops there are now."""
     previous = preview_hops("previous_path_preview", "previous_path_hash")
     current = preview_hops("path_preview", "path_hash")
-    return changes.withColumn("path_diff", path_diff(previous, current))
+    return changes.withColumns(
+        {
+            "change": path_change(previous, current),
+            "shared_hops": shared_prefix(previous, current),
+            "current_hops": F.size(current),
+        }
+    )

@@ -190,3 +190,14 @@ def test_search(spark):
     assert filters.search_targets(listed, status="SUCCESS").count() == 1
     assert filters.search_targets(listed, kind="external").count() == 0
     assert filters.search_targets(listed, agent="branch-01", site="site-a").count() == 2
+
+
+def test_windows_know_zones_and_now(spark):
+    from datetime import datetime, timedelta, timezone
+
+    from linkscope.functions.filters import in_window
+
+    rows = frame(spark, [event(-30), event(-90)])
+    aware = datetime(2026, 4, 9, 14, tzinfo=timezone(timedelta(hours=2)))
+    assert in_window(rows, aware, 60).count() == 1
+    assert in_window(rows, None, 60).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import NOON, event, frame, hop
-from linkscope.functions.events import path_diff, shared_prefix
+from linkscope.functions.events import path_change, shared_prefix
 from linkscope.operators import board, paths
 
 
@@ -76,25 +76,25 @@ def test_visible_changes(spark):
     assert changes.count() == 2
     visible = paths.visible_changes(changes, board.targets(events)).collect()
     assert [c.target_id for c in visible] == ["internet-1"]
-    assert visible[0].path_diff.startswith("Route shifted immediately at hop 1.")
+    assert (visible[0].change, visible[0].shared_hops) == ("start", 0)
     none = paths.visible_changes(changes, board.targets(events), selected_key="branch-01::fs01")
     assert none.count() == 0
 
 
 @pytest.mark.parametrize(
-    ("left", "right", "shared", "start"),
+    ("left", "right", "shared", "change"),
     [
-        (["a", "b"], ["a", "b", "c"], 2, "Route length changed after hop 2."),
-        (["a", "b", "c"], ["a", "b"], 2, "Route length changed after hop 2."),
-        (["a", "b", "c"], ["a", "x", "c"], 1, "Route diverged after hop 1."),
-        (["a"], ["b"], 0, "Route shifted immediately at hop 1."),
-        ([], ["b"], 0, "Route preview unavailable."),
-        (["a"], ["a"], 1, "Route length changed after hop 1."),
+        (["a", "b"], ["a", "b", "c"], 2, "length"),
+        (["a", "b", "c"], ["a", "b"], 2, "length"),
+        (["a", "b", "c"], ["a", "x", "c"], 1, "branch"),
+        (["a"], ["b"], 0, "start"),
+        ([], ["b"], 0, "unknown"),
+        (["a"], ["a"], 1, "length"),
     ],
 )
-def test_path_diff(spark, left, right, shared, start):
+def test_path_change(spark, left, right, shared, change):
     row = spark.createDataFrame([(left, right)], "l array<string>, r array<string>").select(
-        shared_prefix(F.col("l"), F.col("r")).alias("shared"), path_diff(F.col("l"), F.col("r")).alias("text")
+        shared_prefix(F.col("l"), F.col("r")).alias("shared"), path_change(F.col("l"), F.col("r")).alias("change")
     ).first()
     assert row.shared == shared
-    assert row.text.startswith(start)
+    assert row.change == change
