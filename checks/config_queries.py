@@ -289,3 +289,23 @@ def cfg_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cfg_first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error a collector would stop at, per document."""
     return inventory.first_violations(inventory.violations(parsed(spark, sf_dir)))
+
+
+MALFORMED = """CASE c % 5 WHEN 0 THEN '{"schemaVersion' WHEN 1 THEN '[1]'
+  WHEN 2 THEN concat('{"targets": {"id": "t", "fqdn": "f", "address": "10.0.0.', c % 250, '"}}')
+  WHEN 3 THEN '{"auth": {"linuxProfiles": {"id": "p", "mode": "KERBEROSkeytab"}}, "internetTargets": {"id": "n", "address": "1.1.1.1"}}'
+  ELSE '{"extensions": {"id": "x"}, "targets": [{"id": "t", "fqdn": "f", "address": "10.0.0.1"}]}' END"""
+
+
+@query(
+    "cfg_malformed",
+    """SELECT concat('odd-', CAST(c_custkey AS VARCHAR)) AS config_id, CASE c_custkey % 5 WHEN 3 THEN 'secretRequired' WHEN 4 THEN 'extensionPath' ELSE 'invalidJson' END AS rule,
+  CASE c_custkey % 5 WHEN 3 THEN 'Linux auth profile p requires a secretReference.' WHEN 4 THEN 'Extension x requires a path.' ELSE 'The configuration is no JSON object.' END AS message
+  FROM customer WHERE c_custkey % 5 <> 2""",
+)
+def cfg_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are no objects, single objects where lists are expected, modes in any letter case."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS c")
+    odd = customers.selectExpr("concat('odd-', c) AS config_id", f"{MALFORMED} AS document")
+    stored = configs.stored_configs(spark, configs.with_defaults(configs.parse_configs(odd)))
+    return inventory.violations(stored).select("config_id", "rule", "message")

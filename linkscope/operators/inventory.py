@@ -339,28 +339,33 @@ def violations(configs: DataFrame) -> DataFrame:
     """All broken rules of all documents: ``config_id, place, rule, message``.
 
     ``place`` sorts the way the rules are checked, so the smallest of a document is the error a
-    collector would stop at.
+    collector would stop at. A document that is no JSON object breaks the rule ``invalidJson`` only.
+    Profile modes count without regard to letter case.
+
+    The rule names and messages below are fixed values: they are the errors a collector reports.
     """
-    document = configs.select("config_id", "config.*")
+    document = configs.select("config_id", F.col("config").isNotNull().alias("readable"), "config.*")
+    readable = F.col("readable")
     azure = F.col("publish.azure")
     top = _broken(
         document,
         0,
         [
+            _check(~readable, "invalidJson", "The configuration is no JSON object."),
             _check(F.col("schemaVersion") != "1.0", "schemaVersion", "Only schemaVersion 1.0 is supported."),
-            _check(_blank(F.col("agent.agentId")), "agentId", "agent.agentId is required."),
-            _check(_blank(F.col("agent.siteId")), "siteId", "agent.siteId is required."),
+            _check(readable & _blank(F.col("agent.agentId")), "agentId", "agent.agentId is required."),
+            _check(readable & _blank(F.col("agent.siteId")), "siteId", "agent.siteId is required."),
             _check(
-                F.size("targets") + F.size("internetTargets") < 1,
+                readable & (F.size("targets") + F.size("internetTargets") < 1),
                 "noTargets",
                 "At least one target or internetTarget is required.",
             ),
         ],
     )
 
-    profile, mode, secret = F.col("profile_id"), F.col("mode"), F.col("secret_reference")
+    profile, mode, secret = F.col("profile_id"), F.lower("mode"), F.col("secret_reference")
     label = "Linux auth profile "
-    secrets = mode.isin("kerberosKeytab", "usernamePassword") & _blank(secret)
+    secrets = mode.isin("kerberoskeytab", "usernamepassword") & _blank(secret)
     profile_rows = _broken(
         profiles(configs).withColumn("repeated", _repeat("profile_id", "position")),
         1,
@@ -369,12 +374,12 @@ def violations(configs: DataFrame) -> DataFrame:
             _check(~_blank(profile) & F.col("repeated"), "duplicateProfile", "Duplicate Linux auth profile id: ", profile),
             _check(_blank(mode), "profileMode", label, profile, " requires mode."),
             _check(
-                ~_blank(mode) & ~mode.isin(*schema.PROFILE_MODES),
+                ~_blank(mode) & ~mode.isin(*[known.lower() for known in schema.PROFILE_MODES]),
                 "profileModeUnsupported",
                 label, profile, " uses an unsupported mode.",
             ),
             _check(
-                (mode == "currentContext") & ~_blank(secret),
+                (mode == "currentcontext") & ~_blank(secret),
                 "secretUnsupported",
                 label, profile, " uses currentContext and must not define a secretReference.",
             ),

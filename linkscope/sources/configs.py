@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkscope.functions.events import is_object
 from linkscope.session import shared_folder
 
 # A list of texts may be written as a single text, so such fields are read as variants.
@@ -93,9 +94,29 @@ def read_configs(
     )
 
 
+_PROFILE = "id: string, mode: string, secretReference: string"
+_INTERNET = f"{_TARGET}, name: string, targetKind: string"
+_EXTENSION = f"""id: string, path: string, entryPoint: string, enabled: boolean, targets: {_LIST},
+  script: string, scriptBlock: string, inlineScript: string"""
+# Lists of objects; a single object counts as a list of one.
+_OBJECTS = {
+    "targets": _TARGET,
+    "internetTargets": _INTERNET,
+    "extensions": _EXTENSION,
+    "auth.linuxProfiles": _PROFILE,
+}
+
+
 def parse_configs(documents: DataFrame, document: str = "document") -> DataFrame:
     """``document`` replaced by the ``config`` struct; null where it is no JSON object."""
-    return documents.withColumn("config", F.from_json(document, CONFIG_TYPE)).drop(document)
+    config = F.from_json(document, CONFIG_TYPE)
+    rows = documents.withColumn("config", F.when(is_object(F.try_parse_json(document)), config))
+    fixed = F.col("config")
+    for path, kind in _OBJECTS.items():
+        text = F.get_json_object(document, f"$.{path}")
+        single = F.array(F.from_json(text, f"struct<{kind}>"))
+        fixed = F.when(F.startswith(text, F.lit("{")), fixed.withField(path, single)).otherwise(fixed)
+    return rows.withColumn("config", fixed).drop(document)
 
 
 def _defaulted(value: Column, default: object) -> Column:
@@ -107,7 +128,10 @@ def _defaulted(value: Column, default: object) -> Column:
 
 
 def with_defaults(configs: DataFrame) -> DataFrame:
-    """Every setting filled in; lists of objects that are missing become empty."""
+    """Every setting filled in; lists of objects that are missing become empty.
+
+    A document that could not be read stays null: it is no configuration with default settings.
+    """
     config = F.col("config")
     sections = {key: _defaulted(config[key], default) for key, default in DEFAULTS.items()}
 
@@ -116,22 +140,15 @@ def with_defaults(configs: DataFrame) -> DataFrame:
 
     sections["auth"] = F.struct(
         *[sections["auth"][key].alias(key) for key in DEFAULTS["auth"]],
-        objects("linuxProfiles", config["auth"]["linuxProfiles"], "id: string, mode: string, secretReference: string"),
+        objects("linuxProfiles", config["auth"]["linuxProfiles"], _PROFILE),
     )
-    return configs.withColumn(
-        "config",
-        F.struct(
-            *[value.alias(key) for key, value in sections.items()],
-            objects("targets", config["targets"], _TARGET),
-            objects("internetTargets", config["internetTargets"], f"{_TARGET}, name: string, targetKind: string"),
-            objects(
-                "extensions",
-                config["extensions"],
-                f"id: string, path: string, entryPoint: string, enabled: boolean, targets: {_LIST}, "
-                "script: string, scriptBlock: string, inlineScript: string",
-            ),
-        ),
+    filled = F.struct(
+        *[value.alias(key) for key, value in sections.items()],
+        objects("targets", config["targets"], _TARGET),
+        objects("internetTargets", config["internetTargets"], _INTERNET),
+        objects("extensions", config["extensions"], _EXTENSION),
     )
+    return configs.withColumn("config", F.when(config.isNotNull(), filled))
 
 
 def stored_configs(spark: SparkSession, configs: DataFrame) -> DataFrame:
