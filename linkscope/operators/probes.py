@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkscope import schema
-from linkscope.functions.events import blank_to_null, with_json_fields
+from linkscope.functions.events import blank_to_null, is_object, with_json_fields
 
 # Fixed patterns of the tools' outputs. Letter case does not matter in any of them.
 HOP_LINE = r"^\d+\s+.+"
@@ -33,6 +33,39 @@ NSLOOKUP_ADDRESS = r"(?i)Address:\s+(\d{1,3}(\.\d{1,3}){3})"
 SHARE_TIMEOUT = 15
 TRACEROUTE_TIMEOUT = 20
 
+# Details that a collector writes into events; stored events hold these texts.
+AUTH_CACHE_DONE = "Kerberos ticket cache is available in the current Linux context."
+AUTH_CACHE_INVALID = "Kerberos ticket cache validation failed for the current Linux context."
+AUTH_KEYTAB_DONE = "Kerberos ticket acquisition and validation succeeded."
+AUTH_KEYTAB_INVALID = "Kerberos ticket cache validation failed after keytab acquisition."
+AUTH_LATE = "domainAuth probe exceeded {} seconds."
+AUTH_MODE = "domainAuth requires currentContext or kerberosKeytab Linux auth."
+AUTH_NO_KINIT = "kinit is required for keytab-backed Linux domainAuth probes."
+AUTH_NO_KLIST = "klist is required for Linux domainAuth probes."
+AUTH_NO_TICKET = "Kerberos ticket acquisition failed for the Linux domainAuth probe."
+AUTH_PLATFORM = "domainAuth is supported on Linux collectors only."
+DNS_NONE = "DNS query returned no address."
+DNS_NULL = "Cannot index into a null array."
+DNS_RESOLVED = "Resolved to "
+QUALITY_ACROSS = " ms across "
+QUALITY_GOOD = " successful samples."
+QUALITY_MEAN = "Average latency "
+QUALITY_NONE = "Every sample failed."
+SHARE_DONE = "Share access confirmed."
+SHARE_EMPTY = "Share probe succeeded but returned no visible items."
+SHARE_EXIT = "smbclient returned exit code "
+SHARE_LATE = "Share probe exceeded {} seconds."
+SHARE_MODE = "Linux share probe profile mode is not supported."
+SHARE_NONE = "Target has no configured shares."
+SHARE_NO_CLIENT = "smbclient is required for Linux share probes."
+SHARE_NO_KINIT = "kinit is required for keytab-backed Linux share probes."
+SHARE_NO_TICKET = "Kerberos ticket acquisition failed for the Linux share probe."
+TRACE_DONE = "Traceroute completed with "
+TRACE_HOPS = " hops."
+TRACE_LATE = "Traceroute exceeded {} seconds."
+TRACE_MISSING = "traceroute command is not available on this host."
+TRACE_NO_DATA = "Traceroute completed but no hop data was parsed."
+
 RUN_COLUMNS = ("run_id", "agent_id", "site_id", "target_id", "fqdn", "target_address", "captured_utc")
 
 
@@ -117,7 +150,7 @@ def trace_summary(hashes: DataFrame) -> DataFrame:
     return hashes.select(
         "*",
         F.lit("SUCCESS").alias("result"),
-        F.concat(F.lit("Traceroute completed with "), F.col("hop_count"), F.lit(" hops.")).alias("details"),
+        F.concat(F.lit(TRACE_DONE), F.col("hop_count"), F.lit(TRACE_HOPS)).alias("details"),
         F.to_json(F.struct(F.lit("summary").alias("role"), F.col("hop_count").alias("hopCount"))).alias(
             "metadata"
         ),
@@ -132,22 +165,22 @@ def trace_outcome(runs: DataFrame, hashes: DataFrame, timeout_seconds: int = TRA
     outcome = (
         F.when(
             F.col("tool_missing"),
-            _outcome("SKIPPED", "TracerouteMissing", "traceroute command is not available on this host."),
+            _outcome("SKIPPED", "TracerouteMissing", TRACE_MISSING),
         )
         .when(F.col("error_text").isNotNull(), _outcome("FATAL", "TracerouteFailure", F.col("error_text")))
         .when(
             F.col("timed_out"),
-            _outcome("TIMEOUT", "TracerouteTimeout", f"Traceroute exceeded {timeout_seconds} seconds."),
+            _outcome("TIMEOUT", "TracerouteTimeout", TRACE_LATE.format(timeout_seconds)),
         )
         .when(
             F.col("hop_count").isNull(),
-            _outcome("FAILURE", "NoPathData", "Traceroute completed but no hop data was parsed."),
+            _outcome("FAILURE", "NoPathData", TRACE_NO_DATA),
         )
         .otherwise(
             _outcome(
                 "SUCCESS",
                 None,
-                F.concat(F.lit("Traceroute completed with "), F.col("hop_count"), F.lit(" hops.")),
+                F.concat(F.lit(TRACE_DONE), F.col("hop_count"), F.lit(TRACE_HOPS)),
             )
         )
     )
@@ -285,16 +318,16 @@ def internet_quality(samples: DataFrame, keys: tuple[str, ...] = ("run_id",)) ->
     halfway = (mean * 8 == F.floor(mean * 8)) & (mean * 4 != F.floor(mean * 4))
     shown = F.format_number(F.when(halfway, mean + 0.0001).otherwise(mean), 2)
     details = F.concat(
-        F.lit("Average latency "),
+        F.lit(QUALITY_MEAN),
         shown,
-        F.lit(" ms across "),
+        F.lit(QUALITY_ACROSS),
         F.col("good").cast("string"),
         F.lit("/"),
         F.col("samples").cast("string"),
-        F.lit(" successful samples."),
+        F.lit(QUALITY_GOOD),
     )
     outcome = F.when(
-        F.col("good") == 0, _outcome("FAILURE", "AllSamplesFailed", "Every sample failed.")
+        F.col("good") == 0, _outcome("FAILURE", "AllSamplesFailed", QUALITY_NONE)
     ).otherwise(_outcome("SUCCESS", None, details))
     return counted.withColumn("outcome", outcome).select(
         *keys,
@@ -328,16 +361,16 @@ def dns_events(runs: DataFrame, lines: DataFrame) -> DataFrame:
     found = F.when(F.col("tool") == "dig", F.col("dig_address")).otherwise(F.col("nslookup_address"))
     outcome = (
         F.when(F.col("error_text").isNotNull(), _outcome("FATAL", "DnsQueryFailure", F.col("error_text")))
-        .when(found.isNotNull(), _outcome("SUCCESS", None, F.concat(F.lit("Resolved to "), found)))
+        .when(found.isNotNull(), _outcome("SUCCESS", None, F.concat(F.lit(DNS_RESOLVED), found)))
         .when(
             F.col("tool") == "nslookup",
-            _outcome("FATAL", "DnsQueryFailure", "Cannot index into a null array."),
+            _outcome("FATAL", "DnsQueryFailure", DNS_NULL),
         )
         .otherwise(
             _outcome(
                 "FAILURE",
                 "NoAddress",
-                F.coalesce(blank_to_null("output"), F.lit("DNS query returned no address.")),
+                F.coalesce(blank_to_null("output"), F.lit(DNS_NONE)),
             )
         )
     )
@@ -357,11 +390,12 @@ def share_events(runs: DataFrame, lines: DataFrame, timeout_seconds: int = SHARE
     """
     seen = lines.groupBy("run_id").agg(F.max(F.regexp_like("line", F.lit(r"\S"))).alias("any_text"))
     linux = F.col("platform") != "windows"
-    keytab = linux & (F.col("profile_mode") == "kerberosKeytab")
+    mode = F.lower("profile_mode")
+    keytab = linux & (mode == "kerberoskeytab")
     outcome = (
         F.when(
             F.col("share_id").isNull(),
-            _outcome("SKIPPED", "NoSharesConfigured", "Target has no configured shares."),
+            _outcome("SKIPPED", "NoSharesConfigured", SHARE_NONE),
         )
         .when(
             F.col("error_text").isNotNull(),
@@ -369,26 +403,26 @@ def share_events(runs: DataFrame, lines: DataFrame, timeout_seconds: int = SHARE
         )
         .when(
             linux & ~F.col("has_smbclient"),
-            _outcome("SKIPPED", "SmbClientMissing", "smbclient is required for Linux share probes."),
+            _outcome("SKIPPED", "SmbClientMissing", SHARE_NO_CLIENT),
         )
         .when(
             keytab & ~F.col("has_kinit"),
-            _outcome("SKIPPED", "LinuxKinitMissing", "kinit is required for keytab-backed Linux share probes."),
+            _outcome("SKIPPED", "LinuxKinitMissing", SHARE_NO_KINIT),
         )
         .when(
             F.col("timed_out"),
-            _outcome("TIMEOUT", "ShareTimeout", f"Share probe exceeded {timeout_seconds} seconds."),
+            _outcome("TIMEOUT", "ShareTimeout", SHARE_LATE.format(timeout_seconds)),
         )
         .when(
-            linux & ~F.col("profile_mode").isin(*schema.PROFILE_MODES),
-            _outcome("FAILURE", "LinuxAuthModeUnsupported", "Linux share probe profile mode is not supported."),
+            linux & ~mode.isin(*[known.lower() for known in schema.PROFILE_MODES]),
+            _outcome("FAILURE", "LinuxAuthModeUnsupported", SHARE_MODE),
         )
         .when(
             keytab & (F.col("kinit_exit_code") != 0),
             _outcome(
                 "FAILURE",
                 "LinuxKerberosAcquireFailed",
-                "Kerberos ticket acquisition failed for the Linux share probe.",
+                SHARE_NO_TICKET,
             ),
         )
         .when(
@@ -396,13 +430,13 @@ def share_events(runs: DataFrame, lines: DataFrame, timeout_seconds: int = SHARE
             _outcome(
                 "FAILURE",
                 "LinuxShareAccessFailed",
-                F.concat(F.lit("smbclient returned exit code "), F.col("exit_code").cast("string"), F.lit(".")),
+                F.concat(F.lit(SHARE_EXIT), F.col("exit_code").cast("string"), F.lit(".")),
             ),
         )
         .when(
-            F.coalesce("any_text", F.lit(False)), _outcome("SUCCESS", None, "Share access confirmed.")
+            F.coalesce("any_text", F.lit(False)), _outcome("SUCCESS", None, SHARE_DONE)
         )
-        .otherwise(_outcome("EMPTY", None, "Share probe succeeded but returned no visible items."))
+        .otherwise(_outcome("EMPTY", None, SHARE_EMPTY))
     )
     metadata = F.to_json(
         F.struct(
@@ -429,7 +463,8 @@ def auth_events(runs: DataFrame, timeout_seconds: int = SHARE_TIMEOUT) -> DataFr
     ``has_kinit``, ``kinit_exit_code``, ``klist_exit_code``, ``timed_out``, ``error_code`` and
     ``error_text``.
     """
-    keytab = F.col("profile_mode") == "kerberosKeytab"
+    mode = F.lower("profile_mode")
+    keytab = mode == "kerberoskeytab"
     windows = F.col("platform") == "windows"
     outcome = (
         F.when(
@@ -437,7 +472,7 @@ def auth_events(runs: DataFrame, timeout_seconds: int = SHARE_TIMEOUT) -> DataFr
             _outcome(
                 "SKIPPED",
                 "DomainAuthUnsupportedPlatform",
-                "domainAuth is supported on Linux collectors only.",
+                AUTH_PLATFORM,
             ),
         )
         .when(
@@ -445,33 +480,33 @@ def auth_events(runs: DataFrame, timeout_seconds: int = SHARE_TIMEOUT) -> DataFr
             _outcome("FATAL", F.coalesce("error_code", F.lit("DomainAuthProbeFailure")), F.col("error_text")),
         )
         .when(
-            F.col("profile_mode") == "usernamePassword",
+            mode == "usernamepassword",
             _outcome(
                 "SKIPPED",
                 "DomainAuthUnsupportedProfileMode",
-                "domainAuth requires currentContext or kerberosKeytab Linux auth.",
+                AUTH_MODE,
             ),
         )
         .when(
             ~F.col("has_klist"),
-            _outcome("SKIPPED", "LinuxKlistMissing", "klist is required for Linux domainAuth probes."),
+            _outcome("SKIPPED", "LinuxKlistMissing", AUTH_NO_KLIST),
         )
         .when(
             keytab & ~F.col("has_kinit"),
             _outcome(
-                "SKIPPED", "LinuxKinitMissing", "kinit is required for keytab-backed Linux domainAuth probes."
+                "SKIPPED", "LinuxKinitMissing", AUTH_NO_KINIT
             ),
         )
         .when(
             F.col("timed_out"),
-            _outcome("TIMEOUT", "DomainAuthTimeout", f"domainAuth probe exceeded {timeout_seconds} seconds."),
+            _outcome("TIMEOUT", "DomainAuthTimeout", AUTH_LATE.format(timeout_seconds)),
         )
         .when(
             keytab & (F.col("kinit_exit_code") != 0),
             _outcome(
                 "FAILURE",
                 "LinuxKerberosAcquireFailed",
-                "Kerberos ticket acquisition failed for the Linux domainAuth probe.",
+                AUTH_NO_TICKET,
             ),
         )
         .when(
@@ -479,8 +514,8 @@ def auth_events(runs: DataFrame, timeout_seconds: int = SHARE_TIMEOUT) -> DataFr
             _outcome(
                 "FAILURE",
                 "LinuxKerberosTicketMissing",
-                F.when(keytab, "Kerberos ticket cache validation failed after keytab acquisition.").otherwise(
-                    "Kerberos ticket cache validation failed for the current Linux context."
+                F.when(keytab, AUTH_KEYTAB_INVALID).otherwise(
+                    AUTH_CACHE_INVALID
                 ),
             ),
         )
@@ -488,8 +523,8 @@ def auth_events(runs: DataFrame, timeout_seconds: int = SHARE_TIMEOUT) -> DataFr
             _outcome(
                 "SUCCESS",
                 None,
-                F.when(keytab, "Kerberos ticket acquisition and validation succeeded.").otherwise(
-                    "Kerberos ticket cache is available in the current Linux context."
+                F.when(keytab, AUTH_KEYTAB_DONE).otherwise(
+                    AUTH_CACHE_DONE
                 ),
             )
         )
@@ -508,9 +543,11 @@ def tag_events(events: DataFrame, inventory: DataFrame) -> DataFrame:
     """Add the target's kind to event metadata, and ``targetClass`` for external targets.
 
     ``inventory`` has ``agent_id, target_id, target_kind``. Fields an event already has stay;
-    a target that is not in the inventory is internal.
+    a target that is not in the inventory is internal, one listed with both kinds is external.
+    Metadata that is missing or no JSON object counts as an empty object.
     """
     document = F.try_parse_json("metadata")
+    events = events.withColumn("metadata", F.when(is_object(document), F.col("metadata")).otherwise(F.lit("{}")))
     # A field counts as present even when its value is null.
     named = F.try_variant_get(document, "$.targetKind", "variant").isNotNull()
     kind = F.when(named, F.get_json_object("metadata", "$.targetKind")).otherwise(
@@ -521,7 +558,8 @@ def tag_events(events: DataFrame, inventory: DataFrame) -> DataFrame:
         "targetKind": F.when(~named, kind),
         "targetClass": F.when((kind == "external") & ~classed, F.lit("internet")),
     }
-    kinds = inventory.select("agent_id", "target_id", F.col("target_kind").alias("inventory_kind"))
+    # One row for each target, so that no event is repeated; "external" sorts before "internal".
+    kinds = inventory.groupBy("agent_id", "target_id").agg(F.min("target_kind").alias("inventory_kind"))
     return (
         events.join(kinds, ["agent_id", "target_id"], "left")
         .withColumn("metadata", with_json_fields("metadata", added))

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import types as T
 
-from conftest import NOON
+from conftest import NOON, event, frame
 from linkscope import schema
 from linkscope.operators import extensions, inventory, probes
 
@@ -182,3 +182,15 @@ def test_python_probe(spark):
     assert {(e.site_id, e.test_type, e.probe_name, e.metadata, e.timestamp_utc) for e in events} == {
         ("s", "custom", "go", '{"extensionId":"custom"}', NOON)
     }
+
+
+def test_tags_with_odd_inventory_and_metadata(spark):
+    """A target listed twice repeats no event; metadata that is no object counts as empty."""
+    rows = [event(n, metadata=text) for n, text in enumerate(['{"a":1}', None, "[1]", "{broken"])]
+    inventory = spark.createDataFrame(
+        [("branch-01", "fs01", "internal"), ("branch-01", "fs01", "external")],
+        "agent_id string, target_id string, target_kind string",
+    )
+    tagged = probes.tag_events(frame(spark, rows), inventory).orderBy("timestamp_utc").collect()
+    added = '"targetKind":"external","targetClass":"internet"}'
+    assert [row.metadata for row in tagged] == ['{"a":1,' + added, "{" + added, "{" + added, "{" + added]
