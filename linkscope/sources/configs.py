@@ -98,25 +98,33 @@ _PROFILE = "id: string, mode: string, secretReference: string"
 _INTERNET = f"{_TARGET}, name: string, targetKind: string"
 _EXTENSION = f"""id: string, path: string, entryPoint: string, enabled: boolean, targets: {_LIST},
   script: string, scriptBlock: string, inlineScript: string"""
-# Lists of objects; a single object counts as a list of one.
-_OBJECTS = {
-    "targets": _TARGET,
-    "internetTargets": _INTERNET,
-    "extensions": _EXTENSION,
-    "auth.linuxProfiles": _PROFILE,
-}
+# The lists of objects, read as single objects; a field that holds a list is then null.
+_SINGLE_TYPE = f"""struct<targets: struct<{_TARGET}>, internetTargets: struct<{_INTERNET}>, extensions: struct<{_EXTENSION}>,
+  auth: struct<linuxProfiles: struct<{_PROFILE}>>>"""
 
 
 def parse_configs(documents: DataFrame, document: str = "document") -> DataFrame:
-    """``document`` replaced by the ``config`` struct; null where it is no JSON object."""
-    config = F.from_json(document, CONFIG_TYPE)
-    rows = documents.withColumn("config", F.when(is_object(F.try_parse_json(document)), config))
-    fixed = F.col("config")
-    for path, kind in _OBJECTS.items():
-        text = F.get_json_object(document, f"$.{path}")
-        single = F.array(F.from_json(text, f"struct<{kind}>"))
-        fixed = F.when(F.startswith(text, F.lit("{")), fixed.withField(path, single)).otherwise(fixed)
-    return rows.withColumn("config", fixed).drop(document)
+    """``document`` replaced by the ``config`` struct; null where it is no JSON object.
+
+    A single object where a list of objects is expected counts as a list of one.
+    """
+    parsed = documents.select(
+        *[name for name in documents.columns if name not in (document, "config")],
+        is_object(F.try_parse_json(document)).alias("readable"),
+        F.from_json(document, CONFIG_TYPE).alias("config"),
+        F.from_json(document, _SINGLE_TYPE).alias("single"),
+    )
+    config, single = F.col("config"), F.col("single")
+
+    def listed(name: str, lists: Column, singles: Column) -> Column:
+        return F.coalesce(lists[name], F.when(singles[name].isNotNull(), F.array(singles[name])))
+
+    whole = config
+    for name in ("targets", "internetTargets", "extensions"):
+        whole = whole.withField(name, listed(name, config, single))
+    profiles = listed("linuxProfiles", config["auth"], single["auth"])
+    whole = whole.withField("auth", config["auth"].withField("linuxProfiles", profiles))
+    return parsed.withColumn("config", F.when(F.col("readable"), whole)).drop("readable", "single")
 
 
 def _defaulted(value: Column, default: object) -> Column:
