@@ -78,8 +78,9 @@ def rank_table(ids: DataFrame, kind: str, size: int) -> np.ndarray:
     def count(batches: Batches) -> Batches:
         seen = np.zeros(size, np.int64)
         for batch in batches:
-            for one in batch["ids"]:
-                seen += np.bincount(np.frombuffer(one.as_buffer(), kind), minlength=size)
+            ids_of = [np.frombuffer(one.as_buffer(), kind) for one in batch["ids"]]
+            if ids_of:
+                seen += np.bincount(np.concatenate(ids_of), minlength=size)
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(seen[found])], ["id", "n"])
 
@@ -166,21 +167,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - counts
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["part"]] * len(counts), pa.int32()),
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array(starts + row["first"]),
                         pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
                     ],
-                    ["part", "doc_id", "offset", "ids"],
+                    ["doc_id", "start", "ids"],
                 )
 
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stored.groupBy("part").agg(
         F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda total, n: total + n)).alias("part_ids")
     )
-    bases = sizes.select("part", F.coalesce(F.sum("part_ids").over(earlier), F.lit(0)).alias("base"))
-    return (
-        stored.mapInArrow(documents, "part int, doc_id bigint, offset bigint, ids binary")
-        .join(bases, "part")
-        .select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "ids")
+    # One row a part, stored so that its size is known: Spark sends it to the blocks instead of
+    # shuffling them, and no id moves again.
+    bases = staged(
+        sizes.select("part", F.coalesce(F.sum("part_ids").over(earlier), F.lit(0)).alias("base")), "token-bases"
     )
+    blocks = stored.join(bases, "part").withColumn("first", F.col("base") + F.col("first"))
+    return blocks.select(stored.columns).mapInArrow(documents, "doc_id bigint, start bigint, ids binary")
