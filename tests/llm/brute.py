@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -15,6 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@functools.cache
 def tokenizer(name: str) -> Tokenizer:
     found = Tokenizer.from_file(public_tokenizers.path(name))
     found.no_truncation()
