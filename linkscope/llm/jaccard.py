@@ -9,13 +9,17 @@ H + 1 signatures in any order that depends on the signatures alone. The order he
 fullest ranges first, which are the least likely to agree by chance. A set also takes part in the
 next band if a similar set can be that large.
 
-Equal sets are one node. Inside a signature group every node is compared with the smallest one; a
-node that fails there is compared with all others of its groups that it is not yet connected to.
-That leaves no link between unconnected nodes out and never writes all pairs of a group of copies.
+Equal sets are one node. Inside a signature group every node is compared with the smallest one. Where
+all of them link, the group is settled. A node that fails is compared with all other nodes of its
+family (what signature groups connect), but for those of sizes that rule a link out: blocks of failed
+nodes meet blocks of the family in tasks that count common shingles through an index of the block
+and return no more links than connect it. No link between unconnected nodes is left out, and the
+pairs of a group of copies are never written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,7 @@ Batches = Iterator[pa.RecordBatch]
 # Ranges for each signature that a set of the band can need; more ranges leave a choice of full ones.
 SPARE = 1.25
 MEMBERS_A_TASK = 4000
+SHINGLES_A_BLOCK = 500_000
 _TEXTS_A_STEP = 128
 
 
@@ -96,31 +101,31 @@ def _arrow(columns: dict[str, np.ndarray | list], schema: pa.Schema) -> pa.Recor
 _ROUTES = pa.schema([("signature", pa.int64()), ("node", pa.int64()), ("centre", pa.int64())])
 
 
-def _routes(found: dict[int, np.ndarray], stars: bool) -> pa.RecordBatch:
+def _routes(found: dict[int, np.ndarray]) -> pa.RecordBatch:
     """Rows (signature, node, centre) of the nodes of a batch.
 
-    With ``stars`` a signature that several nodes of the batch share is sent on once, for the
-    smallest; the others name that one as their centre and travel under a signature of their own,
-    so that a group with a third of all rows is no hot key.
+    A signature that several nodes of the batch share is sent on once, for the smallest; the others
+    name that one as their centre and travel under a signature of their own, so that a group with
+    a third of all rows is no hot key.
     """
     nodes = np.repeat(np.fromiter(found, np.int64, len(found)), [len(s) for s in found.values()])
     names = np.concatenate([*found.values(), np.zeros(0, np.uint64)])
     order = np.lexsort((nodes, names))
     nodes, names = nodes[order], names[order]
-    centre = np.zeros(len(nodes), np.int64)
-    repeated = np.zeros(len(nodes), bool)
-    if stars and len(nodes):
-        first = np.concatenate(([True], names[1:] != names[:-1]))
-        repeated = ~first
-        centre = nodes[np.flatnonzero(first)][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack((nodes[repeated], centre[repeated])), axis=1)
-        nodes = np.concatenate((nodes[first], pairs[0]))
-        centre = np.concatenate((np.zeros(int(first.sum()), np.int64), pairs[1]))
-        own = mix(mix(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64))
-        repeated = np.arange(len(nodes)) >= int(first.sum())
-        names = np.concatenate((names[first], own))
+    first = np.concatenate((np.ones(min(1, len(names)), bool), names[1:] != names[:-1]))
+    heads = nodes[first]
+    centre = heads[np.cumsum(first) - 1]
+    pairs = np.unique(np.stack((nodes[~first], centre[~first])), axis=1)
+    own = mix(mix(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64))
+    names = np.concatenate((names[first], own))
+    named = np.arange(len(names)) < len(heads)
     return pa.RecordBatch.from_arrays(
-        [pa.array(names.view(np.int64)), pa.array(nodes), pa.array(centre, mask=~repeated)], schema=_ROUTES
+        [
+            pa.array(names.view(np.int64)),
+            pa.array(np.concatenate((heads, pairs[0]))),
+            pa.array(np.concatenate((heads, pairs[1])), mask=named),
+        ],
+        schema=_ROUTES,
     )
 
 
@@ -152,21 +157,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     rows = staged(texts.mapInArrow(describe, "doc_id bigint, n bigint, high bigint, low bigint"), "jaccard-rows")
     nodes = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"))
 
-    def routes(stars: bool, among=None):
-        def emit(batches: Batches) -> Batches:
-            for batch in batches:
-                found: dict[int, np.ndarray] = {}
-                for _, hashes in _sets(batch, width):
-                    node = set_digest(hashes)[0]
-                    if len(hashes) and node not in found and (among is None or _held(among.value, node)):
-                        found[node] = signatures(hashes, percent)
-                yield _routes(found, stars)
-
-        return texts.mapInArrow(emit, "signature bigint, node bigint, centre bigint")
+    def route(batches: Batches) -> Batches:
+        for batch in batches:
+            found: dict[int, np.ndarray] = {}
+            for _, hashes in _sets(batch, width):
+                node = set_digest(hashes)[0]
+                if len(hashes) and node not in found:
+                    found[node] = signatures(hashes, percent)
+            yield _routes(found)
 
     in_group = W.partitionBy("signature")
     pairs = staged(
-        routes(stars=True)
+        texts.mapInArrow(route, "signature bigint, node bigint, centre bigint")
         .withColumn("centre", F.coalesce("centre", F.min("node").over(in_group)))
         .where("centre <> node")
         .select("centre", "node")
@@ -199,13 +201,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         "jaccard-sets",
     )
     judged = _judge(pairs, sets, percent)
-    failed = judged.where("not linked")
-    links = judged.where("linked")
-    if failed.limit(1).count():
-        links = links.union(_rest(routes(stars=False, among=candidates), judged, sets, percent).where("linked"))
-    grouped = components(
-        links.select(F.greatest("head", "centre_head").alias("high"), F.least("head", "centre_head").alias("low"))
-    )
+    links = judged.where("linked").select("high", "low")
+    if judged.where("not linked").limit(1).count():
+        links = links.union(_rest(judged, sets, percent))
+    grouped = components(links)
     labelled = nodes.join(grouped, F.col("head") == F.col("node"), "left").select(
         "high", "low", F.coalesce("component", "head").alias("component")
     )
@@ -221,7 +220,7 @@ def _held(table: np.ndarray, node: int) -> bool:
 
 
 def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compare each node with its centre: centre, node, their heads and linked.
+    """Compare each node with its centre: their heads as high and low, the node's head, and linked.
 
     Rows of a centre are dealt out in shares of bounded size; its set goes first in each of them.
     """
@@ -237,15 +236,7 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(sets, "node")
         .select("centre", F.pmod(F.hash("node"), "shares").alias("share"), "node", "head", "shingles")
     )
-    schema = pa.schema(
-        [
-            ("centre", pa.int64()),
-            ("node", pa.int64()),
-            ("centre_head", pa.int64()),
-            ("head", pa.int64()),
-            ("linked", pa.bool_()),
-        ]
-    )
+    schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("head", pa.int64()), ("linked", pa.bool_())])
 
     def compare(batches: Batches) -> Batches:
         key, held = None, []
@@ -260,7 +251,9 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         key, held = (centre, share), []
                     held.append((head, hashes.copy()))
                     continue
-                out += [(centre, node, h, head, similar(own, hashes, percent)) for h, own in held if h != head]
+                out += [
+                    (max(head, h), min(head, h), head, similar(own, hashes, percent)) for h, own in held if h != head
+                ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row[n] for row in out], field.type) for n, field in enumerate(schema)], schema=schema
             )
@@ -271,31 +264,120 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .sortWithinPartitions("centre", "share", F.col("node").asc_nulls_first())
     )
     return staged(
-        ordered.mapInArrow(compare, "centre bigint, node bigint, centre_head bigint, head bigint, linked boolean"),
+        ordered.mapInArrow(compare, "high bigint, low bigint, head bigint, linked boolean"),
         "jaccard-judged",
     )
 
 
-def _rest(routes: DataFrame, judged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compare nodes that failed with their centre with the others of their groups."""
-    linked = judged.where("linked")
-    groups = components(
-        linked.select(F.greatest("head", "centre_head").alias("high"), F.least("head", "centre_head").alias("low"))
-    )
-    heads = (
-        sets.select("node", "head")
-        .join(groups.withColumnRenamed("node", "head"), "head", "left")
-        .select("node", F.coalesce("component", "head").alias("component"))
+class Block:
+    """Some sets with an index of their shingles, for counting what another set has in common with each."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]) -> None:
+        self.heads = [row[0] for row in rows]
+        self.components = [row[1] for row in rows]
+        self.sizes = np.array([len(row[2]) for row in rows])
+        values = np.concatenate([row[2] for row in rows])
+        order = np.argsort(values, kind="stable")
+        self.owners = np.repeat(np.arange(len(rows)), self.sizes)[order]
+        self.values, self.starts, self.counts = np.unique(values[order], return_index=True, return_counts=True)
+
+    def similar(self, hashes: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the sets that have the similarity."""
+        at = np.minimum(np.searchsorted(self.values, hashes), len(self.values) - 1)
+        at = at[self.values[at] == hashes]
+        counts = self.counts[at]
+        # The index entries of all shingles found, one run after another.
+        entries = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        common = np.bincount(self.owners[entries], minlength=len(self.heads))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(hashes) - common))
+
+
+def _rest(judged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (high, low) of nodes that failed with a centre to nodes of their family in other components."""
+    linked = components(judged.where("linked")).withColumnsRenamed({"node": "head"})
+    families = components(judged).withColumnsRenamed({"node": "head", "component": "family"})
+    failed = judged.where("not linked").select("head").distinct()
+    open_families = failed.join(families, "head").select("family").distinct()
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    members = staged(
+        sets.join(families.join(open_families, "family"), "head")
+        .join(linked, "head", "left")
+        .join(failed.withColumn("failed", F.lit(True)), "head", "left")
+        .withColumn("n", F.expr("octet_length(shingles) div 8"))
+        .select(
+            "family",
+            band.alias("band"),
+            "head",
+            F.coalesce("component", "head").alias("component"),
+            F.coalesce("failed", F.lit(False)).alias("failed"),
+            "n",
+            "shingles",
+        ),
+        "jaccard-family",
     )
-    placed = staged(routes.select("signature", "node").distinct().join(heads, "node"), "jaccard-routes")
-    failed = judged.where("not linked").select("node").distinct()
-    again = placed.join(failed, "node").withColumnsRenamed({"node": "centre", "component": "centre_component"})
-    pairs = (
-        placed.join(again, "signature")
-        .where("component <> centre_component")
-        .select("centre", "node")
-        .distinct()
-        .join(judged.select("centre", "node"), ["centre", "node"], "left_anti")
-        .join(judged.select(F.col("node").alias("centre"), F.col("centre").alias("node")), ["centre", "node"], "left_anti")
+    # A failed node can only link to sizes of its own band and the two beside it.
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    failed_rows = members.where("failed").select("family", near, "head", "component", "n", "shingles")
+
+    def blocks(frame: DataFrame, name: str) -> DataFrame:
+        count = F.ceil(F.sum("n") / SHINGLES_A_BLOCK).cast("int").alias(name)
+        return frame.groupBy("family", "band").agg(count)
+
+    counts = blocks(members, "blocks").join(blocks(failed_rows, "fail_blocks"), ["family", "band"])
+    key = ["family", "band", "block", "fail_block"]
+
+    def dealt(frame: DataFrame, own: str, others: str, own_count: str, other_count: str) -> DataFrame:
+        return frame.join(counts, ["family", "band"]).select(
+            "family",
+            "band",
+            F.pmod(F.hash("head"), own_count).alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(others),
+            "head",
+            "component",
+            "shingles",
+        )
+
+    stream = (
+        dealt(members, "block", "fail_block", "blocks", "fail_blocks")
+        .select(*key, "head", "component", "shingles", F.lit(0).alias("kind"))
+        .union(
+            dealt(failed_rows, "fail_block", "block", "fail_blocks", "blocks").select(
+                *key, "head", "component", "shingles", F.lit(1).alias("kind")
+            )
+        )
+        .repartition(*key)
+        .sortWithinPartitions(*key, "kind")
     )
-    return _judge(staged(pairs, "jaccard-rest"), sets, percent)
+    schema = pa.schema([("high", pa.int64()), ("low", pa.int64())])
+
+    def connect(batches: Batches) -> Batches:
+        current, rows, block, parent = None, [], None, {}
+
+        def root(component: int) -> int:
+            while parent.setdefault(component, component) != component:
+                component = parent[component]
+            return component
+
+        for batch in batches:
+            out = []
+            names = zip(*(batch[name].to_pylist() for name in (*key, "head", "component", "kind")), strict=True)
+            for (*place, head, component, kind), shingles in zip(names, batch["shingles"], strict=True):
+                if place != current:
+                    current, rows, block, parent = place, [], None, {}
+                hashes = np.frombuffer(shingles.as_buffer(), np.uint64)
+                if kind == 0:
+                    rows.append((head, component, hashes.copy()))
+                    continue
+                if not rows:
+                    continue
+                block = block or Block(rows)
+                for n in block.similar(hashes, percent).tolist():
+                    one, other = root(component), root(block.components[n])
+                    if one != other:
+                        parent[one] = other
+                        out.append((max(head, block.heads[n]), min(head, block.heads[n])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row[n] for row in out], pa.int64()) for n in (0, 1)], schema=schema
+            )
+
+    return staged(stream.mapInArrow(connect, "high bigint, low bigint"), "jaccard-rest")

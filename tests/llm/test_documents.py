@@ -61,6 +61,24 @@ def test_families_of_near_copies(spark):
         assert found == sorted(brute.near_duplicates(docs, width, percent), key=repr)
 
 
+def test_families_around_the_threshold_in_many_blocks(spark, monkeypatch):
+    """Most comparisons with a centre fail, and links are found between failed nodes."""
+    monkeypatch.setattr(jaccard, "SHINGLES_A_BLOCK", 700)
+    random = np.random.default_rng(2)
+    docs = []
+    for family in range(3):
+        base = [f"f{family}w{n}" for n in range(150)]
+        for n in range(60):
+            words = list(base)
+            for at in random.integers(0, len(words), random.integers(1, 14)):
+                words[at] = f"new{family}-{n // 2}-{at}"
+            docs.append((1000 * family + n, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = rows(jaccard.near_duplicates(frame))
+    assert found == sorted(brute.near_duplicates(docs), key=repr)
+    assert len({row[2] for row in found}) > 10
+
+
 def test_odd_documents_have_components(spark, odd_documents, no_documents):
     docs = [(row["doc_id"], row["text"]) for row in odd_documents.collect()]
     assert rows(jaccard.near_duplicates(odd_documents)) == sorted(brute.near_duplicates(docs), key=repr)
