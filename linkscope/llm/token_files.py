@@ -111,7 +111,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     ranks = spark.sparkContext.broadcast(rank_of)  # one number for each id of the vocabulary
 
     def blocks(batches: Batches) -> Batches:
-        part, number, first = TaskContext.get().partitionId(), 0, 0
+        part, number, first, size = TaskContext.get().partitionId(), 0, 0, 0
         docs_in, counts, held = [], [], []
 
         def block() -> pa.RecordBatch:
@@ -125,10 +125,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                 docs_in.append(doc_id)
                 counts.append(len(found))
                 held.append(found.copy())
-                if sum(counts) >= IDS_A_BLOCK:
+                size += len(found)
+                if size >= IDS_A_BLOCK:
                     yield block()
-                    first += sum(counts)
-                    number += 1
+                    number, first, size = number + 1, first + size, 0
                     docs_in, counts, held = [], [], []
         if docs_in:
             yield block()

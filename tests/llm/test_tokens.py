@@ -96,3 +96,11 @@ def test_odd_texts_in_token_files(spark, odd_documents, no_documents):
         found = [(r["doc_id"], r["start"], len(r["ids"]) // 4) for r in token_files.read(spark, folder).collect()]
         docs = sorted((row["doc_id"], row["text"]) for row in frame.collect())
         assert sorted(found) == [row[:3] for row in brute.token_file_rows(docs)]
+
+
+def test_tiny_documents_fill_several_blocks(spark):
+    docs = spark.range(0, 140_000, 1, 2).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text")
+    folder = shared_folder(spark, "tiny")
+    token_files.write(docs, folder, BYTE_BPE)
+    assert spark.read.parquet(f"{folder}/parts").where("block > 0").count() > 0
+    assert token_files.read(spark, folder).where("start <> doc_id OR octet_length(ids) <> 4").count() == 0
