@@ -5,7 +5,10 @@ row may fill in history but never replaces newer state. The streaming aggregates
 per key (a target, or a hop of a path) and combine rows within each task before the shuffle.
 
 Changed rows are appended per micro-batch under ``epoch=<id>``; replaying a micro-batch
-rewrites its own folder. Readers take the newest epoch per key.
+rewrites its own folder. Readers take the newest epoch per key. Every few micro-batches the newest
+rows are merged into ``base=<id>``: readers start from the newest complete base and need only
+the epochs after it. What a base replaces is deleted one merge later, so a reader that
+began before a merge finds its files, and a merge cut short is simply made again.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkscope.functions.filters import incident_rows
 from linkscope.operators import board, paths, state
-from linkscope.sources.tables import read_or_empty
+from linkscope.session import remove_folder
 
 
 def _start(
@@ -35,15 +38,72 @@ def _start(
     return writer.start()
 
 
+# Micro-batches between two merges.
+MERGE_EVERY = 20
+
+
 def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
 
+def _numbered_folders(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Complete bases and epochs of a folder, ascending."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop_path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"base": [], "epoch": []}
+    if store.exists(root):
+        for entry in store.listStatus(root):
+            kind, _, number = entry.getPath().getName().partition("=")
+            if kind in found and store.exists(hadoop_path(entry.getPath(), "_SUCCESS")):
+                found[kind].append(int(number))
+    return sorted(found["base"]), sorted(found["epoch"])
+
+
+def stored_epochs(spark: SparkSession, path: str, rows: T.StructType, before: int | None = None) -> DataFrame:
+    """Rows with their epoch: the newest base (below ``before``), and all epochs after it."""
+    path = path.rstrip("/")
+    bases, epochs = _numbered_folders(spark, path)
+    base = max((n for n in bases if before is None or n < before), default=None)
+    columns = T.StructType([*rows.fields, T.StructField("epoch", T.LongType())])
+    after = [f"{path}/epoch={n}" for n in epochs if base is None or n > base]
+    changed = (
+        spark.read.schema(columns).option("basePath", path).parquet(*after)
+        if after
+        else spark.createDataFrame([], columns)
+    )
+    return changed if base is None else spark.read.schema(columns).parquet(f"{path}/base={base}").union(changed)
+
+
+def merge_epochs(
+    spark: SparkSession, path: str, rows: T.StructType, keys: Sequence[str], epoch: int, every: int = MERGE_EVERY
+) -> None:
+    """After every ``every`` micro-batches: the newest rows become a base, what the base before it replaced goes.
+
+    All rows of a key's newest epoch stay. A replayed micro-batch makes its base again, from the one before.
+    """
+    if (epoch + 1) % every:
+        return
+    path = path.rstrip("/")
+    newest_rows(stored_epochs(spark, path, rows, epoch), keys).write.mode("overwrite").parquet(f"{path}/base={epoch}")
+    bases, epochs = _numbered_folders(spark, path)
+    earlier = [n for n in bases if n < epoch]
+    if earlier:
+        for name in [f"base={n}" for n in earlier[:-1]] + [f"epoch={n}" for n in epochs if n <= earlier[-1]]:
+            remove_folder(spark, f"{path}/{name}")
+
+
+def newest_rows(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of each key's newest epoch."""
+    newest = stored.groupBy(*keys).agg(F.max("epoch").alias("epoch"))
+    return stored.join(newest, [*keys, "epoch"], "left_semi").select(stored.columns)
+
+
 def read_latest(
     spark: SparkSession, path: str, rows: T.StructType, keys: Sequence[str]
 ) -> DataFrame:
     """Newest epoch per key of a folder written by :func:`write_epoch`."""
-    stored = read_or_empty(spark, path, T.StructType(rows.fields + [T.StructField("epoch", T.LongType())]))
+    stored = stored_epochs(spark, path, rows)
     values = [c for c in rows.names if c not in keys]
     return (
         stored.groupBy(*keys)
@@ -56,16 +116,20 @@ def read_latest(
 
 
 def start_latest_state(
-    events: DataFrame, path: str, checkpoint: str, interval_seconds: int | None = None
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval_seconds: int | None = None,
+    merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Keep the current state and latency of every target under ``path``."""
-    return _start(
-        board.target_state(events),
-        lambda rows, epoch: write_epoch(rows, path, epoch),
-        checkpoint,
-        "update",
-        interval_seconds,
-    )
+    current = board.target_state(events)
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        write_epoch(rows, path, epoch)
+        merge_epochs(rows.sparkSession, path, current.schema, state.TARGET_KEYS, epoch, merge_every)
+
+    return _start(current, write, checkpoint, "update", interval_seconds)
 
 
 def read_latest_state(spark: SparkSession, path: str, events: DataFrame) -> DataFrame:
@@ -96,7 +160,11 @@ def start_incidents(
 # -- path changes ------------------------------------------------------------
 
 def start_path_changes(
-    events: DataFrame, path: str, checkpoint: str, interval_seconds: int | None = None
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval_seconds: int | None = None,
+    merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Keep the latest hop of every path, and the path changes of every touched target.
 
@@ -113,13 +181,17 @@ def start_path_changes(
         touched = spark.read.parquet(f"{path}/hops/epoch={epoch}").select("agent_id", "target_id").distinct()
         latest = read_latest(spark, f"{path}/hops", hop_schema, paths.HOP_KEYS)
         again = latest.join(touched, ["agent_id", "target_id"], "left_semi")
-        write_epoch(paths.changes_from_hops(again), f"{path}/changes", epoch)
+        changes = paths.changes_from_hops(again)
+        write_epoch(changes, f"{path}/changes", epoch)
+        merge_epochs(spark, f"{path}/hops", hop_schema, paths.HOP_KEYS, epoch, merge_every)
+        merge_epochs(spark, f"{path}/changes", changes.schema, ("target_key",), epoch, merge_every)
 
     return _start(hops, write, checkpoint, "update", interval_seconds)
 
 
 def read_path_changes(spark: SparkSession, path: str) -> DataFrame:
     """Current path changes: per target, those of the newest epoch that touched it."""
-    changes = spark.read.parquet(f"{path}/changes")
-    newest = changes.groupBy("target_key").agg(F.max("epoch").alias("epoch"))
-    return changes.join(newest, ["target_key", "epoch"], "left_semi").drop("epoch")
+    bases, epochs = _numbered_folders(spark, f"{path}/changes")
+    folder = f"base={bases[-1]}" if bases else f"epoch={epochs[-1]}"
+    rows = spark.read.parquet(f"{path}/changes/{folder}").drop("epoch").schema
+    return newest_rows(stored_epochs(spark, f"{path}/changes", rows), ("target_key",)).drop("epoch")

@@ -47,3 +47,35 @@ def test_path_changes_follow_the_batch_result(spark, tmp_path):
         want = paths.changes_from_hops(paths.latest_hops(spark.read.parquet(folder)))
         assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert {(r.target_id, r.previous_path_hash, r.path_hash) for r in found.collect()} == {("t", "B", "A"), ("u", "A", "C")}
+
+
+def stored(path):
+    return sorted(p.name for p in path.iterdir() if not p.name.startswith(("_", ".")))
+
+
+def test_merges_bound_what_a_reader_opens(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for minute in range(9):
+        rows = [hop(minute, "AB"[minute % 2], n, f"h{n}", target_id=f"t{minute % 3}") for n in (1, 2)]
+        stream.start_path_changes(feed(spark, folder, rows), out, checkpoint, merge_every=2).awaitTermination()
+        # At most two bases, and the epochs of two merges and one micro-batch.
+        assert len(stored(tmp_path / "out" / "hops")) <= 7
+        assert len(stored(tmp_path / "out" / "changes")) <= 7
+    found = stream.read_path_changes(spark, out)
+    want = paths.changes_from_hops(paths.latest_hops(spark.read.parquet(folder)))
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_merge_cut_short_is_ignored_and_made_again(spark, tmp_path):
+    path, rows = str(tmp_path / "state"), spark.createDataFrame([], "k long, v long").schema
+    for epoch in range(4):
+        stream.write_epoch(spark.createDataFrame([(epoch % 2, epoch), (9, epoch)], rows), path, epoch)
+        stream.merge_epochs(spark, path, rows, ("k",), epoch, 2)
+    want = [(0, 2), (1, 3), (9, 3)]
+    assert sorted(map(tuple, stream.read_latest(spark, path, rows, ("k",)).collect())) == want
+    (tmp_path / "state" / "base=3" / "_SUCCESS").unlink()
+    assert sorted(map(tuple, stream.read_latest(spark, path, rows, ("k",)).collect())) == want
+    stream.write_epoch(spark.createDataFrame([(1, 3), (9, 3)], rows), path, 3)
+    stream.merge_epochs(spark, path, rows, ("k",), 3, 2)
+    assert sorted(map(tuple, stream.read_latest(spark, path, rows, ("k",)).collect())) == want
+    assert stored(tmp_path / "state") == ["base=1", "base=3", "epoch=2", "epoch=3"]
