@@ -9,8 +9,9 @@ H + 1 signatures in any order that depends on the signatures alone. The order he
 fullest ranges first, which are the least likely to agree by chance. A set also takes part in the
 next band if a similar set can be that large.
 
-Equal sets are one node. Inside a signature group every node is compared with the smallest one. Where
-all of them link, the group is settled. A node that fails is compared with all other nodes of its
+Equal sets are one node. Inside a signature group every node is compared with the smallest one, or with
+the smallest of its batch, which is compared with that. Where all of them link, the group is settled. A node
+that fails, or whose batch's smallest node fails, is compared with all other nodes of its
 family (what signature groups connect), but for those of sizes that rule a link out: blocks of failed
 nodes meet blocks of the family in tasks that count common shingles through an index of the block
 and return no more links than connect it. No link between unconnected nodes is left out, and the
@@ -220,7 +221,7 @@ def _held(table: np.ndarray, node: int) -> bool:
 
 
 def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compare each node with its centre: their heads as high and low, the node's head, and linked.
+    """Compare each node with its centre: their heads as high and low, both nodes, the node's head, and linked.
 
     Rows of a centre are dealt out in shares of bounded size; its set goes first in each of them.
     """
@@ -236,7 +237,7 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(sets, "node")
         .select("centre", F.pmod(F.hash("node"), "shares").alias("share"), "node", "head", "shingles")
     )
-    schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("head", pa.int64()), ("linked", pa.bool_())])
+    schema = pa.schema([(name, pa.int64()) for name in ("high", "low", "centre", "node", "head")] + [("linked", pa.bool_())])
 
     def compare(batches: Batches) -> Batches:
         key, held = None, []
@@ -252,7 +253,9 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     held.append((head, hashes.copy()))
                     continue
                 out += [
-                    (max(head, h), min(head, h), head, similar(own, hashes, percent)) for h, own in held if h != head
+                    (max(head, h), min(head, h), centre, node, head, similar(own, hashes, percent))
+                    for h, own in held
+                    if h != head
                 ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row[n] for row in out], field.type) for n, field in enumerate(schema)], schema=schema
@@ -264,7 +267,9 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .sortWithinPartitions("centre", "share", F.col("node").asc_nulls_first())
     )
     return staged(
-        ordered.mapInArrow(compare, "high bigint, low bigint, head bigint, linked boolean"),
+        ordered.mapInArrow(
+            compare, "high bigint, low bigint, centre bigint, node bigint, head bigint, linked boolean"
+        ),
         "jaccard-judged",
     )
 
@@ -293,10 +298,15 @@ class Block:
 
 
 def _rest(judged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (high, low) of nodes that failed with a centre to nodes of their family in other components."""
+    """Links (high, low) of nodes that failed with a centre to nodes of their family in other components.
+
+    Nodes behind a failed node of their batch have not met the centre it failed with: they count as failed.
+    """
     linked = components(judged.where("linked")).withColumnsRenamed({"node": "head"})
     families = components(judged).withColumnsRenamed({"node": "head", "component": "family"})
-    failed = judged.where("not linked").select("head").distinct()
+    missed = judged.where("not linked").select("node", "head")
+    behind = judged.join(missed.select(F.col("node").alias("centre")).distinct(), "centre", "left_semi").select("head")
+    failed = missed.select("head").union(behind).distinct()
     open_families = failed.join(families, "head").select("family").distinct()
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
     members = staged(

@@ -79,6 +79,21 @@ def test_families_around_the_threshold_in_many_blocks(spark, monkeypatch):
     assert len({row[2] for row in found}) > 10
 
 
+def test_links_behind_a_failed_node_of_a_batch(spark):
+    """o and h = o and one more word are in one batch; o links with c of another batch, and h does not."""
+    first, second = [], []
+    for n in range(120):
+        words = [f"s{n}w{at}" for at in range(95)]
+        one, other = " ".join(words), " ".join(words[:-7] + [f"s{n}c{at}" for at in range(8)])
+        first += [(3 * n, one), (3 * n + 1, f"{one} s{n}x")]
+        second.append((3 * n + 2, other))
+        common = brute.shingles(one, 4) & brute.shingles(other, 4)
+        assert (len(brute.shingles(one, 4)), len(brute.shingles(other, 4)), len(common)) == (92, 93, 85)
+    parts = spark.sparkContext.parallelize(first + second, 3)  # the third one is ``second``
+    frame = spark.createDataFrame(parts, "doc_id long, text string")
+    assert rows(jaccard.near_duplicates(frame)) == sorted(brute.near_duplicates(first + second), key=repr)
+
+
 def test_odd_documents_have_components(spark, odd_documents, no_documents):
     docs = [(row["doc_id"], row["text"]) for row in odd_documents.collect()]
     assert rows(jaccard.near_duplicates(odd_documents)) == sorted(brute.near_duplicates(docs), key=repr)
