@@ -5,6 +5,10 @@ difference of two vectors at distance d projects to a normal variable of spread
 around a query an estimated probability of holding a neighbour. A query visits buckets in falling order of
 that estimate until it adds up to the wanted success, in each of several tables; candidates of all tables
 are merged and ranked by their exact distance.
+
+The first visit assumes a typical neighbour distance. A query whose k-th candidate is farther than that
+visits more buckets, until the estimate reaches the wanted success at that candidate's own distance. With fewer
+than k candidates, or where that takes very many buckets, it visits all vectors of its length.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ SLOT_WIDTH = 0.9  # in typical neighbour distances
 SUCCESS = 0.72  # of each table; two tables miss (1 - 0.72) ** 2 of the neighbours
 SAMPLE_ROWS = 2048
 PAGE_ROWS = 2048
+MOST_PROBES = 1000  # of a table; a query that needs more visits all vectors of its length
 _REACH = 4.0  # slots beyond this many spreads are never probed
 
 
@@ -118,7 +123,8 @@ def nearest(
     Both inputs have id and vector (see ``usable_vectors``); a candidate with the query's id is left
     out. Every row is indexed in every table. Ties go to the smaller vec_id, vectors are compared with those
     of equal length only, and empty tables give no rows. A bucket of any size is
-    dealt out in pages, all of which a probe visits.
+    dealt out in pages, all of which a probe visits. Each query reaches ``success`` for the distance of its own
+    k-th candidate; with fewer candidates than ``k`` it sees all.
     """
     spreads = typical_distances(vectors, k, SAMPLE_ROWS)
 
@@ -131,14 +137,18 @@ def nearest(
         return ids, values
 
     def place(batches, probing: bool):
+        """Buckets of vectors or, probing, of queries; those of a query with a spread lack its first ones."""
         kinds = {"id": pa.int64(), "number": pa.int32(), "bucket": pa.list_(pa.int64()), "length": pa.int32()}
         for batch in batches:
             ids, values = rows_of(batch)
             out: dict[str, list] = {name: [] for name in kinds}
-            for own, value in zip(ids, values, strict=True):
+            own_spreads = batch["spread"].to_pylist() if probing else [None] * len(ids)
+            for own, value, spread in zip(ids, values, own_spreads, strict=True):
                 for number in range(tables):
                     at = places(value[None], number)[0]
                     slots = probes(at, 1 / width, success) if probing else [tuple(np.floor(at).astype(int).tolist())]
+                    if spread is not None:
+                        slots = sorted(set(probes(at, spread, success)).difference(slots))
                     for bucket in slots:
                         for name, cell in zip(kinds, (own, number, bucket, len(value)), strict=True):
                             out[name].append(cell)
@@ -158,13 +168,11 @@ def nearest(
     )
     key = ["number", "bucket", "length"]
     stored = indexed.join(buckets, key).withColumn("page", F.pmod(F.xxhash64("id"), "pages").cast("int"))
-    asked = (
-        placed(queries, True)
-        .join(buckets, key)
-        .join(queries, "id")
-        .withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-        .withColumn("bound", F.lit(0.0))
-    )
+    in_pages = F.explode(F.sequence(F.lit(0), F.col("pages") - 1))
+
+    def asked(frame: DataFrame) -> DataFrame:
+        found = placed(frame, True).join(buckets, key).join(frame.drop("spread"), "id")
+        return found.withColumn("page", in_pages).withColumn("bound", F.lit(0.0))
 
     def search(_, ids, table, query_ids, query_table, __):
         squares = (table**2).sum(1)
@@ -184,6 +192,37 @@ def nearest(
             np.concatenate([one[1] for one in found]),
         )
 
-    hits = visit(stored, asked, [*key, "page"], search, "double")
-    merged = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return best(merged, k, F.col("score"))
+    def ranked(hits: DataFrame) -> DataFrame:
+        merged = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return best(merged, k, F.col("score"))
+
+    blind = queries.select("id", "vector", F.lit(None).cast("double").alias("spread"))
+    first = staged(ranked(visit(stored, asked(blind), [*key, "page"], search, "double")), "lsh-first")
+
+    # Slots that a query's k-th distance spans; null where it has fewer candidates.
+    last = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("last"))
+    pairs = [F.lit(x) for pair in ((-1, 1.0), *spreads.items()) for x in pair]
+    typical = F.coalesce(F.try_element_at(F.create_map(*pairs), F.size("vector")), F.lit(1.0))
+    spread = F.col("last") / (width * typical)
+    again = staged(
+        queries.join(last, "id", "left")
+        .where(F.col("last").isNull() | (F.col("last") > typical))
+        .select("id", "vector", spread.alias("spread")),
+        "lsh-again",
+    )
+    # No bucket is likelier than 1 / (spread * sqrt(2 * pi)) ** count.
+    far = F.col("spread").isNull() | (success * (F.col("spread") * math.sqrt(2 * math.pi)) ** count > MOST_PROBES)
+    near = asked(again.where(~far))
+
+    # All vectors of a length in pages of bounded size, whatever their buckets are.
+    length = F.size("vector").alias("length")
+    pages = vectors.groupBy(length).agg(F.ceil(F.count("*") / page_rows).cast("int").alias("pages"))
+    everything = vectors.select("id", "vector", length).join(pages, "length")
+    everyone = again.where(far).select("id", "vector", length).join(pages, "length").withColumn("page", in_pages)
+    hits = first.select("query_id", "vec_id", "score").union(visit(stored, near, [*key, "page"], search, "double"))
+    if again.where(far).limit(1).count():
+        dealt = everything.withColumn("page", F.pmod(F.xxhash64("id"), "pages").cast("int"))
+        hits = hits.union(
+            visit(dealt, everyone.withColumn("bound", F.lit(0.0)), ["length", "page"], search, "double")
+        )
+    return ranked(hits)

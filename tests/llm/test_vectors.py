@@ -97,6 +97,28 @@ def test_op5_recall_and_scores(spark):
     assert [row[:2] for row in got] == [(q, n) for q in sorted(want) for n in range(1, 11)]
 
 
+def test_queries_outside_of_clusters_find_their_neighbours(spark):
+    """Most rows are in tight clusters, so that the typical distance is far below that of the other rows."""
+    random = np.random.default_rng(4)
+    centres = random.normal(size=(5, 16))
+    vectors = {n: centres[n % 5] + 0.01 * random.normal(size=16) for n in range(600)}
+    vectors |= {n: random.normal(size=16) for n in range(600, 1000)}
+    vectors |= {n: random.normal(size=3) for n in (1000, 1001, 1100)}  # fewer than k of their length
+    frame = spark.createDataFrame([(n, one.tolist()) for n, one in vectors.items()], "id long, vector array<double>")
+    queries_ = frame.where("id % 20 = 0")
+    got = found(neighbours.nearest(frame, queries_))
+    hits = {n: 0 for n in vectors if n % 20 == 0}
+    for query in hits:
+        same = [n for n in vectors if n != query and len(vectors[n]) == len(vectors[query])]
+        want = sorted(same, key=lambda n: float(((vectors[n] - vectors[query]) ** 2).sum()))[:10]
+        names = [row[2] for row in got if row[0] == query]
+        assert len(names) == len(want)
+        hits[query] = len(set(names) & set(want)) / len(want)
+    assert np.mean([share for n, share in hits.items() if n >= 600]) >= 0.9
+    assert np.mean([share for n, share in hits.items() if n < 600]) >= 0.85
+    assert hits[1000] == hits[1100] == 1
+
+
 def test_probes_come_in_falling_order():
     places = np.array([0.4, -1.2, 7.9])
     order = neighbours.probes(places, 1.1, 0.9)
