@@ -172,9 +172,12 @@ def top_k(
                 rows = np.flatnonzero(sizes == size)
                 if len(names):
                     table = np.array(column.iloc[rows].tolist(), float).reshape(len(rows), -1)
-                    apart = _distances(table, np.array([shared.value[n] for n in names]).reshape(len(names), -1))
+                    objects_ = np.array([shared.value[n] for n in names]).reshape(len(names), -1)
+                    apart = _distances(table, objects_)
+                    # Padded by the rounding error of the squares, as in a page.
+                    largest = np.maximum(np.abs(table).max(1, initial=0), np.abs(objects_).max(initial=0))
                     out.loc[rows, "object"] = names[apart.argmin(1)]
-                    out.loc[rows, "apart"] = apart.min(1)
+                    out.loc[rows, "apart"] = apart.min(1) + 1e-6 * (1 + largest * size)
             yield out
 
     indexed = staged(

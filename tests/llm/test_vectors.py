@@ -83,6 +83,34 @@ def test_huge_components_saturate(spark):
     assert [row[2] for row in got] == [1, 2] and got[0][3] == 2**63 - 1 and got[1][3] == -(2**63)
 
 
+def test_the_radius_of_large_components_is_padded(spark, monkeypatch):
+    """Squares beyond 2 ** 53: the computed distances to a routing object are below the true ones."""
+    base = 3 * 10**8
+    rows = [(n, [base + n % 7, base - n % 5, base + n % 3, base]) for n in range(300)]
+    frame = spark.createDataFrame(rows, "id long, vector array<long>")
+    stored = {}
+
+    def keep(one, label):
+        stored[label] = topk_staged(one, label)
+        return stored[label]
+
+    topk_staged = topk.staged
+    monkeypatch.setattr(topk, "staged", keep)
+    vectors = {n: np.array(one, object) for n, one in rows}
+    got = found(topk.top_k(frame, frame.where("id % 100 = 0"), objects=1))
+    assert got == sorted(brute.nearest(vectors, product, 10, largest=True))
+    middle = vectors[topk_middle(frame)]
+    for row in stored["topk-index"].collect():
+        true = math.sqrt(sum((a - int(b)) ** 2 for a, b in zip(row["vector"], middle, strict=True)))
+        assert row["apart"] >= true
+
+
+def topk_middle(frame) -> int:
+    """id of a row that equals the only routing object."""
+    chosen = topk.routing_objects(frame, 1, topk.SAMPLE_ROWS)[0].astype(int).tolist()
+    return next(row["id"] for row in frame.collect() if row["vector"] == chosen)
+
+
 def test_op5_recall_and_scores(spark):
     vectors = table(spark)
     distance = lambda one, other: float(np.sqrt(((one - other) ** 2).sum()))
