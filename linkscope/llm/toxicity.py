@@ -87,17 +87,22 @@ def held_out(doc_id: Column, parts: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of every id with a label that the fit may see."""
+    return (
+        labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
+    )
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> DataFrame:
     """text and toxic of at most ``rows_a_class`` documents of each class, chosen by a hash of their id.
 
     Held-out rows, null labels and labels without a document take no part; where labels of
     an id differ, toxic wins. The chosen ids are bounded, so they may be broadcast.
     """
-    usable = (
-        labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-    )
+    usable = usable_labels(labels)
     chosen = [
         usable.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_class)
         for value in (0, 1)
@@ -114,7 +119,7 @@ def train(
     counterfactual: float = 4.0,
     l2: float = 0.0003,
 ) -> Model:
-    """Fit the model to a bounded sample of labelled rows.
+    """Fit the model to a bounded sample of labelled rows, which weigh as much as all rows of their class.
 
     ``counterfactual`` weighs the squared score change under identity swaps. Without labelled rows,
     or with one class only, every text gets the share of toxic labels as its score.
@@ -173,7 +178,9 @@ def train(
     table = sample.mapInArrow(
         project, "toxic int, columns array<int>, added array<int>, removed array<int>"
     ).toArrow()  # at most twice rows_a_class rows
-    weights, bias = _fit(table, len(chosen), counterfactual, l2)
+    totals = {row["toxic"]: row["n"] for row in usable_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stands_for = [max(1.0, totals.get(value, 0) / rows_a_class) for value in (0, 1)]
+    weights, bias = _fit(table, len(chosen), counterfactual, l2, stands_for)
     return Model({name: float(weights[n]) for name, n in place.items() if weights[n]}, bias)
 
 
@@ -183,22 +190,29 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
 
 
-def _fit(table: pa.Table, size: int, counterfactual: float, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Minimise log loss, ridge and counterfactual penalty by Adam over all rows."""
+def _fit(
+    table: pa.Table, size: int, counterfactual: float, l2: float, stands_for: list[float], steps: int = 300
+) -> tuple[np.ndarray, float]:
+    """Minimise log loss, ridge and counterfactual penalty by Adam over all rows.
+
+    A row of a class counts as the ``stands_for`` rows of that class.
+    """
     labels = table["toxic"].to_numpy().astype(float)
     rows, columns = _flat(table["columns"])
     added, removed = _flat(table["added"]), _flat(table["removed"])
     swap_rows = np.concatenate((added[0], removed[0]))
     swap_columns = np.concatenate((added[1], removed[1]))
     swap_signs = np.concatenate((np.ones(len(added[0])), -np.ones(len(removed[0]))))
+    share = np.where(labels == 1, stands_for[1], stands_for[0])
+    share = share / share.sum()
     count, weights = len(labels), np.zeros(size + 1)  # the last weight is the bias
     mean, spread = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         odds = weights[size] + np.bincount(rows, weights[columns], count)
-        error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels) / count
+        error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels) * share
         gradient = np.append(np.bincount(columns, error[rows], size) + l2 * weights[:size], error.sum())
         if len(swap_rows):
-            change = np.bincount(swap_rows, swap_signs * weights[swap_columns], count) / count
+            change = np.bincount(swap_rows, swap_signs * weights[swap_columns], count) * share
             gradient[:size] += 2 * counterfactual * np.bincount(swap_columns, swap_signs * change[swap_rows], size)
         mean = 0.9 * mean + 0.1 * gradient
         spread = 0.999 * spread + 0.001 * gradient**2

@@ -138,6 +138,15 @@ def test_identity_terms_do_not_decide(spark, groups):
     assert fair.log_odds(toxicity.tokens("muslims insult1 nasty people"), {}) > 0
 
 
+def test_the_bound_of_a_class_keeps_the_class_ratio(spark):
+    """Texts say nothing about the label: the score is the share of toxic labels, 1 in 9."""
+    rows_ = [(n, "same words here", int(n % 9 == 0)) for n in range(1800)]
+    docs = spark.createDataFrame([row[:2] for row in rows_], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, toxic) for n, _, toxic in rows_], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, rows_a_class=50)
+    assert abs(model.log_odds(toxicity.tokens("same words here"), {}) - np.log(1 / 8)) < 0.4
+
+
 def test_odd_documents_are_scored(spark, odd_documents, no_documents, groups):
     model = toxicity.train(*groups)
     found = toxicity.score(odd_documents, model)
