@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from datetime import timedelta
 
-from conftest import NOON, event, frame, hop
+from helpers import NOON, event, frame, hop
 from linkscope import schema
 from linkscope.functions import filters
 from linkscope.operators import board, state

@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import pytest
 
-from conftest import NOON, event, frame, hop
+from helpers import NOON, event, frame, hop
 from linkscope.operators import board, detail
 
 KEY = "branch-01::fs01"

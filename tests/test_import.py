@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import event, frame, line, wire
+from helpers import event, frame, line, wire
 from linkscope import schema
 from linkscope.plans import importing, snapshot, status
 from linkscope.session import shared_folder

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import NOON, event, frame, hop
+from helpers import NOON, event, frame, hop
 from linkscope.functions.events import path_change, shared_prefix
 from linkscope.operators import board, paths
 

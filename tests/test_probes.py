@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import types as T
 
-from conftest import NOON, event, frame
+from helpers import NOON, event, frame
 from linkscope import schema
 from linkscope.operators import extensions, inventory, probes
 

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import event, frame, hop
+from helpers import event, frame, hop
 from linkscope.operators import board, paths
 from linkscope.streaming import state as stream
 

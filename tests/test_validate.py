@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from conftest import line, wire
+from helpers import line, wire
 from linkscope import schema
 from linkscope.plans.importing import check_lines
 from linkscope.sources import batches, validate
