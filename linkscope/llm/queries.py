@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkscope.llm import bpe, chat, jaccard, mixing, neighbours, sharding, staging, token_files, topk, toxicity, urls
+from linkscope.llm import (
+    bpe,
+    chat,
+    codes,
+    jaccard,
+    merkle,
+    mixing,
+    neighbours,
+    oracles,
+    sharding,
+    sketches,
+    staging,
+    token_files,
+    topk,
+    toxicity,
+    urls,
+)
 from linkscope.llm.words import word_count
 from linkscope.session import configure, shared_folder
 
@@ -170,6 +186,21 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(oracles.codebook_sql())
+def op11_equal_average_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_similarity_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query(oracles.manifest_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
