@@ -110,10 +110,10 @@ def lag_path(sightings: DataFrame) -> DataFrame:
     )
 
 
-def changes_from_hops(hops: DataFrame, kind_mode: str = "metadata") -> DataFrame:
-    """All path transitions, unordered."""
+def changes_from_sightings(sightings: DataFrame) -> DataFrame:
+    """Transitions between the paths of each target, unordered."""
     return (
-        lag_path(path_sightings(hops, kind_mode))
+        lag_path(sightings)
         .filter(F.col("previous_path_hash") != F.col("path_hash"))
         .select(
             "target_key",
@@ -132,6 +132,11 @@ def changes_from_hops(hops: DataFrame, kind_mode: str = "metadata") -> DataFrame
     )
 
 
+def changes_from_hops(hops: DataFrame, kind_mode: str = "metadata") -> DataFrame:
+    """All path transitions, unordered."""
+    return changes_from_sightings(path_sightings(hops, kind_mode))
+
+
 def newest_changes(changes: DataFrame, limit: int) -> DataFrame:
     return changes.orderBy(
         F.desc("timestamp_utc"), "target_key", "path_hash", "fqdn", "site_id", "target_kind"

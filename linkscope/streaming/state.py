@@ -1,8 +1,8 @@
 """Streams that keep board frames current.
 
 There is no watermark: an event of any age is accepted, and order is by event time, so a late
-row may fill in history but never replaces newer state. The streaming aggregates keep one row
-per key (a target, or a hop of a path) and combine rows within each task before the shuffle.
+row may fill in history but never replaces newer state. The streaming aggregate keeps one row
+per target; routes keep the newest hops of each path. Both reduce rows within each task before the shuffle.
 
 Changed rows are appended per micro-batch under ``epoch=<id>``; replaying a micro-batch
 rewrites its own folder. Readers take the newest epoch per key. Every few micro-batches the newest
@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from linkscope.functions.filters import incident_rows
 from linkscope.operators import board, paths, state
 from linkscope.session import remove_folder
+from linkscope.streaming import routes
 
 
 def _start(
@@ -159,6 +160,7 @@ def start_incidents(
 
 # -- path changes ------------------------------------------------------------
 
+
 def start_path_changes(
     events: DataFrame,
     path: str,
@@ -166,32 +168,27 @@ def start_path_changes(
     interval_seconds: int | None = None,
     merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
-    """Keep the latest hop of every path, and the path changes of every touched target.
+    """Keep the path changes of every target under ``path``.
 
-    The stream's state is per hop, so the hops of one busy target are spread over all tasks.
-    ``path/hops`` gets the changed hops; then the changes of the targets they belong to are
-    computed again from the latest hops and stored under ``path/changes``.
+    Routes are kept per target in the state store; see :mod:`linkscope.streaming.routes`. A micro-batch stores the
+    changes of the targets whose routes it changed, and reads nothing but its own rows.
     """
-    hops = paths.latest_hops(events)
-    hop_schema = hops.schema
 
-    def write(changed: DataFrame, epoch: int) -> None:
-        spark = changed.sparkSession
-        write_epoch(changed, f"{path}/hops", epoch)
-        touched = spark.read.parquet(f"{path}/hops/epoch={epoch}").select("agent_id", "target_id").distinct()
-        latest = read_latest(spark, f"{path}/hops", hop_schema, paths.HOP_KEYS)
-        again = latest.join(touched, ["agent_id", "target_id"], "left_semi")
-        changes = paths.changes_from_hops(again)
-        write_epoch(changes, f"{path}/changes", epoch)
-        merge_epochs(spark, f"{path}/hops", hop_schema, paths.HOP_KEYS, epoch, merge_every)
-        merge_epochs(spark, f"{path}/changes", changes.schema, ("target_key",), epoch, merge_every)
+    def write(seen: DataFrame, epoch: int) -> None:
+        changes = paths.changes_from_sightings(seen)
+        write_epoch(changes, path, epoch)
+        merge_epochs(seen.sparkSession, path, changes.schema, ("target_key",), epoch, merge_every)
 
-    return _start(hops, write, checkpoint, "update", interval_seconds)
+    with routes.state_in_rocksdb(events.sparkSession):
+        return _start(routes.sighting_stream(events), write, checkpoint, "update", interval_seconds)
 
 
 def read_path_changes(spark: SparkSession, path: str) -> DataFrame:
     """Current path changes: per target, those of the newest epoch that touched it."""
-    bases, epochs = _numbered_folders(spark, f"{path}/changes")
-    folder = f"base={bases[-1]}" if bases else f"epoch={epochs[-1]}"
-    rows = spark.read.parquet(f"{path}/changes/{folder}").drop("epoch").schema
-    return newest_rows(stored_epochs(spark, f"{path}/changes", rows), ("target_key",)).drop("epoch")
+    bases, epochs = _numbered_folders(spark, path)
+    if bases or epochs:
+        newest = f"base={bases[-1]}" if bases else f"epoch={epochs[-1]}"
+        rows = spark.read.parquet(f"{path.rstrip('/')}/{newest}").drop("epoch").schema
+    else:
+        rows = paths.changes_from_sightings(spark.createDataFrame([], routes.SIGHTINGS)).schema
+    return newest_rows(stored_epochs(spark, path, rows), ("target_key",)).drop("epoch")
