@@ -30,14 +30,15 @@ TARGET = """named_struct(
 
 DOCUMENT = f"""to_json(named_struct(
   'schemaVersion', CASE c % 50 WHEN 7 THEN '0.9' WHEN 8 THEN CAST(NULL AS STRING) ELSE '1.0' END,
-  'agent', named_struct('agentId', if(c % 60 = 11, '  ', concat('agent-', c)), 'siteId', CASE WHEN c % 7 <> 0 THEN concat('site-', n) END),
+  'agent', named_struct('agentId', if(c % 60 = 11, '  ', concat('agent-', c)), 'siteId', CASE WHEN c % 7 <> 0 THEN concat('site-', n) END,
+     'cycleIntervalSeconds', CASE c % 11 WHEN 3 THEN parse_json('"90"') WHEN 4 THEN parse_json('"oops"') WHEN 5 THEN parse_json('45.5') WHEN 6 THEN parse_json('null') END),
   'tests', named_struct('enabled', CASE c % 4 WHEN 0 THEN parse_json('["ping", "traceroute"]') WHEN 1 THEN parse_json('"ping"') END, 'pingTimeoutMs', CASE WHEN c % 3 = 0 THEN 1000 END),
   'auth', named_struct('linuxProfiles', CASE c % 6
      WHEN 0 THEN array(named_struct('id', 'p1', 'mode', 'kerberosKeytab', 'secretReference', 's.json'))
      WHEN 1 THEN array(named_struct('id', 'p1', 'mode', 'currentContext', 'secretReference', 's.json'), named_struct('id', 'p1', 'mode', 'kerberosKeytab', 'secretReference', ' '))
      WHEN 3 THEN array(named_struct('id', 'p1', 'mode', 'usernamePassword', 'secretReference', 's.json'))
      WHEN 4 THEN array(named_struct('id', 'p1', 'mode', 'badMode', 'secretReference', ''), named_struct('id', '', 'mode', '', 'secretReference', '')) END),
-  'publish', named_struct('azure', named_struct('enabled', c % 14 = 5, 'accountName', if(c % 28 = 5, '', 'account'), 'containerName', if(c % 42 = 5, ' ', 'box'))),
+  'publish', named_struct('csvMirror', CASE c % 13 WHEN 2 THEN parse_json('"false"') WHEN 3 THEN parse_json('0') WHEN 4 THEN parse_json('true') END, 'azure', named_struct('enabled', c % 14 = 5, 'accountName', if(c % 28 = 5, '', 'account'), 'containerName', if(c % 42 = 5, ' ', 'box'))),
   'targets', CASE WHEN c % 5 > 0 THEN transform(sequence(0, CAST(c % 5 AS INT) - 1), i -> {TARGET}) END,
   'internetTargets', CASE c % 5 WHEN 1 THEN array(named_struct('id', 'net0', 'name', concat('Net ', c), 'address', '1.1.1.1', 'tests', CAST(NULL AS VARIANT)))
      WHEN 2 THEN array(named_struct('id', 't0-internet', 'name', CAST(NULL AS STRING), 'address', '9.9.9.9', 'tests', parse_json('"internetQuality"')), named_struct('id', '', 'name', '', 'address', '', 'tests', parse_json('[]'))) END,
@@ -53,9 +54,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configs.stored_configs(
-        spark, configs.with_defaults(configs.parse_configs(documents(spark, sf_dir)))
-    )
+    return configs.with_defaults(configs.parse_configs(documents(spark, sf_dir)))
 
 
 # -- the same in SQL ---------------------------------------------------------
@@ -133,7 +132,7 @@ def cfg_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("config.agent.agentId").alias("agent_id"),
         F.col("config.agent.siteId").alias("site_id"),
         F.coalesce(F.size("config.targets"), F.lit(0)).cast("long").alias("target_count"),
-        F.col("config.tests.pingTimeoutMs").alias("ping_timeout_ms"),
+        configs.as_number(F.col("config.tests.pingTimeoutMs")).alias("ping_timeout_ms"),
     )
 
 
@@ -141,7 +140,8 @@ def cfg_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     "cfg_defaults",
     with_docs(
         f"""SELECT config_id, CASE c % 50 WHEN 7 THEN '0.9' ELSE '1.0' END AS schema_version, agent_id, site_id, {_list_sql('enabled')}, CASE WHEN c % 3 = 0 THEN 1000 ELSE 3000 END AS ping_timeout_ms,
-  4 AS sample_count, 'events' AS blob_prefix, 'currentContext' AS smb_mode, c % 14 = 5 AS azure_enabled, 30 AS cycle_seconds FROM docs"""
+  4 AS sample_count, 'events' AS blob_prefix, 'currentContext' AS smb_mode, c % 14 = 5 AS azure_enabled,
+  CASE c % 11 WHEN 3 THEN 90 WHEN 5 THEN 46 ELSE 30 END AS cycle_seconds, c % 13 IN (2, 4) AS csv_mirror FROM docs"""
     ),
 )
 def cfg_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +157,7 @@ def cfg_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("config.auth.linuxSmbMode").alias("smb_mode"),
         F.col("config.publish.azure.enabled").alias("azure_enabled"),
         F.col("config.agent.cycleIntervalSeconds").alias("cycle_seconds"),
+        F.col("config.publish.csvMirror").alias("csv_mirror"),
     )
 
 
@@ -238,7 +239,9 @@ def cfg_probe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def join_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.probe_plan(parsed(spark, sf_dir)).select(
+    stored = configs.stored_configs(spark, parsed(spark, sf_dir))
+    tests = inventory.all_targets(stored).select("config_id", "target_id", F.explode("tests").alias("test"))
+    return inventory.join_extension(tests, inventory.extensions(stored)).select(
         "config_id", "target_id", "test", "handling", "error_code", "probe_name", "details", "extension_id"
     )
 
@@ -271,6 +274,7 @@ RULES_SQL = """named_targets AS (
   UNION ALL SELECT config_id, 4, 0, 0, 1, 'azureContainer', 'publish.azure.containerName is required when Azure publishing is enabled.' FROM docs WHERE c % 14 = 5 AND c % 42 = 5
   UNION ALL SELECT config_id, 5, 0, 0, 3, 'extensionPath', 'Extension ext-a requires a path.' FROM docs WHERE c % 2 = 1 AND c % 3 = 0
   UNION ALL SELECT config_id, 5, 1, 0, 0, 'inlineScript', 'Extensions must reference trusted local script files. Inline script content is not supported.' FROM docs WHERE c % 2 = 1 AND c % 3 = 0
+  UNION ALL SELECT config_id, 6, 0, 0, 0, 'settingType', 'Setting agent.cycleIntervalSeconds is no whole number: oops' FROM docs WHERE c % 11 = 4
   UNION ALL SELECT config_id, 5, 1, 0, 2, 'duplicateExtension', 'Duplicate extension id: ext-a' FROM docs WHERE c % 2 = 1 AND c % 3 = 0
 )"""
 
@@ -307,5 +311,5 @@ def cfg_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are no objects, single objects where lists are expected, modes in any letter case."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS c")
     odd = customers.selectExpr("concat('odd-', c) AS config_id", f"{MALFORMED} AS document")
-    stored = configs.stored_configs(spark, configs.with_defaults(configs.parse_configs(odd)))
-    return inventory.violations(stored).select("config_id", "rule", "message")
+    read = configs.with_defaults(configs.parse_configs(odd))
+    return inventory.violations(read).select("config_id", "rule", "message")

@@ -206,16 +206,45 @@ def src_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.gate_batches(checked, bodies, keys)
 
 
-FINGERPRINT_SQL = """concat('{"k":', CAST(k AS VARCHAR), '}', chr(10), event_type, chr(10), 'é ', target_id, chr(10))"""
+# Each site's events as one text; the same hashed whole, and as a tree of blocks of 4,096 lines.
+FINGERPRINT_SQL = """WITH lines AS (
+  SELECT n_name AS name, sha256(concat('{"supplier":', CAST(s_suppkey AS VARCHAR), ',"é":"', s_name, '"}')) AS hash,
+    concat('{"supplier":', CAST(s_suppkey AS VARCHAR), ',"é":"', s_name, '"}') AS line,
+    row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS place
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), repeated AS (
+  SELECT name, hash, line, place + r * count(*) OVER (PARTITION BY name, r) AS place FROM lines, unnest(range(CASE WHEN name < 'C' THEN 1500 ELSE 1 END)) AS t(r)
+), blocks AS (
+  SELECT name, place // 4096 AS block, sha256(string_agg(hash, '' ORDER BY place)) AS hash FROM repeated GROUP BY name, place // 4096
+)
+SELECT concat(name, '.jsonl') AS source_identifier,
+  CASE WHEN name < 'C' THEN (SELECT sha256(string_agg(b.hash, '' ORDER BY b.block)) FROM blocks b WHERE b.name = r.name)
+    ELSE sha256(string_agg(concat(line, chr(10)), '' ORDER BY place)) END AS fingerprint
+FROM repeated r GROUP BY name"""
 
 
-@query("src_fingerprint", with_base(f"SELECT event_id, sha256({FINGERPRINT_SQL}) AS fingerprint FROM named"))
+@query("src_fingerprint", FINGERPRINT_SQL)
 def src_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with LF, CR and CRLF; all line ends count as LF."""
-    texts = named(spark, sf_dir).withColumn(
-        "content", F.expr("""concat('{"k":', k, '}', '\\n', event_type, '\\r', 'é ', target_id, '\\r\\n')""")
+    """Files as an import sees them, with LF, CR or CRLF by nation; those of the first nations are large."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS s_nationkey", "n_name AS name")
+    ending = F.expr("CASE s_nationkey % 3 WHEN 0 THEN '\\n' WHEN 1 THEN '\\r' ELSE '\\r\\n' END")
+    texts = (
+        spark.read.parquet(f"{sf_dir}/supplier.parquet")
+        .join(nations, "s_nationkey")
+        .withColumn("ending", ending)
+        .withColumn("line", F.concat(F.expr("""concat('{"supplier":', s_suppkey, ',"é":"', s_name, '"}')"""), "ending"))
+        .groupBy("name")
+        .agg(F.expr("listagg(line) WITHIN GROUP (ORDER BY s_suppkey)").alias("text"))
+        .select("name", F.expr("CASE WHEN name < 'C' THEN repeat(text, 1500) ELSE text END").alias("text"))
+        # The writer ends a file itself.
+        .withColumn("text", F.regexp_replace("text", r"[\r\n]+$", ""))
     )
-    return texts.select("event_id", batches.content_fingerprint(F.col("content")).alias("fingerprint"))
+    root = shared_folder(spark, "texts")
+    texts.repartition("name").write.partitionBy("name").text(root)
+    source = batches.FileSource("local", root, pattern="*.txt", whole_bytes=20_000)
+    found = source.batches(spark)
+    name = F.regexp_extract("source_identifier", "name=([^/]*)/", 1)
+    return found.select(F.concat(F.url_decode(name), F.lit(".jsonl")).alias("source_identifier"), "fingerprint")
 
 
 # -- files -------------------------------------------------------------------
@@ -557,6 +586,28 @@ def sink_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacked
 
 
+def read_file(path: str, start: int, count: int) -> bytes:
+    """Bytes of a file of the shared folder; called in tasks."""
+    with open(path, "rb") as file:
+        file.seek(start)
+        return file.read(count)
+
+
+@query("ext_source_ranges", with_tel(f"SELECT {EVENT_SQL} FROM tel"))
+def ext_source_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered source whose batches are read in ranges of 20,000 bytes, imported."""
+    root = _written(spark, sf_dir)
+
+    def load(session: SparkSession) -> DataFrame:
+        found = session.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        return found.select(F.regexp_replace("path", "^file:/*", "/").alias("source_identifier"), "length")
+
+    lake = tables.Lake(shared_folder(spark, "lake"))
+    source = batches.register_source("ranges", load, read_file, range_bytes=20_000)
+    importing.import_source(spark, lake, source, IMPORTED_AT)
+    return _event_columns(lake.events(spark))
+
+
 # -- streams -----------------------------------------------------------------
 
 

@@ -398,16 +398,18 @@ def ext_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ext_normalize",
     with_base(
         """SELECT agent_id, concat('e-', CAST(event_id AS VARCHAR)) AS target_id, CASE WHEN k % 2 = 0 THEN 'given.example.net' ELSE concat(target_id, '.example.net') END AS fqdn,
-  'latency' AS test_type, 'probe' AS probe_name, 'INFO' AS result, 'Extension completed without additional details.' AS details, value AS latency_ms, '{"extensionId":"latency"}' AS metadata FROM named"""
+  'latency' AS test_type, 'probe' AS probe_name, 'INFO' AS result, 'Extension completed without additional details.' AS details, value AS latency_ms,
+  CASE WHEN k % 5 = 4 THEN '{"a":1,"extensionId":"latency"}' WHEN k % 5 = 0 THEN '{"extensionId":"own"}' ELSE '{"extensionId":"latency"}' END AS metadata FROM named"""
     ),
 )
 def ext_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe in DataFrame code that sets two columns only."""
+    """A probe in DataFrame code that sets three columns only; its metadata is not always a JSON object."""
     returned = named(spark, sf_dir).selectExpr(
         "agent_id",
         "concat('e-', event_id) AS target_id",
         "CASE WHEN k % 2 = 0 THEN 'given.example.net' END AS fqdn",
         "value AS latency_ms",
+        """CASE k % 5 WHEN 0 THEN '{"extensionId":"own"}' WHEN 1 THEN '[1]' WHEN 2 THEN '7' WHEN 3 THEN '{"bro' ELSE '{"a":1}' END AS metadata""",
     )
     events = extensions.normalize_events(returned, _probe_targets(spark, sf_dir), "latency")
     return events.select(

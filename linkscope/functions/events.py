@@ -81,9 +81,11 @@ def unwrap_metadata(metadata: ColumnOrName = "metadata") -> Column:
 def with_json_fields(document: ColumnOrName, fields: dict[str, Column]) -> Column:
     """Add fields to the JSON text of an object; a null value adds nothing.
 
-    The caller makes sure that the object does not hold the names yet.
+    Text that is no JSON object counts as an empty one. The caller makes sure that the object does not hold
+    the names yet.
     """
-    compact = F.to_json(F.try_parse_json(_c(document)))
+    value = F.try_parse_json(_c(document))
+    compact = F.when(is_object(value), F.to_json(value)).otherwise(F.lit("{}"))
     added = F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
     return (
         F.when(added == "{}", compact)

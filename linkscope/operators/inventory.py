@@ -1,19 +1,20 @@
 """Dimension tables from collector configurations.
 
 The input has one row per document: ``config_id`` and the ``config`` struct with all defaults
-(:func:`linkscope.sources.configs.with_defaults`). Each function explodes the lists of a
-document into rows.
+(:func:`linkscope.sources.configs.with_defaults`). Lists are worked on as arrays of the row, with
+higher-order functions; a table is one scan that explodes the finished array at its end, and nothing
+is shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkscope import schema
-from linkscope.sources.configs import text_list
+from linkscope.sources.configs import as_boolean, text_list
 
 DEFAULT_ENTRY_POINT = "probe"
 # Fixed defaults of internet targets.
@@ -51,71 +52,156 @@ def _blank(text: Column) -> Column:
     return ~F.coalesce(F.regexp_like(text, F.lit(r"\S")), F.lit(False))
 
 
-def _exploded(configs: DataFrame, path: str, *extra: Column) -> DataFrame:
-    """One row per list item as ``position`` and ``item``, in document order."""
-    return configs.select(
-        "config_id",
-        F.col("config.agent.agentId").alias("agent_id"),
-        F.col("config.agent.siteId").alias("site_id"),
-        *extra,
-        F.posexplode(f"config.{path}").alias("position", "item"),
-    )
-
-
 def _internet_test(test: Column) -> Column:
     return F.lower(test).isin(*[name.lower() for name in schema.INTERNET_TESTS])
 
 
-def configured_targets(configs: DataFrame) -> DataFrame:
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+# -- targets as arrays -------------------------------------------------------
+
+
+def _configured(targets: Column, enabled: Column) -> Column:
     """Internal targets as configured, with what a promotion to an internet target needs."""
-    ids = F.transform(
-        "config.targets", lambda t, i: F.named_struct(F.lit("id"), t["id"], F.lit("at"), i)
-    )
-    # Only such ids can collide with the id of a promoted target.
-    similar = F.filter(ids, lambda t: F.contains(t["id"], F.lit("-internet")))
-    item = F.col("item")
-    address = item["address"]
-    tests = text_list(item["tests"])
-    rows = _exploded(
-        configs,
-        "targets",
-        F.col("config.tests.enabled").alias("enabled_tests"),
-        similar.alias("similar_ids"),
-    ).select(
+
+    def one(item: Column, at: Column) -> Column:
+        tests = text_list(item["tests"])
+        chosen = F.when(F.size(F.coalesce(tests, F.array())) > 0, tests).otherwise(enabled)
+        trace = F.coalesce(item["externalTraceTarget"], item["address"])
+        other_trace = ~_blank(trace) & (F.lower(trace) != F.lower(F.coalesce(item["address"], F.lit(""))))
+        return _struct(
+            position=at,
+            target_id=item["id"],
+            fqdn=item["fqdn"],
+            target_address=item["address"],
+            tests=chosen,
+            dns_servers=_list_or(item["dnsServers"], _texts()),
+            roles=_list_or(item["roles"], _texts()),
+            tags=_list_or(item["tags"], _texts()),
+            linux_profile_id=F.coalesce(item["linuxProfileId"], F.lit("")),
+            target_kind=F.lit("internal"),
+            external_trace_target=trace,
+            promoted=F.exists(chosen, _internet_test) | F.coalesce(other_trace, F.lit(False)),
+            shares=item["shares"],
+        )
+
+    return F.transform(targets, one)
+
+
+def _internal(configured: Column) -> Column:
+    """The internet tests of promoted targets have moved."""
+
+    def one(target: Column) -> Column:
+        remaining = F.filter(target["tests"], lambda test: ~_internet_test(test))
+        return target.withField("tests", F.when(target["promoted"], remaining).otherwise(target["tests"])).dropFields(
+            "promoted", "shares"
+        )
+
+    return F.transform(configured, one)
+
+
+def _promoted(configured: Column) -> Column:
+    def one(target: Column) -> Column:
+        name = target["target_id"]
+        # Only ids up to this target, and only such ids, can collide with the new one.
+        similar = F.filter(
+            F.slice(configured, F.lit(1), target["position"] + 1), lambda t: F.contains(t["target_id"], F.lit("-internet"))
+        )
+        taken = F.transform(similar, lambda t: t["target_id"])
+        candidates = F.concat(
+            F.array(F.concat(name, F.lit("-internet"))),
+            F.transform(
+                F.sequence(F.lit(2), F.size(taken) + 2), lambda n: F.concat(name, F.lit("-internet-"), n.cast("string"))
+            ),
+        )
+        trace, address = target["external_trace_target"], target["target_address"]
+        moved = F.filter(target["tests"], _internet_test)
+        outside = F.when(_blank(trace), address).otherwise(trace)
+        return _struct(
+            position=target["position"],
+            target_id=F.get(F.array_except(candidates, taken), F.lit(0)),
+            fqdn=F.concat(F.coalesce(target["fqdn"], F.lit("")), F.lit(" Internet")),
+            target_address=outside,
+            tests=F.when(F.size(moved) > 0, moved).otherwise(_texts(*schema.INTERNET_TESTS)),
+            dns_servers=_texts(),
+            roles=_texts(*INTERNET_ROLES),
+            tags=_texts(*PROMOTED_TAGS),
+            linux_profile_id=F.lit(""),
+            target_kind=F.lit("external"),
+            external_trace_target=outside,
+        )
+
+    return F.transform(F.filter(configured, lambda t: t["promoted"]), one)
+
+
+def _internet(targets: Column) -> Column:
+    def one(item: Column, at: Column) -> Column:
+        address = item["address"]
+        return _struct(
+            position=at,
+            target_id=item["id"],
+            fqdn=F.when(_blank(item["name"]), address).otherwise(item["name"]),
+            target_address=address,
+            tests=_list_or(item["tests"], _texts(*schema.INTERNET_TESTS)),
+            dns_servers=_list_or(item["dnsServers"], _texts()),
+            roles=_list_or(item["roles"], _texts(*INTERNET_ROLES)),
+            tags=_list_or(item["tags"], _texts(*INTERNET_TAGS)),
+            linux_profile_id=F.coalesce(item["linuxProfileId"], F.lit("")),
+            target_kind=F.coalesce(item["targetKind"], F.lit("external")),
+            external_trace_target=F.coalesce(item["externalTraceTarget"], address),
+        )
+
+    return F.transform(targets, one)
+
+
+def _extension_list(extensions: Column) -> Column:
+    def one(item: Column, at: Column) -> Column:
+        entry_point = item["entryPoint"]
+        return _struct(
+            position=at,
+            extension_id=item["id"],
+            path=item["path"],
+            entry_point=F.when(_blank(entry_point), F.lit(DEFAULT_ENTRY_POINT)).otherwise(entry_point),
+            enabled=F.coalesce(as_boolean(item["enabled"]), F.lit(True)),
+            allowed_targets=_list_or(item["targets"], _texts()),
+            inline_script=F.coalesce(item["script"], item["scriptBlock"], item["inlineScript"]).isNotNull(),
+        )
+
+    return F.transform(extensions, one)
+
+
+def _with_configured(configs: DataFrame) -> DataFrame:
+    """``configured`` beside the document: the arrays made from it read it several times."""
+    return configs.withColumn("configured", _configured(F.col("config.targets"), F.col("config.tests.enabled")))
+
+
+def _exploded(rows: DataFrame, items: Column, name: str) -> DataFrame:
+    """One row per item of an array.
+
+    The outer form: an inner explode adds a filter that evaluates the whole array a second time.
+    """
+    return rows.select(*rows.columns, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+def _rows(configs: DataFrame, items: Column) -> DataFrame:
+    """One row per item of an array of structs, in document order."""
+    named = configs.select(
         "config_id",
-        "agent_id",
-        "site_id",
-        "position",
-        item["id"].alias("target_id"),
-        item["fqdn"].alias("fqdn"),
-        address.alias("target_address"),
-        F.when(F.size(F.coalesce(tests, F.array())) > 0, tests).otherwise(F.col("enabled_tests")).alias("configured_tests"),
-        _list_or(item["dnsServers"], _texts()).alias("dns_servers"),
-        _list_or(item["roles"], _texts()).alias("roles"),
-        _list_or(item["tags"], _texts()).alias("tags"),
-        F.coalesce(item["linuxProfileId"], F.lit("")).alias("linux_profile_id"),
-        F.lit("internal").alias("target_kind"),
-        F.coalesce(item["externalTraceTarget"], address).alias("external_trace_target"),
-        F.transform(
-            F.filter("similar_ids", lambda t: t["at"] <= F.col("position")), lambda t: t["id"]
-        ).alias("taken_ids"),
-        item["shares"].alias("shares"),
-    )
-    trace = F.col("external_trace_target")
-    other_trace = ~_blank(trace) & (F.lower(trace) != F.lower(F.coalesce("target_address", F.lit(""))))
-    return rows.withColumn(
-        "promoted", F.exists("configured_tests", _internet_test) | F.coalesce(other_trace, F.lit(False))
+        F.col("config.agent.agentId").alias("agent_id"),
+        F.col("config.agent.siteId").alias("site_id"),
+        items.alias("items"),
     )
+    return _exploded(named, F.col("items"), "item").select("config_id", "agent_id", "site_id", "item.*")
+
+
+# -- tables ------------------------------------------------------------------
 
 
 def targets(configs: DataFrame) -> DataFrame:
     """Internal targets; the internet tests of promoted ones have moved."""
-    remaining = F.filter("configured_tests", lambda test: ~_internet_test(test))
-    return (
-        configured_targets(configs)
-        .withColumn("tests", F.when(F.col("promoted"), remaining).otherwise(F.col("configured_tests")))
-        .select(*TARGET_COLUMNS)
-    )
+    return _rows(_with_configured(configs), _internal(F.col("configured"))).select(*TARGET_COLUMNS)
 
 
 def promoted_targets(configs: DataFrame) -> DataFrame:
@@ -123,109 +209,76 @@ def promoted_targets(configs: DataFrame) -> DataFrame:
 
     The id is ``<id>-internet``, with ``-2``, ``-3``, ... if a target up to this one has it.
     """
-    candidates = F.concat(
-        F.array(F.concat("target_id", F.lit("-internet"))),
-        F.transform(
-            F.sequence(F.lit(2), F.size("taken_ids") + 2),
-            lambda n: F.concat("target_id", F.lit("-internet-"), n.cast("string")),
-        ),
-    )
-    trace, address = F.col("external_trace_target"), F.col("target_address")
-    moved = F.filter("configured_tests", _internet_test)
-    return (
-        configured_targets(configs)
-        .filter("promoted")
-        .withColumns(
-            {
-                "target_id": F.get(F.array_except(candidates, F.col("taken_ids")), F.lit(0)),
-                "fqdn": F.concat(F.coalesce("fqdn", F.lit("")), F.lit(" Internet")),
-                "target_address": F.when(_blank(trace), address).otherwise(trace),
-                "tests": F.when(F.size(moved) > 0, moved).otherwise(_texts(*schema.INTERNET_TESTS)),
-                "dns_servers": _texts(),
-                "roles": _texts(*INTERNET_ROLES),
-                "tags": _texts(*PROMOTED_TAGS),
-                "linux_profile_id": F.lit(""),
-                "target_kind": F.lit("external"),
-            }
-        )
-        .withColumn("external_trace_target", F.col("target_address"))
-        .select(*TARGET_COLUMNS)
-    )
+    return _rows(_with_configured(configs), _promoted(F.col("configured"))).select(*TARGET_COLUMNS)
 
 
 def internet_targets(configs: DataFrame) -> DataFrame:
     """Configured internet targets; a missing test list means both internet tests."""
-    item = F.col("item")
-    address = item["address"]
-    return _exploded(configs, "internetTargets").select(
-        "config_id",
-        "agent_id",
-        "site_id",
-        "position",
-        item["id"].alias("target_id"),
-        F.when(_blank(item["name"]), address).otherwise(item["name"]).alias("fqdn"),
-        address.alias("target_address"),
-        _list_or(item["tests"], _texts(*schema.INTERNET_TESTS)).alias("tests"),
-        _list_or(item["dnsServers"], _texts()).alias("dns_servers"),
-        _list_or(item["roles"], _texts(*INTERNET_ROLES)).alias("roles"),
-        _list_or(item["tags"], _texts(*INTERNET_TAGS)).alias("tags"),
-        F.coalesce(item["linuxProfileId"], F.lit("")).alias("linux_profile_id"),
-        F.coalesce(item["targetKind"], F.lit("external")).alias("target_kind"),
-        F.coalesce(item["externalTraceTarget"], address).alias("external_trace_target"),
+    return _rows(configs, _internet(F.col("config.internetTargets"))).select(*TARGET_COLUMNS)
+
+
+def _with_all_targets(configs: DataFrame) -> DataFrame:
+    """``internal``, ``internet`` and ``promoted`` beside the document."""
+    return _with_configured(configs).withColumns(
+        {
+            "internal": _internal(F.col("configured")),
+            "internet": _internet(F.col("config.internetTargets")),
+            "promoted": _promoted(F.col("configured")),
+        }
     )
 
 
+def _everything() -> Column:
+    """All targets of a row with the number of their list: internal 0, internet 1, promoted 2."""
+
+    def numbered(name: str, number: int) -> Column:
+        return F.transform(name, lambda target: target.withField("list", F.lit(number)))
+
+    return F.concat(numbered("internal", 0), numbered("internet", 1), numbered("promoted", 2))
+
+
 def all_targets(configs: DataFrame) -> DataFrame:
     """Everything a collector monitors: internal, then internet, then promoted targets."""
-    parts = (targets(configs), internet_targets(configs), promoted_targets(configs))
-    numbered = [part.withColumn("list", F.lit(n)) for n, part in enumerate(parts)]
-    return reduce(DataFrame.unionByName, numbered)
+    return _rows(_with_all_targets(configs), _everything()).select(*TARGET_COLUMNS, "list")
 
 
 def shares(configs: DataFrame) -> DataFrame:
     """One row per share of an internal target."""
-    return (
-        configured_targets(configs)
-        .select("config_id", "agent_id", "target_id", "position", F.posexplode("shares").alias("share_position", "share"))
-        .select(
-            "config_id",
-            "agent_id",
-            "target_id",
-            "position",
-            "share_position",
-            F.col("share.id").alias("share_id"),
-            F.col("share.path").alias("share_path"),
-            F.coalesce("share.linuxProfileId", F.lit("")).alias("linux_profile_id"),
+
+    def of_target(target: Column) -> Column:
+        return F.transform(
+            target["shares"],
+            lambda share, at: _struct(
+                target_id=target["target_id"],
+                position=target["position"],
+                share_position=at,
+                share_id=share["id"],
+                share_path=share["path"],
+                linux_profile_id=F.coalesce(share["linuxProfileId"], F.lit("")),
+            ),
         )
-    )
+
+    found = F.flatten(F.filter(F.transform("configured", of_target), lambda one: one.isNotNull()))
+    return _rows(_with_configured(configs), found).drop("site_id")
 
 
 def profiles(configs: DataFrame) -> DataFrame:
     """One row per Linux authentication profile."""
-    return _exploded(configs, "auth.linuxProfiles").select(
-        "config_id",
-        "agent_id",
-        "position",
-        F.col("item.id").alias("profile_id"),
-        F.coalesce("item.mode", F.lit("")).alias("mode"),
-        F.coalesce("item.secretReference", F.lit("")).alias("secret_reference"),
+    found = F.transform(
+        "config.auth.linuxProfiles",
+        lambda item, at: _struct(
+            position=at,
+            profile_id=item["id"],
+            mode=F.coalesce(item["mode"], F.lit("")),
+            secret_reference=F.coalesce(item["secretReference"], F.lit("")),
+        ),
     )
+    return _rows(configs, found).drop("site_id")
 
 
 def extensions(configs: DataFrame) -> DataFrame:
     """One row per extension with its defaults."""
-    entry_point = F.col("item.entryPoint")
-    return _exploded(configs, "extensions").select(
-        "config_id",
-        "agent_id",
-        "position",
-        F.col("item.id").alias("extension_id"),
-        F.col("item.path").alias("path"),
-        F.when(_blank(entry_point), F.lit(DEFAULT_ENTRY_POINT)).otherwise(entry_point).alias("entry_point"),
-        F.coalesce("item.enabled", F.lit(True)).alias("enabled"),
-        _list_or(F.col("item.targets"), _texts()).alias("allowed_targets"),
-        F.coalesce("item.script", "item.scriptBlock", "item.inlineScript").isNotNull().alias("inline_script"),
-    )
+    return _rows(configs, _extension_list(F.col("config.extensions"))).drop("site_id")
 
 
 # -- joins -------------------------------------------------------------------
@@ -254,6 +307,32 @@ def join_auth_profile(requests: DataFrame, profile_rows: DataFrame) -> DataFrame
     ).drop("mode", "known")
 
 
+def _handling(test: Column, target_id: Column, extension: Column) -> dict[str, Column]:
+    """How a test is run, given the first enabled extension of its name (or null)."""
+    built_in = F.lower(test).isin(*[name.lower() for name in schema.BUILT_IN_TESTS])
+    allowed = F.transform(extension["allowed_targets"], F.lower)
+    excluded = (F.size(allowed) > 0) & ~F.array_contains(allowed, F.lower(target_id))
+    missing = extension.isNull()
+    nothing = F.lit(None).cast("string")
+    refused = F.concat(F.lit("Extension "), test, F.lit(" is not enabled for target "), target_id, F.lit("."))
+    return {
+        "handling": F.when(built_in, "built-in")
+        .when(missing, "skipped")
+        .when(excluded, "skipped")
+        .otherwise("extension"),
+        "error_code": F.when(built_in, nothing)
+        .when(missing, "UnsupportedProbe")
+        .when(excluded, "ExtensionTargetExcluded"),
+        "probe_name": F.when(built_in, nothing)
+        .when(missing, "Probe.Unknown")
+        .otherwise(extension["entry_point"]),
+        "details": F.when(built_in, nothing)
+        .when(missing, F.concat(F.lit("Probe "), test, F.lit(" is not implemented.")))
+        .when(excluded, refused),
+        "extension_id": F.when(~built_in, extension["extension_id"]),
+    }
+
+
 def join_extension(tests: DataFrame, extension_rows: DataFrame) -> DataFrame:
     """How each (target, test) is run.
 
@@ -266,73 +345,56 @@ def join_extension(tests: DataFrame, extension_rows: DataFrame) -> DataFrame:
         .groupBy("config_id", F.lower("extension_id").alias("name"))
         .agg(F.min_by(F.struct("extension_id", "entry_point", "allowed_targets"), "position").alias("extension"))
     )
-    named = tests.withColumn("name", F.lower("test"))
-    joined = named.join(enabled, ["config_id", "name"], "left")
-    built_in = F.col("name").isin(*[test.lower() for test in schema.BUILT_IN_TESTS])
-    allowed = F.transform("extension.allowed_targets", F.lower)
-    excluded = (F.size(allowed) > 0) & ~F.array_contains(allowed, F.lower("target_id"))
-    missing = F.col("extension").isNull()
-    return joined.withColumns(
-        {
-            "handling": F.when(built_in, "built-in")
-            .when(missing, "skipped")
-            .when(excluded, "skipped")
-            .otherwise("extension"),
-            "error_code": F.when(built_in, F.lit(None).cast("string"))
-            .when(missing, "UnsupportedProbe")
-            .when(excluded, "ExtensionTargetExcluded"),
-            "probe_name": F.when(built_in, F.lit(None).cast("string"))
-            .when(missing, "Probe.Unknown")
-            .otherwise(F.col("extension.entry_point")),
-            "details": F.when(built_in, F.lit(None).cast("string"))
-            .when(missing, F.concat(F.lit("Probe "), F.col("test"), F.lit(" is not implemented.")))
-            .when(
-                excluded,
-                F.concat(
-                    F.lit("Extension "), F.col("test"), F.lit(" is not enabled for target "), F.col("target_id"), F.lit(".")
-                ),
-            ),
-            "extension_id": F.when(~built_in, F.col("extension.extension_id")),
-        }
-    ).drop("name", "extension")
+    joined = tests.withColumn("name", F.lower("test")).join(enabled, ["config_id", "name"], "left")
+    return joined.withColumns(_handling(F.col("test"), F.col("target_id"), F.col("extension"))).drop("name", "extension")
 
 
 def probe_plan(configs: DataFrame) -> DataFrame:
     """Every test of every monitored target, and how it is run."""
-    tests = all_targets(configs).select(
-        "config_id", "agent_id", "site_id", "target_id", "target_kind", F.explode("tests").alias("test")
-    )
-    return join_extension(tests, extensions(configs))
+
+    def of_target(target: Column) -> Column:
+        def one(test: Column) -> Column:
+            named = F.filter("enabled_extensions", lambda e: F.lower(e["extension_id"]) == F.lower(test))
+            return _struct(
+                target_id=target["target_id"],
+                target_kind=target["target_kind"],
+                test=test,
+                **_handling(test, target["target_id"], F.get(named, F.lit(0))),
+            )
+
+        return F.transform(target["tests"], one)
+
+    enabled = F.filter(_extension_list(F.col("config.extensions")), lambda e: e["enabled"])
+    rows = _with_all_targets(configs).withColumn("enabled_extensions", enabled)
+    return _rows(rows, F.flatten(F.transform(F.concat("internal", "internet", "promoted"), of_target)))
 
 
 # -- rules -------------------------------------------------------------------
 
+_FOUND = "array<struct<place: struct<section: int, place_0: int, place_1: int, check: int>, rule: string, message: string>>"
 
-def _check(condition: Column, rule: str, *message: Column | str) -> Column:
-    text = F.concat(*[F.coalesce(part, F.lit("")) if isinstance(part, Column) else F.lit(part) for part in message])
-    return F.when(condition, F.struct(F.lit(rule).alias("rule"), text.alias("message")))
 
+def _broken(section: int, checks: list[tuple], *place: Column) -> Column:
+    """The broken ones of some checks (condition, rule, message parts), with their place in the document."""
+    first, second = [*place, F.lit(0), F.lit(0)][:2]
+    found = []
+    for n, (condition, rule, *message) in enumerate(checks):
+        text = F.concat(
+            *[F.coalesce(part, F.lit("")) if isinstance(part, Column) else F.lit(part) for part in message]
+        )
+        at = _struct(section=F.lit(section), place_0=first, place_1=second, check=F.lit(n))
+        found.append(F.when(condition, _struct(place=at, rule=F.lit(rule), message=text)))
+    return F.filter(F.array(*found), lambda one: one.isNotNull())
 
-def _broken(rows: DataFrame, section: int, checks: list[Column], *order: str) -> DataFrame:
-    """One row per broken check, with its place in the document."""
-    place = [F.col(name).cast("int") for name in order] + [F.lit(0)] * (2 - len(order))
-    listed = F.array(*[F.struct(F.lit(n).alias("check"), check.alias("broken")) for n, check in enumerate(checks)])
-    # The outer form: an inner explode adds a filter that evaluates every rule a second time.
-    found = F.explode_outer(F.filter(listed, lambda item: item["broken"].isNotNull())).alias("found")
-    places = [p.alias(f"place_{n}") for n, p in enumerate(place)]
-    return rows.select("config_id", *places, found).filter(F.col("found").isNotNull()).select(
-        "config_id",
-        F.struct(
-            F.lit(section).alias("section"), "place_0", "place_1", F.col("found.check").alias("check")
-        ).alias("place"),
-        "found.broken.rule",
-        "found.broken.message",
-    )
+
+def _each(items: Column | str, rules: Callable[[Column, Column], Column]) -> Column:
+    """The broken rules of every item of an array."""
+    return F.flatten(F.transform(items, rules))
 
 
-def _repeat(key: str, *order: str) -> Column:
-    """True from the second row on that has the same key in a document."""
-    return F.row_number().over(Window.partitionBy("config_id", key).orderBy(*order)) > 1
+def _repeated(ids: Column, own: Column, at: Column) -> Column:
+    """True where an id is not blank and stands earlier in the list as well."""
+    return ~_blank(own) & (F.array_position(ids, own) <= at)
 
 
 def violations(configs: DataFrame) -> DataFrame:
@@ -340,154 +402,198 @@ def violations(configs: DataFrame) -> DataFrame:
 
     ``place`` sorts the way the rules are checked, so the smallest of a document is the error a
     collector would stop at. A document that is no JSON object breaks the rule ``invalidJson`` only.
-    Profile modes count without regard to letter case.
+    Profile modes count without regard to letter case. Settings that cannot be read as the number they
+    stand for come last; a collector fails when it uses them.
 
     The rule names and messages below are fixed values: they are the errors a collector reports.
     """
-    document = configs.select("config_id", F.col("config").isNotNull().alias("readable"), "config.*")
-    readable = F.col("readable")
-    azure = F.col("publish.azure")
+    rows = _with_all_targets(configs).withColumns(
+        {
+            "profile_ids": F.transform("config.auth.linuxProfiles", lambda p: p["id"]),
+            "extension_list": _extension_list(F.col("config.extensions")),
+        }
+    )
+    # Internal, internet and promoted targets share one namespace.
+    rows = rows.withColumn(
+        "target_ids", F.transform(F.concat("internal", "internet", "promoted"), lambda t: t["target_id"])
+    ).withColumn("extension_ids", F.transform("extension_list", lambda e: e["extension_id"]))
+    readable = F.col("config").isNotNull()
+    config = F.col("config")
+    azure = config["publish"]["azure"]
+
     top = _broken(
-        document,
         0,
         [
-            _check(~readable, "invalidJson", "The configuration is no JSON object."),
-            _check(F.col("schemaVersion") != "1.0", "schemaVersion", "Only schemaVersion 1.0 is supported."),
-            _check(readable & _blank(F.col("agent.agentId")), "agentId", "agent.agentId is required."),
-            _check(readable & _blank(F.col("agent.siteId")), "siteId", "agent.siteId is required."),
-            _check(
-                readable & (F.size("targets") + F.size("internetTargets") < 1),
+            (~readable, "invalidJson", "The configuration is no JSON object."),
+            (config["schemaVersion"] != "1.0", "schemaVersion", "Only schemaVersion 1.0 is supported."),
+            (readable & _blank(config["agent"]["agentId"]), "agentId", "agent.agentId is required."),
+            (readable & _blank(config["agent"]["siteId"]), "siteId", "agent.siteId is required."),
+            (
+                readable & (F.size(config["targets"]) + F.size(config["internetTargets"]) < 1),
                 "noTargets",
                 "At least one target or internetTarget is required.",
             ),
         ],
     )
 
-    profile, mode, secret = F.col("profile_id"), F.lower("mode"), F.col("secret_reference")
-    label = "Linux auth profile "
-    secrets = mode.isin("kerberoskeytab", "usernamepassword") & _blank(secret)
-    profile_rows = _broken(
-        profiles(configs).withColumn("repeated", _repeat("profile_id", "position")),
-        1,
-        [
-            _check(_blank(profile), "profileId", "Each auth.linuxProfiles entry requires an id."),
-            _check(~_blank(profile) & F.col("repeated"), "duplicateProfile", "Duplicate Linux auth profile id: ", profile),
-            _check(_blank(mode), "profileMode", label, profile, " requires mode."),
-            _check(
-                ~_blank(mode) & ~mode.isin(*[known.lower() for known in schema.PROFILE_MODES]),
-                "profileModeUnsupported",
-                label, profile, " uses an unsupported mode.",
-            ),
-            _check(
-                (mode == "currentcontext") & ~_blank(secret),
-                "secretUnsupported",
-                label, profile, " uses currentContext and must not define a secretReference.",
-            ),
-            _check(secrets, "secretRequired", label, profile, " requires a secretReference."),
-        ],
-        "position",
-    )
-
-    known = configs.select(
-        "config_id", F.transform("config.auth.linuxProfiles", lambda p: p["id"]).alias("known_profiles")
-    )
-
-    def unknown(column: Column) -> Column:
-        return ~_blank(column) & ~F.coalesce(F.array_contains("known_profiles", column), F.lit(False))
+    def profile_rules(profile: Column, at: Column) -> Column:
+        name, mode, secret = profile["id"], F.lower(F.coalesce(profile["mode"], F.lit(""))), profile["secretReference"]
+        label = "Linux auth profile "
+        known = [known.lower() for known in schema.PROFILE_MODES]
+        return _broken(
+            1,
+            [
+                (_blank(name), "profileId", "Each auth.linuxProfiles entry requires an id."),
+                (
+                    _repeated(F.col("profile_ids"), name, at),
+                    "duplicateProfile",
+                    "Duplicate Linux auth profile id: ", name,
+                ),
+                (_blank(mode), "profileMode", label, name, " requires mode."),
+                (
+                    ~_blank(mode) & ~mode.isin(*known),
+                    "profileModeUnsupported",
+                    label, name, " uses an unsupported mode.",
+                ),
+                (
+                    (mode == "currentcontext") & ~_blank(secret),
+                    "secretUnsupported",
+                    label, name, " uses currentContext and must not define a secretReference.",
+                ),
+                (
+                    mode.isin("kerberoskeytab", "usernamepassword") & _blank(secret),
+                    "secretRequired",
+                    label, name, " requires a secretReference.",
+                ),
+            ],
+            at,
+        )
 
-    # Internal, internet and promoted targets share one namespace.
-    everything = all_targets(configs).withColumn("repeated", _repeat("target_id", "list", "position"))
-    target, wanted = F.col("target_id"), F.col("linux_profile_id")
-    internal = everything.filter("list = 0").join(known, "config_id").withColumn("share_position", F.lit(-1))
-    target_rows = _broken(
-        internal,
-        2,
-        [
-            _check(_blank(target), "targetId", "Each target requires an id."),
-            _check(~_blank(target) & F.col("repeated"), "duplicateTarget", "Duplicate target id: ", target),
-            _check(_blank(F.col("fqdn")), "targetFqdn", "Target ", target, " requires fqdn."),
-            _check(_blank(F.col("target_address")), "targetAddress", "Target ", target, " requires address."),
-            _check(
-                unknown(wanted), "targetProfile", "Target ", target, " references an unknown linuxProfileId: ", wanted
-            ),
-        ],
-        "position",
-        "share_position",
-    )
-    share = F.col("share_id")
-    share_rows = _broken(
-        shares(configs).join(known, "config_id"),
-        2,
-        [
-            _check(_blank(share), "shareId", "Each share for target ", target, " requires an id."),
-            _check(
-                _blank(F.col("share_path")), "sharePath", "Share ", share, " for target ", target, " requires path."
-            ),
-            _check(
-                unknown(wanted),
-                "shareProfile",
-                "Share ", share, " for target ", target, " references an unknown linuxProfileId: ", wanted,
-            ),
-        ],
-        "position",
-        "share_position",
-    )
-    internet_rows = _broken(
-        everything.filter("list > 0"),
-        3,
-        [
-            _check(_blank(target), "internetTargetId", "Each internetTarget requires an id."),
-            _check(
-                ~_blank(target) & F.col("repeated"),
-                "duplicateInternetTarget",
-                "Duplicate target or internetTarget id: ", target,
-            ),
-            _check(
-                _blank(F.col("target_address")), "internetTargetAddress", "Internet target ", target, " requires address."
-            ),
-        ],
-        "list",
-        "position",
-    )
+    def unknown(profile: Column) -> Column:
+        return ~_blank(profile) & ~F.coalesce(F.array_contains("profile_ids", profile), F.lit(False))
+
+    def target_rules(target: Column, at: Column) -> Column:
+        name, wanted = target["target_id"], target["linux_profile_id"]
+        own = _broken(
+            2,
+            [
+                (_blank(name), "targetId", "Each target requires an id."),
+                (_repeated(F.col("target_ids"), name, at), "duplicateTarget", "Duplicate target id: ", name),
+                (_blank(target["fqdn"]), "targetFqdn", "Target ", name, " requires fqdn."),
+                (_blank(target["target_address"]), "targetAddress", "Target ", name, " requires address."),
+                (
+                    unknown(wanted),
+                    "targetProfile",
+                    "Target ", name, " references an unknown linuxProfileId: ", wanted,
+                ),
+            ],
+            at,
+            F.lit(-1),
+        )
 
-    publish_rows = _broken(
-        document,
+        def share_rules(share: Column, share_at: Column) -> Column:
+            own_id, wanted = share["id"], share["linuxProfileId"]
+            return _broken(
+                2,
+                [
+                    (_blank(own_id), "shareId", "Each share for target ", name, " requires an id."),
+                    (
+                        _blank(share["path"]),
+                        "sharePath",
+                        "Share ", own_id, " for target ", name, " requires path.",
+                    ),
+                    (
+                        unknown(wanted),
+                        "shareProfile",
+                        "Share ", own_id, " for target ", name, " references an unknown linuxProfileId: ", wanted,
+                    ),
+                ],
+                at,
+                share_at,
+            )
+
+        return F.concat(own, F.coalesce(_each(target["shares"], share_rules), F.array().cast(_FOUND)))
+
+    def internet_rules(number: int, offset: Column) -> Callable[[Column, Column], Column]:
+        def rules(target: Column, at: Column) -> Column:
+            name = target["target_id"]
+            return _broken(
+                3,
+                [
+                    (_blank(name), "internetTargetId", "Each internetTarget requires an id."),
+                    (
+                        _repeated(F.col("target_ids"), name, offset + at),
+                        "duplicateInternetTarget",
+                        "Duplicate target or internetTarget id: ", name,
+                    ),
+                    (
+                        _blank(target["target_address"]),
+                        "internetTargetAddress",
+                        "Internet target ", name, " requires address.",
+                    ),
+                ],
+                F.lit(number),
+                target["position"],
+            )
+
+        return rules
+
+    publish = _broken(
         4,
         [
-            _check(
+            (
                 azure["enabled"] & _blank(azure["accountName"]),
                 "azureAccount",
                 "publish.azure.accountName is required when Azure publishing is enabled.",
             ),
-            _check(
+            (
                 azure["enabled"] & _blank(azure["containerName"]),
                 "azureContainer",
                 "publish.azure.containerName is required when Azure publishing is enabled.",
             ),
         ],
     )
-    extension = F.col("extension_id")
-    extension_rows = _broken(
-        extensions(configs).withColumn("repeated", _repeat("extension_id", "position")),
-        5,
-        [
-            _check(
-                F.col("inline_script"),
-                "inlineScript",
-                "Extensions must reference trusted local script files. Inline script content is not supported.",
-            ),
-            _check(_blank(extension), "extensionId", "Each extension requires an id."),
-            _check(
-                ~_blank(extension) & F.col("repeated"), "duplicateExtension", "Duplicate extension id: ", extension
-            ),
-            _check(_blank(F.col("path")), "extensionPath", "Extension ", extension, " requires a path."),
-        ],
-        "position",
-    )
-    return reduce(
-        DataFrame.unionByName,
-        [top, profile_rows, target_rows, share_rows, internet_rows, publish_rows, extension_rows],
-    )
+
+    def extension_rules(extension: Column, at: Column) -> Column:
+        name = extension["extension_id"]
+        return _broken(
+            5,
+            [
+                (
+                    extension["inline_script"],
+                    "inlineScript",
+                    "Extensions must reference trusted local script files. Inline script content is not supported.",
+                ),
+                (_blank(name), "extensionId", "Each extension requires an id."),
+                (
+                    _repeated(F.col("extension_ids"), name, at),
+                    "duplicateExtension",
+                    "Duplicate extension id: ", name,
+                ),
+                (_blank(extension["path"]), "extensionPath", "Extension ", name, " requires a path."),
+            ],
+            at,
+        )
+
+    def setting_rules(setting: Column, at: Column) -> Column:
+        text = ("Setting ", setting["name"], " is no whole number: ", setting["value"])
+        return _broken(6, [(F.lit(True), "settingType", *text)], at)
+
+    internal, internet = F.size("internal"), F.size("internet")
+    sections = [
+        top,
+        _each("config.auth.linuxProfiles", profile_rules),
+        _each("configured", target_rules),
+        _each("internet", internet_rules(1, internal)),
+        _each("promoted", internet_rules(2, internal + internet)),
+        publish,
+        _each("extension_list", extension_rules),
+        _each("config.wrongSettings", setting_rules),
+    ]
+    nothing = F.array().cast(_FOUND)
+    found = F.concat(*[F.coalesce(section.cast(_FOUND), nothing) for section in sections])
+    broken = rows.select("config_id", found.alias("broken"))
+    return _exploded(broken, F.col("broken"), "found").select("config_id", "found.*")
 
 
 def first_violations(broken: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from linkscope import schema
@@ -129,7 +129,9 @@ def import_source(
 
     A batch is imported whole or not at all. A failed batch stays out of the ledger, so every
     later run tries it again and counts it again. A source that cannot be listed or read is an
-    outcome as well: it is logged, all its new batches count as failed, and nothing of it is committed.
+    outcome as well: it is logged, all its new batches count as failed, and nothing of it is committed. A run that
+    reached the ledger is logged as what it committed; if the log cannot be written, the call fails, and the
+    ledger still holds the run.
     """
     at = as_of or utc_now()
     run_id = uuid.uuid4().hex
@@ -143,24 +145,40 @@ def import_source(
             new_batches(listing, lake.ledger(spark)).dropDuplicates(KEYS).write.parquet(f"{folder}/pending")
             pending = spark.read.parquet(f"{folder}/pending")
             discovered, tried = listing.count(), pending.count()
-            checked = check_lines(source.lines(spark, pending))
-            verdicts = commit_batches(spark, lake, checked, pending, run_id, at)
-            record = run_record(verdicts, listing, source.source_type, run_id, at)
-            return log_run(lake, record, source.source_type, run_id)
+            checked, verdicts = judge_batches(spark, check_lines(source.lines(spark, pending)), pending)
+            outcome = run_record(verdicts, listing, source.source_type, run_id, at).first()
+            store_batches(lake, checked, verdicts, run_id, at)
         except Exception as error:  # an unreadable source does not stop the others
-            record = failed_run_record(
-                spark, source.source_type, run_id, at, str(error), discovered, tried if discovered else 1
-            )
-            return log_run(lake, record, source.source_type, run_id)
+            if not committed(spark, lake, run_id):
+                outcome = failed_run_record(
+                    spark, source.source_type, run_id, at, str(error), discovered, tried if discovered else 1
+                ).first()
+        # Outside of the block above: the log says what was committed, whatever happens to the log itself.
+        return log_run(spark, lake, outcome)
 
 
-def log_run(lake: Lake, record: DataFrame, source_type: str, run_id: str) -> ImportResult:
-    row = record.first()
-    spark = record.sparkSession
-    sink.append_import_run(lake, spark.createDataFrame([tuple(row)], schema.IMPORT_RUN_SCHEMA))
+def committed(spark: SparkSession, lake: Lake, run_id: str) -> bool:
+    """Whether the ledger holds batches of a run; a commit writes its rows last and all at once."""
+    return not lake.ledger(spark).filter(F.col("run_id") == run_id).isEmpty()
+
+
+# Attempts to write the log entry of a run.
+LOG_ATTEMPTS = 3
+
+
+def log_run(spark: SparkSession, lake: Lake, row: Row) -> ImportResult:
+    """Append the log entry, trying again where the store fails, and return what it says."""
+    entry = spark.createDataFrame([tuple(row)], schema.IMPORT_RUN_SCHEMA)
+    for attempt in range(LOG_ATTEMPTS):
+        try:
+            sink.append_import_run(lake, entry)
+            break
+        except Exception:
+            if attempt + 1 == LOG_ATTEMPTS:
+                raise
     return ImportResult(
-        source_type,
-        run_id,
+        row.source_type,
+        row.run_id,
         row.discovered,
         row.imported,
         row.skipped,

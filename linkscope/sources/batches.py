@@ -7,15 +7,17 @@ in the import ledger, so a file with changed content is a new batch.
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from typing import Protocol
 from urllib.parse import urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,11 +28,15 @@ from linkscope.session import shared_folder
 BATCH_KEYS = ("source_type", "source_identifier", "fingerprint")
 LINE_COLUMNS = (*BATCH_KEYS, "line_no", "value")
 
-# The reader is given so many paths at a time, and the driver holds no more.
+# The reader is given so many paths at most, and the driver holds no more.
 PATHS_A_READ = 10_000
+# Path hashes of so many files are sent to all tasks (about 100 MB); beyond that they are joined.
+HASHES_SENT = 5_000_000
 
-# Modulus of line digests: products of two residues fit into 64 bits.
-_MODULUS = (1 << 31) - 1
+# Files up to this size are hashed whole, by one task each; larger ones as a tree.
+WHOLE_BYTES = 32 << 20
+# Lines in a block of a tree.
+TREE_LINES = 4096
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
@@ -99,41 +105,27 @@ def line_number() -> Column:
     return F.col("row") - F.col("first_row") + F.col("earlier") + 1
 
 
-def block_digests(text: DataFrame) -> DataFrame:
-    """Sums over the lines of each file split, from one scan; see :func:`file_digests`."""
-    # Within a task rows count up from a multiple of 2 ** 33.
-    place = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    parts = {
-        "left": F.pmod(F.xxhash64("value"), F.lit(_MODULUS)),
-        "right": F.pmod(F.xxhash64(F.lit("line"), "value"), F.lit(_MODULUS)),
-    }
-    sums = []
-    for name, part in parts.items():
-        sums.append(F.pmod(F.sum(part), F.lit(_MODULUS)).alias(name))
-        placed = F.pmod(part * F.pmod(place, F.lit(_MODULUS)), F.lit(_MODULUS))
-        sums.append(F.pmod(F.sum(placed), F.lit(_MODULUS)).alias(f"placed_{name}"))
-    return (
-        with_row_numbers(text)
-        .groupBy("file_path", "block_start")
-        .agg(F.count(F.lit(1)).alias("lines"), F.pmod(F.min(place), F.lit(_MODULUS)).alias("first"), *sums)
-    )
+def line_hashes(text: DataFrame) -> DataFrame:
+    """SHA-256 of each line of a text scan, with its place in the task that read it."""
+    return with_row_numbers(text).select("file_path", "block_start", "row", F.sha2("value", 256).alias("hash"))
 
 
-def file_digests(blocks: DataFrame) -> DataFrame:
-    """``file_path`` and ``fingerprint``: a digest of a file's lines and their order.
+def tree_fingerprints(hashes: DataFrame) -> DataFrame:
+    """``file_path`` and ``fingerprint`` of files whose :func:`line_hashes` were stored.
 
-    It adds up line hashes, and line hashes times line numbers, so the splits of a file can
-    be read by any tasks; how a file was split does not change the result. Line ends do not count.
+    The SHA-256 of the SHA-256s of blocks of 4,096 lines, each of which hashes its lines' SHA-256s one after
+    another. Blocks follow line numbers, so how a file was split does not change the result, and no task holds
+    more than a block or the list of a file's blocks. Line ends do not count.
     """
-    before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = blocks.withColumn(
-        "shift", F.pmod(F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first"), F.lit(_MODULUS))
+    numbered = hashes.join(line_blocks(hashes), ["file_path", "block_start"])
+    block = F.expr(f"(row - first_row + earlier) div {TREE_LINES}").alias("block")
+    joined = "sha2(listagg(hash) WITHIN GROUP (ORDER BY {0}), 256)"
+    blocks = (
+        numbered.select("file_path", block, line_number().alias("line_no"), "hash")
+        .groupBy("file_path", "block")
+        .agg(F.expr(joined.format("line_no")).alias("hash"))
     )
-    sums = [F.sum("lines").cast("string")]
-    for name in ("left", "right"):
-        ordered = F.pmod(F.col(f"placed_{name}") + F.pmod(F.col(name) * F.col("shift"), F.lit(_MODULUS)), F.lit(_MODULUS))
-        sums += [F.pmod(F.sum(x), F.lit(_MODULUS)).cast("string") for x in (F.col(name), ordered)]
-    return shifted.groupBy("file_path").agg(F.sha2(F.concat_ws("|", *sums), 256).alias("fingerprint"))
+    return blocks.groupBy("file_path").agg(F.expr(joined.format("block")).alias("fingerprint"))
 
 
 # -- files ---------------------------------------------------------------------
@@ -161,9 +153,10 @@ def _literal_path(path: str) -> str:
 class FileSource:
     """JSON-lines files under a folder or an object-store prefix.
 
-    ``fingerprint="content"`` digests the lines of each file, so every import reads all files, split
-    like any text scan. ``fingerprint="stat"`` uses size and modification time: only new files
-    are ever read. Each holds for files of any size.
+    ``fingerprint="content"`` hashes the text of each file, line ends taken as LF, so every import reads all
+    files: those up to ``whole_bytes`` as a whole (SHA-256 of the text), larger ones split like any text scan
+    (:func:`tree_fingerprints`). ``fingerprint="stat"`` uses size and modification time: only new files
+    are ever read. Listing, hashing and reading are one job each, however many files there are.
     """
 
     source_type: str
@@ -171,6 +164,7 @@ class FileSource:
     prefix: str = ""
     pattern: str = "*.jsonl"
     fingerprint: str = "content"
+    whole_bytes: int = WHOLE_BYTES
 
     def __post_init__(self) -> None:
         if self.fingerprint not in ("content", "stat"):
@@ -193,88 +187,96 @@ class FileSource:
         """The same for a file URI, in which special characters are escaped."""
         return self._identifier(F.url_decode(F.regexp_replace(file_uri, r"\+", "%2B")))
 
-    def files(self, spark: SparkSession) -> DataFrame:
-        """One row per file, without reading any content. A missing root has no files."""
-        columns = (
-            "source_type string, source_identifier string, file_path string, path string, "
-            "length long, modified timestamp"
-        )
+    def files(self, spark: SparkSession) -> DataFrame | None:
+        """One row per file, without reading any content; None where the root does not exist."""
         try:
             found = spark.read.format("binaryFile").options(**self._options()).load(self.location)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], columns)
+            return None
         if urlparse(self.location).scheme in ("", "file"):  # object stores have no links
             found = found.filter(~_is_linked(F.regexp_replace("path", _SCHEME, ""), F.lit(_bare(self.location))))
         return found
 
     def batches(self, spark: SparkSession) -> DataFrame:
         found = self.files(spark)
-        if "content" not in found.columns:
-            return found.select(
-                "source_type", "source_identifier", F.lit("").alias("fingerprint"), "file_path", "path"
+        if found is None:
+            return spark.createDataFrame([], _LISTED)
+
+        def listed(files: DataFrame, fingerprint: Column) -> DataFrame:
+            return files.select(
+                F.lit(self.source_type).alias("source_type"),
+                self._identifier(F.col("path")).alias("source_identifier"),
+                fingerprint.alias("fingerprint"),
+                F.col("_metadata.file_path").alias("file_path"),
+                "path",
+                F.col("modificationTime").alias("modified"),
             )
-        listed = found.select(
-            F.lit(self.source_type).alias("source_type"),
-            self._identifier(F.col("path")).alias("source_identifier"),
-            stat_fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"),
-            F.col("_metadata.file_path").alias("file_path"),
-            "path",
-        )
+
         if self.fingerprint == "stat":
-            return listed
-        folder = shared_folder(spark, "digests")
-        listed.write.parquet(f"{folder}/files")
-        listed = spark.read.parquet(f"{folder}/files")
-        for text in self._texts(spark, listed):
-            block_digests(text).write.mode("append").parquet(f"{folder}/blocks")
-        blocks = read_folder(spark, f"{folder}/blocks", _DIGESTS)
-        return listed.drop("fingerprint").join(file_digests(blocks), "file_path")
-
-    def _texts(self, spark: SparkSession, files: DataFrame) -> Iterator[DataFrame]:
-        """Text scans that together read the files, some thousand at a time."""
-        paths = (row.path for row in files.select("path").toLocalIterator())
-        while some := list(itertools.islice(paths, PATHS_A_READ)):
-            yield (
-                spark.read.options(**self._options())
-                .text([_literal_path(path) for path in some])
-                .select(
-                    "value",
-                    F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_block_start").alias("block_start"),
-                )
-            )
+            return listed(found, stat_fingerprint(F.col("length"), F.col("modificationTime")))
+        # Without the column ``content`` the reader opens no file; with a bound on the length none beyond it.
+        whole = listed(
+            found.filter(F.col("length") <= self.whole_bytes), content_fingerprint(F.col("content").cast("string"))
+        )
+        folder = shared_folder(spark, "hashes")
+        large = listed(found.filter(F.col("length") > self.whole_bytes), F.lit("")).drop("fingerprint")
+        large.write.parquet(f"{folder}/files")
+        large = spark.read.parquet(f"{folder}/files")
+        if large.isEmpty():
+            return whole
+        line_hashes(self._text(spark, large)).write.parquet(f"{folder}/lines")
+        trees = tree_fingerprints(spark.read.parquet(f"{folder}/lines"))
+        return whole.unionByName(large.join(trees, "file_path"))
+
+    def _text(self, spark: SparkSession, files: DataFrame) -> DataFrame:
+        """One text scan that reads the files (file_path, path, modified), and a few others at most.
+
+        Up to some thousand paths are named to the reader. Beyond that the whole location is scanned, without
+        the files that are older or newer than all of these, and others are left out by a hash of their path.
+        """
+        some = files.select("path").limit(PATHS_A_READ + 1).collect()
+        reader = spark.read.options(**self._options())
+        if len(some) <= PATHS_A_READ:
+            text = reader.text([_literal_path(row.path) for row in some])
+        else:
+            first, last, count = files.agg(F.min("modified"), F.max("modified"), F.count("*")).first()
+            wanted = files.select(F.xxhash64("file_path").alias("path_hash")).distinct()
+            written = F.col("_metadata.file_modification_time")
+            text = reader.text(self.location).filter((written >= F.lit(first)) & (written <= F.lit(last)))
+            text = text.withColumns(_place()).withColumn("path_hash", F.xxhash64("file_path"))
+            text = text.join(F.broadcast(wanted) if count <= HASHES_SENT else wanted, "path_hash", "left_semi")
+            return text.select("value", "file_path", "block_start")
+        return text.select("value", *[column.alias(name) for name, column in _place().items()])
 
     def lines(self, spark: SparkSession, pending: DataFrame) -> DataFrame:
         """Lines of the pending files. The text is scanned once and stored; numbers come from what was stored."""
         folder = shared_folder(spark, "lines")
-        for text in self._texts(spark, pending):
-            with_row_numbers(text).write.mode("append").parquet(f"{folder}/rows")
-        rows = read_folder(spark, f"{folder}/rows", _ROWS)
-        # Written, its size is known: Spark then broadcasts it, or shuffles if it is large.
-        blocks = line_blocks(rows).join(pending.select("file_path", *BATCH_KEYS), "file_path")
-        blocks.write.parquet(f"{folder}/blocks")
-        blocks = spark.read.parquet(f"{folder}/blocks")
-        return rows.join(blocks, ["file_path", "block_start"]).select(
-            *BATCH_KEYS, line_number().alias("line_no"), "value"
-        )
+        if pending.isEmpty():
+            return spark.createDataFrame([], _LINES)
+        with_row_numbers(self._text(spark, pending)).write.parquet(f"{folder}/rows")
+        return numbered_lines(spark, spark.read.parquet(f"{folder}/rows"), pending, folder)
+
 
+_LISTED = "source_type string, source_identifier string, fingerprint string, file_path string, path string, modified timestamp"
+_LINES = "source_type string, source_identifier string, fingerprint string, line_no long, value string"
 
-_ROWS = "value string, file_path string, block_start long, row long"
-_DIGESTS = (
-    "file_path string, block_start long, lines long, first long, left long, placed_left long, right long, placed_right long"
-)
 
+def _place() -> dict[str, Column]:
+    """Where a scanned line comes from: its file and the beginning of its split."""
+    return {"file_path": F.col("_metadata.file_path"), "block_start": F.col("_metadata.file_block_start")}
 
-def read_folder(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """A folder written piece by piece; no rows if there was no piece."""
-    try:
-        return spark.read.schema(columns).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], columns)
+
+def numbered_lines(spark: SparkSession, rows: DataFrame, pending: DataFrame, folder: str) -> DataFrame:
+    """Stored rows (file_path, block_start, row, value) as lines of the pending batches (file_path and keys)."""
+    # Written, its size is known: Spark then broadcasts it, or shuffles if it is large.
+    blocks = line_blocks(rows).join(pending.select("file_path", *BATCH_KEYS), "file_path")
+    blocks.write.parquet(f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    return rows.join(blocks, ["file_path", "block_start"]).select(
+        *BATCH_KEYS, line_number().alias("line_no"), "value"
+    )
 
 
 def local_source(path: str, **options: object) -> FileSource:
@@ -319,19 +321,139 @@ class ContentSource:
         return split_lines(pending.select(*BATCH_KEYS, "content")).select(*LINE_COLUMNS)
 
 
-_REGISTRY: dict[str, Callable[[SparkSession], DataFrame]] = {}
+# A batch is read in ranges of so many bytes, each by a task of its own.
+RANGE_BYTES = 64 << 20
+_READ_STEP = 1 << 20
+_LINE_END = re.compile(rb"\r\n|\n|\r")
+
+# (identifier, first byte, number of bytes) -> bytes, fewer only at the end; called in tasks.
+ReadBytes = Callable[[str, int, int], bytes]
+
+
+def lines_of_range(read: Callable[[int, int], bytes], start: int, end: int) -> Iterator[bytes]:
+    """The lines that begin at bytes ``start`` to ``end - 1``; the last of them may run on beyond.
+
+    Ranges that follow one another give every line of a text once, whatever their size. Lines end at LF, CR or CRLF.
+    """
+    held = read(max(0, start - 1), _READ_STEP + 1)
+    over = len(held) <= _READ_STEP
+    base, at = max(0, start - 1), min(start, 1)
+    # A line that runs across the start, or the LF of a CRLF that does, belongs to the range before.
+    before, first = held[:at], held[at : at + 1]
+    skip = start > 0 and not (before == b"\n" or (before == b"\r" and first != b"\n"))
+    searched = at
+    while base + at < end:
+        found = _LINE_END.search(held, searched)
+        # A CR at the end of what is held may be half of a CRLF.
+        if not over and (found is None or found.end() == len(held)):
+            more = read(base + len(held), _READ_STEP)
+            over = len(more) < _READ_STEP
+            searched = (found.start() if found else len(held)) - at
+            held, base, at = held[at:] + more, base + at, 0
+            continue
+        if found is None:
+            if at < len(held) and not skip:
+                yield held[at:]
+            return
+        if not skip:
+            yield held[at : found.start()]
+        skip, at = False, found.end()
+        searched = at
+
+
+@dataclass(frozen=True)
+class RangedSource:
+    """A source backed by a function that reads bytes of a batch, for batches of any size.
+
+    ``load`` returns ``source_identifier`` and ``length`` (bytes), and may bring a ``fingerprint``. ``read`` runs in
+    tasks. Batches are dealt out in ranges: hashed in fixed ranges where they bring no fingerprint (the SHA-256 of
+    the ranges' SHA-256s), and read by the lines that begin in each range.
+    """
+
+    source_type: str
+    load: Callable[[SparkSession], DataFrame]
+    read: ReadBytes
+    range_bytes: int = RANGE_BYTES
+
+    def _ranges(self, batches: DataFrame) -> DataFrame:
+        """Rows (file_path, block_start, block_end), one partition for each, up to 100,000 of them."""
+        length, step = F.col("length").cast("long"), F.lit(self.range_bytes).cast("long")
+        starts = F.sequence(F.lit(0).cast("long"), F.greatest(length - 1, F.lit(0).cast("long")), step)
+        ranges = batches.select(
+            F.col("source_identifier").alias("file_path"), length.alias("length"), F.explode(starts).alias("block_start")
+        )
+        ranges = ranges.withColumn("block_end", F.least(F.col("block_start") + self.range_bytes, F.col("length")))
+        return ranges.drop("length").repartition(max(1, min(ranges.count(), 100_000)), "file_path", "block_start")
+
+    def batches(self, spark: SparkSession) -> DataFrame:
+        loaded = self.load(spark)
+        kept = [F.lit(self.source_type).alias("source_type"), "source_identifier"]
+        if "fingerprint" in loaded.columns:
+            return loaded.select(*kept, "fingerprint", "length")
+        read = self.read
+
+        def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                digests = []
+                for name, start, end in zip(*(part[n].to_pylist() for n in range(3)), strict=True):
+                    state = hashlib.sha256()
+                    for at in range(start, end, _READ_STEP):
+                        state.update(read(name, at, min(_READ_STEP, end - at)))
+                    digests.append(state.hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(digests, pa.string())], names=["file_path", "block_start", "hash"]
+                )
+
+        hashes = self._ranges(loaded).mapInArrow(hashed, "file_path string, block_start long, hash string")
+        tree = "sha2(listagg(hash) WITHIN GROUP (ORDER BY block_start), 256)"
+        trees = hashes.groupBy(F.col("file_path").alias("source_identifier")).agg(F.expr(tree).alias("fingerprint"))
+        return loaded.join(trees, "source_identifier").select(*kept, "fingerprint", "length")
+
+    def lines(self, spark: SparkSession, pending: DataFrame) -> DataFrame:
+        read, folder = self.read, shared_folder(spark, "lines")
+        schema = pa.schema(
+            [("file_path", pa.string()), ("block_start", pa.int64()), ("row", pa.int64()), ("value", pa.string())]
+        )
+
+        def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for name, start, end in zip(*(part[n].to_pylist() for n in range(3)), strict=True):
+                    rows: list[tuple] = []
+                    for n, line in enumerate(lines_of_range(partial(read, name), start, end)):
+                        rows.append((name, start, n, line.decode("utf-8", "replace")))
+                        if len(rows) == 1000:
+                            yield _record_batch(rows, schema)
+                            rows = []
+                    yield _record_batch(rows, schema)
+
+        rows = self._ranges(pending).mapInArrow(split, "file_path string, block_start long, row long, value string")
+        rows.write.parquet(f"{folder}/rows")
+        keys = pending.select(F.col("source_identifier").alias("file_path"), *BATCH_KEYS)
+        return numbered_lines(spark, spark.read.parquet(f"{folder}/rows"), keys, folder)
+
+
+def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row[n] for row in rows], field.type) for n, field in enumerate(schema)], schema=schema
+    )
+
+
+_REGISTRY: dict[str, ContentSource | RangedSource] = {}
 
 
-def register_source(source_type: str, load: Callable[[SparkSession], DataFrame]) -> ContentSource:
-    """Make a batch source available by name."""
+def register_source(
+    source_type: str, load: Callable[[SparkSession], DataFrame], read: ReadBytes | None = None, **options: object
+) -> ContentSource | RangedSource:
+    """Make a batch source available by name: of whole texts, or with ``read`` of batches that are read in ranges."""
     if not source_type:
         raise ValueError("a source needs a type")
-    _REGISTRY[source_type] = load
-    return ContentSource(source_type, load)
+    source = RangedSource(source_type, load, read, **options) if read else ContentSource(source_type, load)
+    _REGISTRY[source_type] = source
+    return source
 
 
-def registered_source(source_type: str) -> ContentSource:
-    return ContentSource(source_type, _REGISTRY[source_type])
+def registered_source(source_type: str) -> ContentSource | RangedSource:
+    return _REGISTRY[source_type]
 
 
 # -- source sets -----------------------------------------------------------------

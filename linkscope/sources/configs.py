@@ -8,25 +8,25 @@ from pyspark.sql import functions as F
 from linkscope.functions.events import is_object
 from linkscope.session import shared_folder
 
-# A list of texts may be written as a single text, so such fields are read as variants.
-_LIST = "variant"
+# A list of texts may be written as a single text, a number or switch as a text: such fields are read as variants.
+_LIST = _NUMBER = _SWITCH = "variant"
 _TARGET = f"""id: string, fqdn: string, address: string, tests: {_LIST}, dnsServers: {_LIST}, roles: {_LIST}, tags: {_LIST},
   linuxProfileId: string, externalTraceTarget: string,
   shares: array<struct<id: string, path: string, linuxProfileId: string>>"""
 CONFIG_TYPE = f"""struct<
   schemaVersion: string,
-  agent: struct<agentId: string, siteId: string, spoolDirectory: string, configPollIntervalSeconds: int,
-    cycleIntervalSeconds: int, maxRuntimeMinutes: int>,
-  publish: struct<mode: string, format: string, csvMirror: boolean,
-    azure: struct<enabled: boolean, accountName: string, containerName: string, blobPrefix: string,
+  agent: struct<agentId: string, siteId: string, spoolDirectory: string, configPollIntervalSeconds: {_NUMBER},
+    cycleIntervalSeconds: {_NUMBER}, maxRuntimeMinutes: {_NUMBER}>,
+  publish: struct<mode: string, format: string, csvMirror: {_SWITCH},
+    azure: struct<enabled: {_SWITCH}, accountName: string, containerName: string, blobPrefix: string,
       configBlobPath: string, authMode: string, sasToken: string>>,
-  tests: struct<enabled: {_LIST}, pingTimeoutMs: int, pingPacketSize: int, shareAccessTimeoutSeconds: int,
-    tracerouteTimeoutSeconds: int, tracerouteProbeTimeoutSeconds: int, internetQualitySampleCount: int>,
+  tests: struct<enabled: {_LIST}, pingTimeoutMs: {_NUMBER}, pingPacketSize: {_NUMBER}, shareAccessTimeoutSeconds: {_NUMBER},
+    tracerouteTimeoutSeconds: {_NUMBER}, tracerouteProbeTimeoutSeconds: {_NUMBER}, internetQualitySampleCount: {_NUMBER}>,
   auth: struct<linuxSmbMode: string, secretReference: string,
     linuxProfiles: array<struct<id: string, mode: string, secretReference: string>>>,
   targets: array<struct<{_TARGET}>>,
   internetTargets: array<struct<{_TARGET}, name: string, targetKind: string>>,
-  extensions: array<struct<id: string, path: string, entryPoint: string, enabled: boolean, targets: {_LIST},
+  extensions: array<struct<id: string, path: string, entryPoint: string, enabled: {_SWITCH}, targets: {_LIST},
     script: string, scriptBlock: string, inlineScript: string>>
 >"""
 
@@ -75,6 +75,30 @@ def text_list(value: Column) -> Column:
     return F.coalesce(listed, F.when(single.isNotNull(), F.array(single)))
 
 
+def as_number(value: Column) -> Column:
+    """A variant as a whole number, as a collector reads it: from text as well, halves rounded to even.
+
+    Null where there is no number in it, or none of 32 bits.
+    """
+    number = F.try_variant_get(value, "$", "string").try_cast("double")
+    return F.bround(number).try_cast("int")
+
+
+def as_boolean(value: Column) -> Column:
+    """A variant as a switch, as a collector reads it: a number other than 0, any text but the empty one, is on."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return (
+        F.when(_missing(value), F.lit(None))
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind == "STRING", text != "")
+        .otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True)))
+    )
+
+
+def _missing(value: Column) -> Column:
+    return value.isNull() | F.is_variant_null(value)
+
+
 def read_configs(
     spark: SparkSession, path: str, pattern: str = "*.json", per_line: bool = False
 ) -> DataFrame:
@@ -96,11 +120,17 @@ def read_configs(
 
 _PROFILE = "id: string, mode: string, secretReference: string"
 _INTERNET = f"{_TARGET}, name: string, targetKind: string"
-_EXTENSION = f"""id: string, path: string, entryPoint: string, enabled: boolean, targets: {_LIST},
+_EXTENSION = f"""id: string, path: string, entryPoint: string, enabled: {_SWITCH}, targets: {_LIST},
   script: string, scriptBlock: string, inlineScript: string"""
-# The lists of objects, read as single objects; a field that holds a list is then null.
-_SINGLE_TYPE = f"""struct<targets: struct<{_TARGET}>, internetTargets: struct<{_INTERNET}>, extensions: struct<{_EXTENSION}>,
-  auth: struct<linuxProfiles: struct<{_PROFILE}>>>"""
+def computed_once(frame: DataFrame, *names: str) -> DataFrame:
+    """The same rows; the named columns are computed once for each of them.
+
+    What reads several fields of a parsed document would otherwise be merged into the projection that parses
+    it, and parse it for every field. Projections are not merged across a generator of one row.
+    """
+    kept = [name for name in frame.columns if name not in names]
+    one = frame.select(*kept, F.explode_outer(F.array(F.struct(*names))).alias("once"))
+    return one.select(*kept, *[F.col("once")[name].alias(name) for name in names])
 
 
 def parse_configs(documents: DataFrame, document: str = "document") -> DataFrame:
@@ -108,23 +138,25 @@ def parse_configs(documents: DataFrame, document: str = "document") -> DataFrame
 
     A single object where a list of objects is expected counts as a list of one.
     """
+    kept = [name for name in documents.columns if name not in (document, "config")]
+    tree, config = F.col("tree"), F.col("config")
     parsed = documents.select(
-        *[name for name in documents.columns if name not in (document, "config")],
-        is_object(F.try_parse_json(document)).alias("readable"),
-        F.from_json(document, CONFIG_TYPE).alias("config"),
-        F.from_json(document, _SINGLE_TYPE).alias("single"),
+        *kept, F.try_parse_json(document).alias("tree"), F.from_json(document, CONFIG_TYPE).alias("config")
     )
-    config, single = F.col("config"), F.col("single")
+    parsed = computed_once(parsed, "tree", "config")
 
-    def listed(name: str, lists: Column, singles: Column) -> Column:
-        return F.coalesce(lists[name], F.when(singles[name].isNotNull(), F.array(singles[name])))
+    def listed(path: str, lists: Column, kind: str) -> Column:
+        """The list, or the single object that stands in its place."""
+        single = F.try_variant_get(tree, f"$.{path}", "variant")
+        alone = F.from_json(F.concat(F.lit("["), F.to_json(single), F.lit("]")), f"array<struct<{kind}>>")
+        return F.when(is_object(single), alone).otherwise(lists)
 
     whole = config
-    for name in ("targets", "internetTargets", "extensions"):
-        whole = whole.withField(name, listed(name, config, single))
-    profiles = listed("linuxProfiles", config["auth"], single["auth"])
+    for name, kind in (("targets", _TARGET), ("internetTargets", _INTERNET), ("extensions", _EXTENSION)):
+        whole = whole.withField(name, listed(name, config[name], kind))
+    profiles = listed("auth.linuxProfiles", config["auth"]["linuxProfiles"], _PROFILE)
     whole = whole.withField("auth", config["auth"].withField("linuxProfiles", profiles))
-    return parsed.withColumn("config", F.when(F.col("readable"), whole)).drop("readable", "single")
+    return parsed.select(*kept, F.when(is_object(tree), whole).alias("config"))
 
 
 def _defaulted(value: Column, default: object) -> Column:
@@ -132,13 +164,32 @@ def _defaulted(value: Column, default: object) -> Column:
         return F.struct(*[_defaulted(value[key], default[key]).alias(key) for key in default])
     if isinstance(default, list):
         return F.coalesce(text_list(value), F.array(*[F.lit(item) for item in default]))
+    if isinstance(default, bool):
+        return F.coalesce(as_boolean(value), F.lit(default))
+    if isinstance(default, int):
+        return F.coalesce(as_number(value), F.lit(default))
     return F.coalesce(value, F.lit(default))
 
 
+def _wrong_numbers(value: Column, default: object, name: str) -> list[Column]:
+    """Name and text of each setting that is there and holds no number where one is expected."""
+    if isinstance(default, dict):
+        found = []
+        for key in default:
+            found += _wrong_numbers(value[key], default[key], f"{name}.{key}" if name else key)
+        return found
+    if isinstance(default, bool) or not isinstance(default, int):
+        return []
+    text = F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+    wrong = ~_missing(value) & as_number(value).isNull()
+    return [F.when(wrong, F.struct(F.lit(name).alias("name"), text.alias("value")))]
+
+
 def with_defaults(configs: DataFrame) -> DataFrame:
     """Every setting filled in; lists of objects that are missing become empty.
 
-    A document that could not be read stays null: it is no configuration with default settings.
+    Numbers and switches are read as a collector reads them, from text too. A number that cannot be read gets
+    its default and is listed under ``wrongSettings`` (name and value). A document that could not be read stays null: it is no configuration with default settings.
     """
     config = F.col("config")
     sections = {key: _defaulted(config[key], default) for key, default in DEFAULTS.items()}
@@ -155,15 +206,16 @@ def with_defaults(configs: DataFrame) -> DataFrame:
         objects("targets", config["targets"], _TARGET),
         objects("internetTargets", config["internetTargets"], _INTERNET),
         objects("extensions", config["extensions"], _EXTENSION),
+        F.filter(F.array(*_wrong_numbers(config, DEFAULTS, "")), lambda one: one.isNotNull()).alias("wrongSettings"),
     )
-    return configs.withColumn("config", F.when(config.isNotNull(), filled))
+    return computed_once(configs.withColumn("config", F.when(config.isNotNull(), filled)), "config")
 
 
 def stored_configs(spark: SparkSession, configs: DataFrame) -> DataFrame:
     """The same documents, written once to the shared folder.
 
-    Every inventory table explodes its own lists. From columnar files each reads just those,
-    instead of parsing all documents again.
+    For callers that need several inventory tables: from columnar files each reads just its lists, instead of
+    parsing all documents again.
     """
     folder = shared_folder(spark, "configs")
     configs.write.parquet(folder)

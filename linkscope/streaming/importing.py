@@ -114,4 +114,4 @@ def import_file_lines(spark: SparkSession, lake: Lake, source: batches.FileSourc
         )
         verdicts = importing.commit_batches(spark, lake, importing.check_lines(numbered), pending, run_id, at)
         record = importing.run_record(verdicts, listing, source.source_type, run_id, at)
-        importing.log_run(lake, record, source.source_type, run_id)
+        importing.log_run(spark, lake, record.first())

@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import time
 from datetime import datetime, timedelta
 from pathlib import Path
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +121,108 @@ def test_content_fingerprint_is_of_the_lines(spark, place):
     assert found[0] == found[1] == found[2]
     assert found[0]["lf.jsonl"] == found[0]["crlf.jsonl"]
     assert len(set(found[0].values())) == 3
+    assert found[0]["lf.jsonl"] == sha("\n".join(lines))
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_large_files_are_hashed_as_a_tree(spark, place):
+    """However a file is split: blocks of 4,096 lines, each the hash of its lines' hashes."""
+    root, _ = place
+    lines = [f"{n}" * (n % 30) for n in range(9000)]
+    (root / "lf.jsonl").write_bytes("\n".join(lines).encode())
+    (root / "crlf.jsonl").write_bytes("\r\n".join(lines).encode())
+    (root / "small.jsonl").write_text("one line\r\n")
+    blocks = ["".join(map(sha, lines[at : at + 4096])) for at in range(0, len(lines), 4096)]
+    want = sha("".join(map(sha, blocks)))
+    for size in ("128m", "20000", "33333"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = batches.local_source(str(root), whole_bytes=1000).batches(spark)
+            got = {row.source_identifier: row.fingerprint for row in found.collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {"lf.jsonl": want, "crlf.jsonl": want, "small.jsonl": sha("one line\n")}
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 1000])
+def test_ranges_give_every_line_once(monkeypatch, step):
+    monkeypatch.setattr(batches, "_READ_STEP", step)
+    random = Random(step)
+    for _ in range(60):
+        data = "".join(random.choice(["a", "bc", "\n", "\r\n", "\r", ""]) for _ in range(30)).encode()
+        want = re.split(rb"\r\n|\n|\r", data)
+        want = want[:-1] if want[-1] == b"" else want
+        width = random.randint(1, 9)
+        found = []
+        for start in range(0, len(data), width):
+            end = min(start + width, len(data))
+            found += batches.lines_of_range(lambda at, count, data=data: data[at : at + count], start, end)
+        assert found == want, data
+
+
+def test_one_batch_is_read_and_hashed_by_many_tasks(spark, place):
+    root, lake = place
+    texts = {"x": "\n".join(line() for _ in range(40)), "y": line() + "\r\n\r\n" + line(), "z": ""}
+    for name, text in texts.items():
+        (root / name).write_bytes(text.encode())
+
+    def load(session):
+        rows = [(name, len(text.encode())) for name, text in texts.items()]
+        return session.createDataFrame(rows, "source_identifier string, length long")
+
+    folder = str(root)
+
+    def read(name, start, count):
+        with open(f"{folder}/{name}", "rb") as file:
+            file.seek(start)
+            return file.read(count)
+
+    source = batches.register_source("ranged", load, read, range_bytes=100)
+    assert batches.registered_source("ranged") is source
+    found = {row.source_identifier: row for row in source.batches(spark).collect()}
+    parts = [texts["x"][at : at + 100] for at in range(0, len(texts["x"]), 100)]
+    assert found["x"].fingerprint == sha("".join(map(sha, parts)))
+    lines = source.lines(spark, source.batches(spark))
+    assert lines.filter("source_identifier = 'x'").count() == 40
+    assert [r.line_no for r in lines.filter("source_identifier = 'y'").orderBy("line_no").collect()] == [1, 2, 3]
+    assert source._ranges(source.batches(spark)).rdd.getNumPartitions() > 40
+    result = importing.import_source(spark, lake, source, AT)
+    assert (result.discovered, result.imported, result.failed) == (3, 2, 1)  # an empty batch fails
+    assert lake.events(spark).count() == 42
+
+
+def test_a_committed_run_is_logged_as_such(spark, place, monkeypatch):
+    root, lake = place
+    (root / "x.jsonl").write_text(line())
+    append, calls = importing.sink.append_import_run, []
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) < 2:
+            raise OSError("no space")
+        append(*args)
+
+    monkeypatch.setattr(importing.sink, "append_import_run", failing)
+    assert counts(run(spark, lake, root)) == (1, 1, 0, 0)
+    assert [r.imported for r in lake.import_runs(spark).collect()] == [1]
+
+    # An error after the ledger was written does not make the run a failed one either.
+    (root / "y.jsonl").write_text(line())
+    ledger = importing.sink.append_ledger
+
+    def late(*args):
+        ledger(*args)
+        raise OSError("lost the answer")
+
+    monkeypatch.setattr(importing.sink, "append_ledger", late)
+    assert counts(run(spark, lake, root)) == (2, 1, 1, 0)
+    monkeypatch.setattr(importing.sink, "append_ledger", lambda *args: (_ for _ in ()).throw(OSError("no space")))
+    (root / "z.jsonl").write_text(line())
+    assert counts(run(spark, lake, root)) == (3, 0, 2, 1)
+    assert lake.events(spark).count() == 2
 
 
 def test_a_touched_file_is_imported_once(spark, place):

@@ -34,6 +34,34 @@ def test_defaults(spark):
     assert config.internetTargets == config.extensions == config.auth.linuxProfiles == []
 
 
+def test_settings_of_another_type(spark):
+    """Read as a collector reads them; what is no number gets its default and breaks a rule."""
+    document = {
+        "agent": {"cycleIntervalSeconds": "90", "maxRuntimeMinutes": 2.5, "configPollIntervalSeconds": None},
+        "tests": {"pingTimeoutMs": "oops", "pingPacketSize": [1], "internetQualitySampleCount": 3e10},
+        "publish": {"csvMirror": "false", "azure": {"enabled": 0}},
+        "extensions": [{"id": "e", "path": "p", "enabled": ""}, {"id": "f", "path": "p", "enabled": "no"}],
+    }
+    loaded = load(spark, document)
+    config = loaded.first().config
+    assert (config.agent.cycleIntervalSeconds, config.agent.maxRuntimeMinutes) == (90, 2)
+    assert (config.agent.configPollIntervalSeconds, config.tests.pingTimeoutMs, config.tests.pingPacketSize) == (60, 3000, 56)
+    assert (config.publish.csvMirror, config.publish.azure.enabled) == (True, False)
+    assert [row.enabled for row in inventory.extensions(loaded).orderBy("position").collect()] == [False, True]
+    assert messages(spark, **document) == [
+        "Setting tests.pingTimeoutMs is no whole number: oops",
+        "Setting tests.pingPacketSize is no whole number: [1]",
+        "Setting tests.internetQualitySampleCount is no whole number: 30000000000",
+    ]
+
+
+@pytest.mark.parametrize("job", [inventory.violations, inventory.probe_plan, inventory.all_targets, inventory.shares])
+def test_one_scan_and_no_shuffle(spark, tmp_path, job):
+    load(spark, {"targets": [target()]}).write.parquet(str(tmp_path / "c"))
+    plan = job(spark.read.parquet(str(tmp_path / "c")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
 def test_valid_document(spark):
     assert messages(spark) == []
     assert inventory.valid_configs(load(spark, {"targets": [target()]}, {})).count() == 1
