@@ -629,6 +629,15 @@ def run_stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_columns(lake.events(spark))
 
 
+@query("stream_import_cycles", with_tel(f"SELECT {EVENT_SQL} FROM tel"))
+def run_stream_import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake = tables.Lake(shared_folder(spark, "lake"))
+    source = batches.local_source(_written(spark, sf_dir))
+    checkpoint = shared_folder(spark, "checkpoint")
+    stream_import.start_import_cycles(spark, lake, [source], checkpoint, interval_seconds=3600).stop()
+    return _event_columns(lake.events(spark))
+
+
 @query("stream_latest_state", with_targets("SELECT * FROM targets"))
 def run_stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, folder = _tel_stream(spark, sf_dir), shared_folder(spark, "state")

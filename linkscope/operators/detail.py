@@ -3,7 +3,8 @@
 Every function takes one target key or ``None``. With a key, both key columns are pushed
 to the scan and the newest rows are a plain top-n. Without one, the same view is made for
 all targets at once with a top-n per target: Spark cuts each task to n rows per target
-before the shuffle, so a hot target costs no more than any other.
+before the shuffle. For a large n those rows are many, so a target's rows are first cut to n in
+each of several shares, and what is left of the shares is cut again.
 """
 
 from __future__ import annotations
@@ -25,12 +26,24 @@ def _scope(events: DataFrame, key: str | None, as_of: datetime | None, minutes:
     return in_window(events, as_of, minutes)
 
 
+# From this n on, a target's rows are cut in shares first.
+LARGE_N = 1000
+SHARES = 32
+
+
 def newest(rows: DataFrame, key: str | None, order: list[Column], n: int) -> DataFrame:
     """First n rows in order: overall for one target, else per target."""
     if key is not None:
         return rows.orderBy(*order).limit(n)
-    by_target = Window.partitionBy("agent_id", "target_id").orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(by_target)).filter(F.col("rank") <= n).drop("rank")
+
+    def cut(frame: DataFrame, *keys: str | Column) -> DataFrame:
+        first = Window.partitionBy(*keys).orderBy(*order)
+        return frame.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n).drop("rank")
+
+    if n >= LARGE_N:
+        share = F.pmod(F.xxhash64(*rows.columns), F.lit(SHARES))
+        rows = cut(rows.withColumn("share", share), "agent_id", "target_id", "share").drop("share")
+    return cut(rows, "agent_id", "target_id")
 
 
 def timeline(

@@ -21,6 +21,8 @@ SETTINGS = {
     # Larger generated methods are never compiled to machine code; run those operators
     # one by one instead of fused.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Tasks cut their rows to the first n of a group before the shuffle up to this n (1000 as Spark comes).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # A repeated JSON key keeps its last value instead of failing the line.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

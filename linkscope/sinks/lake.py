@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscope import schema
+from linkscope.session import remove_folder
 from linkscope.sources.batches import BATCH_KEYS
 from linkscope.sources.tables import Lake, batch_id
 
@@ -28,6 +32,34 @@ def append_events(lake: Lake, events: DataFrame, run_id: str) -> None:
     )
 
 
+def remove_orphans(spark: SparkSession, lake: Lake, written_before: datetime) -> int:
+    """Delete event files of runs that never reached the ledger; returns how many.
+
+    Readers do not see their rows, so nothing they return changes. A run that is still on its way is not in
+    the ledger either: ``written_before`` (UTC) must lie before the start of any run that may yet commit. A
+    file holds rows of one run; only the column that names it is read.
+    """
+    try:
+        stored = spark.read.schema(schema.STORED_EVENT_SCHEMA).parquet(lake.path("events"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    files = stored.select(
+        "run_id",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("written"),
+    )
+    files = files.groupBy("path", "run_id").agg(F.max("written").alias("written"))
+    known = lake.ledger(spark).select("run_id").distinct()
+    old = F.col("written") < F.lit(written_before.isoformat(sep=" ")).cast("timestamp")
+    removed = 0
+    for row in files.filter(old).join(known, "run_id", "left_anti").select("path").distinct().toLocalIterator():
+        remove_folder(spark, row.path)
+        removed += 1
+    return removed
+
+
 def append_ledger(lake: Lake, batches: DataFrame) -> None:
     """Commit batches: from now on readers see their events."""
     rows = batches.select(*schema.LEDGER_SCHEMA.names)

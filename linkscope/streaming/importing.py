@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkscope import schema
 from linkscope.plans import importing
-from linkscope.session import scratch, shared_folder
+from linkscope.session import remove_folder, scratch, shared_folder
 from linkscope.sources import batches
 from linkscope.sources.tables import Lake, new_batches
+from linkscope.streaming.state import numbered_folders
 
 
 def check_interval(seconds: int) -> int:
@@ -63,9 +65,11 @@ def start_file_import(
 ) -> StreamingQuery:
     """Import files as they appear, without listing content again.
 
-    For files that are written once: the file stream hands every file to one micro-batch, and
-    only its lines are read. With no interval it drains what is there and ends. Empty files
-    bring no lines and are not seen here; import cycles report them.
+    The file stream hands every file to one micro-batch, and only its lines are read. Files that failed are read
+    again, as they are then, with the next micro-batch that brings new files, until they are imported or gone; as
+    long as there are such files, each micro-batch lists the location. With no interval the stream drains
+    what is there and ends. Empty files bring no lines and are not seen here; import cycles report them, and
+    files that are rewritten after they were imported.
     """
     lines = (
         spark.readStream.option("recursiveFileLookup", "true")
@@ -82,8 +86,8 @@ def start_file_import(
         )
     )
 
-    def import_batch(batch: DataFrame, _: int) -> None:
-        import_file_lines(batch.sparkSession, lake, source, batch)
+    def import_batch(batch: DataFrame, epoch: int) -> None:
+        import_file_lines(batch.sparkSession, lake, source, batch, epoch)
 
     writer = lines.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
     if interval_seconds is None:
@@ -93,9 +97,26 @@ def start_file_import(
     return writer.start()
 
 
-def import_file_lines(spark: SparkSession, lake: Lake, source: batches.FileSource, lines: DataFrame) -> None:
-    """Import one micro-batch of whole files. A replayed micro-batch is skipped by the ledger."""
+def _failed_before(spark: SparkSession, folder: str, epoch: int) -> DataFrame | None:
+    """Identifiers of the files that failed up to the micro-batch before this one; None if there are none."""
+    _, epochs = numbered_folders(spark, folder)
+    earlier = [n for n in epochs if n < epoch]
+    if not earlier:
+        return None
+    failed = spark.read.schema("source_identifier string").parquet(f"{folder}/epoch={earlier[-1]}")
+    return None if failed.isEmpty() else failed
+
+
+def import_file_lines(
+    spark: SparkSession, lake: Lake, source: batches.FileSource, lines: DataFrame, epoch: int
+) -> None:
+    """Import one micro-batch of whole files, and the files that failed before.
+
+    A replayed micro-batch is skipped by the ledger. The files that failed are kept under ``stream_retries``, one
+    complete list for each micro-batch; a replay writes its own list again, from the one before.
+    """
     at, run_id = importing.utc_now(), uuid.uuid4().hex
+    retries = lake.path(f"stream_retries/{source.source_type}")
     with scratch(spark, f"stream-{run_id}"):
         # The micro-batch is scanned once; line numbers come from what was stored.
         folder = shared_folder(spark, "lines")
@@ -112,6 +133,25 @@ def import_file_lines(spark: SparkSession, lake: Lake, source: batches.FileSourc
         numbered = rows.join(wanted.drop("fingerprint"), ["file_path", "block_start"]).select(
             *batches.BATCH_KEYS, batches.line_number().alias("line_no"), "value"
         )
+        failed = _failed_before(spark, retries, epoch)
+        if failed is not None:
+            again = (
+                replace(source, fingerprint="stat")
+                .batches(spark)
+                .join(failed, "source_identifier", "left_semi")
+                .join(listing, "source_identifier", "left_anti")
+            )
+            again.write.parquet(f"{folder}/again")
+            again = new_batches(spark.read.parquet(f"{folder}/again"), lake.ledger(spark))
+            keys = again.select(*batches.BATCH_KEYS)
+            numbered = numbered.unionByName(source.lines(spark, again).select(*numbered.columns))
+            listing, pending = listing.unionByName(keys), pending.unionByName(keys)
         verdicts = importing.commit_batches(spark, lake, importing.check_lines(numbered), pending, run_id, at)
+        bad = verdicts.filter(F.col("error").isNotNull()).select("source_identifier").distinct()
+        bad.write.mode("overwrite").parquet(f"{retries}/epoch={epoch}")
         record = importing.run_record(verdicts, listing, source.source_type, run_id, at)
         importing.log_run(spark, lake, record.first())
+    # The list before this one stays for a replay.
+    _, epochs = numbered_folders(spark, retries)
+    for old in [n for n in epochs if n < epoch][:-1]:
+        remove_folder(spark, f"{retries}/epoch={old}")

@@ -47,7 +47,7 @@ def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
 
-def _numbered_folders(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+def numbered_folders(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
     """Complete bases and epochs of a folder, ascending."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = hadoop_path(path)
@@ -64,7 +64,7 @@ def _numbered_folders(spark: SparkSession, path: str) -> tuple[list[int], list[i
 def stored_epochs(spark: SparkSession, path: str, rows: T.StructType, before: int | None = None) -> DataFrame:
     """Rows with their epoch: the newest base (below ``before``), and all epochs after it."""
     path = path.rstrip("/")
-    bases, epochs = _numbered_folders(spark, path)
+    bases, epochs = numbered_folders(spark, path)
     base = max((n for n in bases if before is None or n < before), default=None)
     columns = T.StructType([*rows.fields, T.StructField("epoch", T.LongType())])
     after = [f"{path}/epoch={n}" for n in epochs if base is None or n > base]
@@ -87,7 +87,7 @@ def merge_epochs(
         return
     path = path.rstrip("/")
     newest_rows(stored_epochs(spark, path, rows, epoch), keys).write.mode("overwrite").parquet(f"{path}/base={epoch}")
-    bases, epochs = _numbered_folders(spark, path)
+    bases, epochs = numbered_folders(spark, path)
     earlier = [n for n in bases if n < epoch]
     if earlier:
         for name in [f"base={n}" for n in earlier[:-1]] + [f"epoch={n}" for n in epochs if n <= earlier[-1]]:
@@ -185,7 +185,7 @@ def start_path_changes(
 
 def read_path_changes(spark: SparkSession, path: str) -> DataFrame:
     """Current path changes: per target, those of the newest epoch that touched it."""
-    bases, epochs = _numbered_folders(spark, path)
+    bases, epochs = numbered_folders(spark, path)
     if bases or epochs:
         newest = f"base={bases[-1]}" if bases else f"epoch={epochs[-1]}"
         rows = spark.read.parquet(f"{path.rstrip('/')}/{newest}").drop("epoch").schema

@@ -85,3 +85,16 @@ def test_feed_hides_traces_of_internal_targets(events):
     assert feed.filter("target_key = 'branch-01::fs01'").count() == 20
     assert feed.filter("test_type = 'traceroute'").count() == 0
     assert detail.event_feed(recent, targets, "dns").count() == 5
+
+
+def test_a_large_limit_cuts_a_hot_target_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(detail, "LARGE_N", 3)
+    rows = [event(n % 50, latency_ms=float(n), seq=n) for n in range(200)]
+    rows += [event(n, latency_ms=1.0, target_id="cold", seq=n) for n in range(2)]
+    found = detail.timeline(frame(spark, rows), limit=7)
+    want = detail.timeline(frame(spark, rows), "branch-01::fs01", limit=7)
+    hot = [tuple(r) for r in found.collect() if r.target_key == "branch-01::fs01"]
+    assert hot == [tuple(r) for r in want.collect()] and found.count() == 9
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("WindowGroupLimit") == 4  # a partial and a final one for each cut

@@ -521,5 +521,35 @@ def test_file_stream_imports_new_files_once(spark, place, tmp_path):
     drain()
     assert lake.events(spark).count() == 3
     assert {r.source_identifier for r in lake.ledger(spark).collect()} == {"a b+%.jsonl", "c.jsonl"}
+    # The file that failed was read again with the new one.
     runs = [(r.discovered, r.imported, r.failed) for r in lake.import_runs(spark).orderBy("run_utc").collect()]
-    assert runs == [(2, 1, 1), (1, 1, 0)]
+    assert runs == [(2, 1, 1), (2, 1, 1)]
+
+    # Mended, it is imported with the next files; another one that failed and is gone is forgotten.
+    (root / "gone.jsonl").write_text("{")
+    (root / "bad.jsonl").write_text(line() + "\n" + line() + "\n" + line())
+    drain()
+    assert lake.events(spark).count() == 6
+    (root / "gone.jsonl").unlink()
+    (root / "d.jsonl").write_text(line())
+    drain()
+    (root / "e.jsonl").write_text(line())
+    drain()
+    runs = [(r.discovered, r.imported, r.failed) for r in lake.import_runs(spark).orderBy("run_utc").collect()]
+    assert runs[2:] == [(2, 1, 1), (1, 1, 0), (1, 1, 0)]
+    assert lake.events(spark).count() == 8
+    assert len(list((Path(lake.root) / "stream_retries" / "local").glob("epoch=*"))) == 2
+
+
+def test_files_of_lost_runs_are_removed(spark, place):
+    root, lake = place
+    assert sink.remove_orphans(spark, lake, datetime(2100, 1, 1)) == 0
+    (root / "x.jsonl").write_text(line() + "\n" + line())
+    run(spark, lake, root)
+    stored = spark.read.schema(schema.STORED_EVENT_SCHEMA).parquet(lake.path("events"))
+    sink.append_events(lake, stored.drop("run_id", "event_date"), "lost")
+    files = lambda: len(list(Path(lake.path("events")).rglob("*.parquet")))
+    assert files() == 2 and lake.events(spark).count() == 2
+    assert sink.remove_orphans(spark, lake, datetime(2000, 1, 1)) == 0
+    assert sink.remove_orphans(spark, lake, datetime(2100, 1, 1)) == 1
+    assert files() == 1 and lake.events(spark).count() == 2
