@@ -32,24 +32,32 @@ def window_minutes(minutes: Column, hours: Column) -> Column:
     )
 
 
+def utc_moment(as_of: datetime | None = None) -> datetime:
+    """A time in UTC without a zone: one with a zone is converted, one without is UTC, none means now."""
+    if as_of is None:
+        as_of = datetime.now(timezone.utc)
+    return as_of if as_of.tzinfo is None else as_of.astimezone(timezone.utc).replace(tzinfo=None)
+
+
+def since(events: DataFrame, as_of: datetime | None, minutes: int | None) -> Column:
+    """Whether a row lies at or after ``as_of - minutes``; no upper bound, ``None`` takes all."""
+    if minutes is None:
+        return F.lit(True)
+    start = utc_moment(as_of) - timedelta(minutes=minutes)
+    return F.col("timestamp_utc") >= F.lit(start.isoformat(sep=" ")).cast(events.schema["timestamp_utc"].dataType)
+
+
 def in_window(events: DataFrame, as_of: datetime | None, minutes: int | None) -> DataFrame:
-    """Rows at or after ``as_of - minutes``; no upper bound, ``None`` keeps all.
+    """Rows at or after ``as_of - minutes``; see :func:`since` and :func:`utc_moment`.
 
-    A time with a zone is converted to UTC, one without is UTC, and no time means now. Stored tables are partitioned by ``event_date``: the same bound on it prunes folders.
+    Stored tables are partitioned by ``event_date``: the same bound on it prunes folders.
     """
     if minutes is None:
         return events
-    if as_of is None:
-        as_of = datetime.now(timezone.utc)
-    if as_of.tzinfo is not None:
-        as_of = as_of.astimezone(timezone.utc).replace(tzinfo=None)
-    start = as_of - timedelta(minutes=minutes)
-    bound = F.lit(start.isoformat(sep=" ")).cast(
-        events.schema["timestamp_utc"].dataType
-    )
-    kept = events.filter(F.col("timestamp_utc") >= bound)
+    as_of = utc_moment(as_of)
+    kept = events.filter(since(events, as_of, minutes))
     if "event_date" in events.columns:
-        kept = kept.filter(F.col("event_date") >= F.lit(start.date()))
+        kept = kept.filter(F.col("event_date") >= F.lit((as_of - timedelta(minutes=minutes)).date()))
     return kept
 
 

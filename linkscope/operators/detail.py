@@ -16,8 +16,17 @@ from pyspark.sql import functions as F
 
 from linkscope import schema
 from linkscope.functions.events import target_key, unwrap_metadata
-from linkscope.functions.filters import for_target, in_window, incident_rows, state_rows, visible_tests
+from linkscope.functions.filters import (
+    for_target,
+    in_window,
+    incident_rows,
+    since,
+    state_rows,
+    utc_moment,
+    visible_tests,
+)
 from linkscope.operators import board, paths, state
+from linkscope.session import shared_folder
 
 
 def _scope(events: DataFrame, key: str | None, as_of: datetime | None, minutes: int | None) -> DataFrame:
@@ -146,6 +155,44 @@ def recent_incidents(
     return rows.select(*board.incident_columns(), *state.tie_columns(events))
 
 
+def feeding_rows(
+    events: DataFrame, key: str, as_of: datetime | None, window_minutes: int | None, timeline_limit: int
+) -> DataFrame:
+    """The rows of one target that its drilldown frames are made of, stored; one scan of the events.
+
+    Every row is tagged with the views it may feed, and each view keeps its newest rows: some hundred rows, one
+    for each test type, and one for each hop of each path. Spark cuts each task to these before the shuffle.
+    """
+    own = for_target(events, key)
+    inside = since(events, as_of, window_minutes)
+    measured, decides = F.col("latency_ms").isNotNull(), F.col("result") != "INFO"
+    incident, hop = ~F.col("result").isin("SUCCESS", "INFO"), F.col("hop_index").isNotNull()
+    path = F.when(F.col("path_hash").isNull(), "").otherwise(F.concat(F.lit("="), "path_hash"))
+    one = F.lit("")
+    views = {
+        "timeline": (inside & measured, one, timeline_limit),
+        "events": (inside, one, schema.DETAIL_EVENT_LIMIT),
+        "incidents": (inside & incident, one, schema.DETAIL_INCIDENT_LIMIT),
+        "tests": (inside & decides, F.col("test_type"), 1),
+        "hops": (inside & hop & (F.col("test_type") == "traceroute"), F.concat_ws("|", "hop_index", path), 1),
+        "state": (decides, one, 1),
+        "latency": (decides & measured, one, 1),
+    }
+    tags = [
+        F.when(condition, F.struct(F.lit(name).alias("view"), part.alias("part"), F.lit(n).alias("most")))
+        for name, (condition, part, n) in views.items()
+    ]
+    fed = F.explode_outer(F.filter(F.array(*tags), lambda tag: tag.isNotNull())).alias("tag")
+    tagged = own.withColumn("row_id", F.monotonically_increasing_id()).select("*", fed).filter("tag IS NOT NULL")
+    first = Window.partitionBy("tag.view", "tag.part").orderBy(*state.newest_first(events))
+    most = max(n for _, _, n in views.values())
+    kept = tagged.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
+    kept = kept.filter(F.col("rank") <= F.col("tag.most")).dropDuplicates(["row_id"]).select(events.columns)
+    folder = shared_folder(events.sparkSession, "detail")
+    kept.coalesce(1).write.parquet(folder)
+    return events.sparkSession.read.schema(kept.schema).parquet(folder)
+
+
 def target_detail(
     events: DataFrame,
     key: str,
@@ -154,24 +201,29 @@ def target_detail(
     timeline_limit: int = schema.TIMELINE_LIMIT,
     kind_mode: str = "metadata",
 ) -> dict[str, DataFrame]:
-    """All drilldown frames of one target.
+    """All drilldown frames of one target, from two scans of the events.
 
-    The target row ignores the window. A target with only INFO rows does not exist: all
+    The first, made at once, stores the rows that the frames need (:func:`feeding_rows`); the second counts the
+    rows of each test type. The target row ignores the window. A target with only INFO rows does not exist: all
     frames are then empty.
     """
-    own = for_target(events, key)
-    target = board.targets(own, kind_mode)
+    as_of = utc_moment(as_of)
+    own = feeding_rows(events, key, as_of, window_minutes, timeline_limit)
+    counted = state_rows(_scope(events, key, as_of, window_minutes)).groupBy("test_type").agg(
+        F.count(F.lit(1)).alias("event_count")
+    )
+    newest_tests = tests(own, key, as_of, window_minutes)
     frames = {
-        "latency_series": timeline(events, key, timeline_limit, as_of, window_minutes),
-        "tests": tests(events, key, as_of, window_minutes),
-        "recent_events": recent_events(events, key, as_of, window_minutes),
-        "paths": recent_paths(events, key, as_of, window_minutes, kind_mode=kind_mode),
-        "incidents": recent_incidents(events, key, as_of, window_minutes),
+        "latency_series": timeline(own, key, timeline_limit, as_of, window_minutes),
+        "tests": newest_tests.drop("event_count").join(counted, "test_type").select(newest_tests.columns),
+        "recent_events": recent_events(own, key, as_of, window_minutes),
+        "paths": recent_paths(own, key, as_of, window_minutes, kind_mode=kind_mode),
+        "incidents": recent_incidents(own, key, as_of, window_minutes),
     }
     # One row with a result is enough to know that the target exists.
     exists = state_rows(own).limit(1).select(target_key().alias("target_key"))
     return {
-        "target": target,
+        "target": board.targets(own, kind_mode),
         **{name: frame.join(exists, "target_key", "left_semi") for name, frame in frames.items()},
     }
 

@@ -98,3 +98,30 @@ def test_a_large_limit_cuts_a_hot_target_in_shares(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("WindowGroupLimit") == 4  # a partial and a final one for each cut
+
+
+@pytest.mark.parametrize("window", [None, 90])
+def test_target_detail_equals_the_single_frames(spark, tmp_path, window):
+    """From a few stored rows, and two scans of the events."""
+    rows = []
+    for n in range(400):
+        kind = ("ping", "dns", "share")[n % 3]
+        result = ("SUCCESS", "FAILURE", "INFO", "TIMEOUT")[n % 4]
+        rows.append(event(n % 170 - 170, test_type=kind, result=result, latency_ms=float(n) if n % 5 else None, seq=n))
+    rows += [hop(-(n % 160), f"p{n % 11}" if n % 7 else None, n % 3, f"h{n % 4}", seq=1000 + n) for n in range(200)]
+    frame(spark, rows + [event(-3, target_id="other")]).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    found = detail.target_detail(events, KEY, NOON, window, timeline_limit=20)
+    single = {
+        "target": board.targets(events.filter("target_id = 'fs01'")),
+        "latency_series": detail.timeline(events, KEY, 20, NOON, window),
+        "tests": detail.tests(events, KEY, NOON, window),
+        "recent_events": detail.recent_events(events, KEY, NOON, window),
+        "paths": detail.recent_paths(events, KEY, NOON, window),
+        "incidents": detail.recent_incidents(events, KEY, NOON, window),
+    }
+    assert list(found) == list(single)
+    for name, want in single.items():
+        assert sorted(map(str, found[name].collect())) == sorted(map(str, want.select(found[name].columns).collect()))
+    files = [set(one.inputFiles()) & set(events.inputFiles()) for one in found.values()]
+    assert sum(map(bool, files)) == 1  # besides the scan that stored the rows
