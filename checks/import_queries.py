@@ -557,6 +557,7 @@ def sink_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     folder = shared_folder(spark, "board")
     snapshot.write_snapshot(frames, folder)
+    stored = snapshot.read_snapshot(spark, folder)
     totals = ("cumulative_discovered", "cumulative_imported", "cumulative_skipped", "cumulative_failed")
     counted = ("total_events", "total_agents", "total_targets", "active_sites", "failure_events", "timeout_events")
     shown = {
@@ -576,7 +577,7 @@ def sink_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     stacked = None
     for name, (item, content, newest) in shown.items():
-        part = spark.read.parquet(f"{folder}/{name}").select(
+        part = stored[name].select(
             F.lit(name).alias("frame"),
             (F.col(item) if isinstance(item, str) else item).alias("item"),
             F.concat_ws("|", *[F.col(column).cast("string") for column in content]).alias("content"),

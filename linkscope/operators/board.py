@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkscope import schema
 from linkscope.functions.events import target_key, target_kind
-from linkscope.functions.filters import in_window, incident_rows
+from linkscope.functions.filters import in_window, incident_rows, since
 from linkscope.operators import state
 
 TARGET_STATE = (
@@ -37,13 +37,21 @@ def fleet_summary(
     """
     if window_minutes is not None:
         events = in_window(events, as_of, window_minutes)
-    per_target = events.groupBy("site_id", "agent_id", "target_id").agg(
-        F.count(F.lit(1)).alias("events"),
-        _count_if(F.col("result").isin("FAILURE", "FATAL")).alias("failures"),
-        _count_if(F.col("result") == "TIMEOUT").alias("timeouts"),
-        F.max("timestamp_utc").alias("latest"),
-    )
+    return _summary(events.groupBy(*state.SITE_TARGET_KEYS).agg(*_counters()))
+
+
+def _counters(inside: Column | None = None) -> list[Column]:
+    """Counters of a group's rows, or of those that are ``inside``."""
+    inside = F.lit(True) if inside is None else inside
+    return [
+        _count_if(inside).alias("events"),
+        _count_if(inside & F.col("result").isin("FAILURE", "FATAL")).alias("failures"),
+        _count_if(inside & (F.col("result") == "TIMEOUT")).alias("timeouts"),
+        F.max(F.when(inside, F.col("timestamp_utc"))).alias("latest"),
+    ]
+
 
+def _summary(per_target: DataFrame) -> DataFrame:
     def total(column: str) -> Column:
         return F.coalesce(F.sum(column), F.lit(0)).cast("long")
 
@@ -58,6 +66,48 @@ def fleet_summary(
     )
 
 
+def roll_up(events: DataFrame, as_of: datetime | None = None, window_minutes: int | None = None) -> DataFrame:
+    """One row per (site, agent, target) from which summary, agents, sites and targets are made, in one pass.
+
+    State and latency with the order of the events they come from, so that rows can be reduced again to fewer
+    keys; and the counters of the rows in the window.
+    """
+    order, decides = state.event_order(events), F.col("result") != "INFO"
+    measured = decides & F.col("latency_ms").isNotNull()
+    return events.groupBy(*state.SITE_TARGET_KEYS).agg(
+        F.max_by(F.struct(*[c for c in TARGET_STATE if c != "site_id"]), F.when(decides, order)).alias("newest"),
+        F.max(F.when(decides, order)).alias("newest_at"),
+        F.max_by("latency_ms", F.when(measured, order)).alias("last_latency_ms"),
+        F.max(F.when(measured, order)).alias("latency_at"),
+        *_counters(since(events, as_of, window_minutes)),
+    )
+
+
+def summary_from_roll_up(rolled: DataFrame) -> DataFrame:
+    return _summary(rolled.filter("events > 0"))
+
+
+def state_from_roll_up(rolled: DataFrame) -> DataFrame:
+    """The frame of :func:`target_state`: a target's sites reduced to the newest."""
+    return (
+        rolled.filter(F.col("newest_at").isNotNull())
+        .withColumn("newest", F.col("newest").withField("site_id", F.col("site_id")))
+        .groupBy(*state.TARGET_KEYS)
+        .agg(
+            F.max_by("newest", "newest_at").alias("newest"),
+            F.max_by("last_latency_ms", "latency_at").alias("last_latency_ms"),
+        )
+        .select(*state.TARGET_KEYS, *[F.col("newest")[c].alias(c) for c in TARGET_STATE], "last_latency_ms")
+    )
+
+
+def sites_from_roll_up(rolled: DataFrame) -> DataFrame:
+    current = rolled.filter(F.col("newest_at").isNotNull())
+    return sites_from_state(
+        current.select(*state.SITE_TARGET_KEYS, "newest.result", "newest.timestamp_utc", "last_latency_ms")
+    )
+
+
 def target_state(events: DataFrame) -> DataFrame:
     """Current state per target: the frame behind ``targets`` and ``agents``."""
     return state.latest_state_and_latency(events, state.TARGET_KEYS, TARGET_STATE)
@@ -112,7 +162,10 @@ def sites(events: DataFrame) -> DataFrame:
 
     State is kept per (site, agent, target): a target that moved is current in both sites.
     """
-    current = state.latest_state_and_latency(events, state.SITE_TARGET_KEYS)
+    return sites_from_state(state.latest_state_and_latency(events, state.SITE_TARGET_KEYS))
+
+
+def sites_from_state(current: DataFrame) -> DataFrame:
     return (
         current.groupBy("site_id")
         .agg(

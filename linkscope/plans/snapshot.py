@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from linkscope import schema
 from linkscope.operators import board, paths
 from linkscope.plans import status
-from linkscope.session import shared_folder
+from linkscope.session import numbered_folders, remove_folder, shared_folder
 
 
 def board_snapshot(
@@ -22,23 +23,25 @@ def board_snapshot(
     mode: str = "disabled",
     kind_mode: str = "metadata",
 ) -> dict[str, DataFrame]:
-    """All board frames. Only the summary looks back a limited time.
+    """All board frames, from three passes over the events. Only the summary looks back a limited time.
 
-    Current state and latest hops feed two lists each. They are one row per target and per
-    hop, written once to the shared folder; the raw events are never cached.
+    One aggregate by (site, agent, target) feeds summary, agents, sites and targets, the latest hops feed paths and
+    path changes. Both are written once to the shared folder; the raw events are never cached. The third pass
+    takes the newest incidents.
     """
     folder = shared_folder(spark, "snapshot")
-    board.target_state(events).write.parquet(f"{folder}/state")
+    board.roll_up(events, as_of, window_minutes).write.parquet(f"{folder}/targets")
     paths.latest_hops(events).write.parquet(f"{folder}/hops")
-    current = spark.read.parquet(f"{folder}/state")
+    rolled = spark.read.parquet(f"{folder}/targets")
     hops = spark.read.parquet(f"{folder}/hops")
+    current = board.state_from_roll_up(rolled)
     sources = status.import_source_status(import_runs)
     return {
-        "summary": board.fleet_summary(events, as_of, window_minutes).withColumn(
+        "summary": board.summary_from_roll_up(rolled).withColumn(
             "refreshed_utc", F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
         ),
         "agents": board.agents_from_state(current),
-        "sites": board.sites(events),
+        "sites": board.sites_from_roll_up(rolled),
         "targets": board.targets_from_state(current, kind_mode),
         "paths": paths.paths_from_hops(hops, kind_mode),
         "path_changes": paths.newest_changes(
@@ -50,7 +53,33 @@ def board_snapshot(
     }
 
 
-def write_snapshot(frames: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """One Parquet table per frame."""
+# Versions of a snapshot that stay: the one that readers take, and the one they may still read.
+KEPT_VERSIONS = 2
+
+
+def write_snapshot(frames: dict[str, DataFrame], path: str) -> int:
+    """Store the frames as a new version, one Parquet table per frame; returns its number.
+
+    ``epoch=<version>`` is written last and names the frames: from then on readers take all of them from the new
+    version. A version that was cut short is never read. Versions before the last two are deleted.
+    """
+    path, version = path.rstrip("/"), time.time_ns() // 1000
+    spark = next(iter(frames.values())).sparkSession
     for name, frame in frames.items():
-        frame.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+        frame.write.parquet(f"{path}/version={version}/{name}")
+    spark.createDataFrame([(name,) for name in frames], "frame string").write.parquet(f"{path}/epoch={version}")
+    _, versions = numbered_folders(spark, path)
+    for old in versions[:-KEPT_VERSIONS]:
+        remove_folder(spark, f"{path}/epoch={old}")
+        remove_folder(spark, f"{path}/version={old}")
+    return version
+
+
+def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All frames of the newest complete version; none where nothing was written."""
+    path = path.rstrip("/")
+    _, versions = numbered_folders(spark, path)
+    if not versions:
+        return {}
+    names = spark.read.parquet(f"{path}/epoch={versions[-1]}").collect()
+    return {row.frame: spark.read.parquet(f"{path}/version={versions[-1]}/{row.frame}") for row in names}

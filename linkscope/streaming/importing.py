@@ -12,10 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkscope import schema
 from linkscope.plans import importing
-from linkscope.session import remove_folder, scratch, shared_folder
+from linkscope.session import numbered_folders, remove_folder, scratch, shared_folder
 from linkscope.sources import batches
 from linkscope.sources.tables import Lake, new_batches
-from linkscope.streaming.state import numbered_folders
 
 
 def check_interval(seconds: int) -> int:

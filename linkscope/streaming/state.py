@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkscope.functions.filters import incident_rows
 from linkscope.operators import board, paths, state
-from linkscope.session import remove_folder
+from linkscope.session import numbered_folders, remove_folder
 from linkscope.streaming import routes
 
 
@@ -47,20 +47,6 @@ def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
 
-def numbered_folders(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
-    """Complete bases and epochs of a folder, ascending."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = hadoop_path(path)
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[str, list[int]] = {"base": [], "epoch": []}
-    if store.exists(root):
-        for entry in store.listStatus(root):
-            kind, _, number = entry.getPath().getName().partition("=")
-            if kind in found and store.exists(hadoop_path(entry.getPath(), "_SUCCESS")):
-                found[kind].append(int(number))
-    return sorted(found["base"]), sorted(found["epoch"])
-
-
 def stored_epochs(spark: SparkSession, path: str, rows: T.StructType, before: int | None = None) -> DataFrame:
     """Rows with their epoch: the newest base (below ``before``), and all epochs after it."""
     path = path.rstrip("/")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from helpers import event, frame, line, wire
 from linkscope import schema
+from linkscope.operators import board
 from linkscope.plans import importing, snapshot, status
 from linkscope.session import shared_folder
 from linkscope.sinks import files, lake as sink
@@ -479,14 +480,60 @@ def test_snapshot(spark, place, tmp_path):
     (root / "x.jsonl").write_text(line())
     run(spark, lake, root)
     frames = snapshot.board_snapshot(spark, lake.events(spark), lake.import_runs(spark), AT, 1440, "local")
+    assert snapshot.read_snapshot(spark, str(tmp_path / "board")) == {}
     snapshot.write_snapshot(frames, str(tmp_path / "board"))
-    read = {name: spark.read.parquet(str(tmp_path / "board" / name)) for name in frames}
+    read = snapshot.read_snapshot(spark, str(tmp_path / "board"))
+    assert set(read) == set(frames)
     assert read["summary"].first().total_events == 1 and read["summary"].first().refreshed_utc == AT
     assert read["targets"].first().target_key == "branch-01::fs01"
     assert read["import_status"].first().cumulative_imported == 1
     assert read["path_changes"].count() == 0
 
 
+def test_snapshot_versions(spark, tmp_path):
+    """Readers take all frames of one complete version; the last two stay."""
+    path = str(tmp_path / "board")
+    numbers = [
+        snapshot.write_snapshot({name: spark.createDataFrame([(n,)], "n long") for name in ("a", "b")}, path)
+        for n in range(3)
+    ]
+    spark.createDataFrame([(9,)], "n long").write.parquet(f"{path}/version={numbers[-1] + 1}/a")  # cut short
+    read = snapshot.read_snapshot(spark, path)
+    assert {name: frame.first().n for name, frame in read.items()} == {"a": 2, "b": 2}
+    assert sorted(p.name for p in tmp_path.glob("board/epoch=*")) == [f"epoch={n}" for n in numbers[1:]]
+    assert not (tmp_path / "board" / f"version={numbers[0]}").exists()
+
+
+def test_snapshot_equals_the_single_frames(spark):
+    """Targets that move between sites, late rows, INFO rows, and a window that leaves some out."""
+    random = Random(3)
+    rows = [
+        event(
+            random.randrange(600),
+            agent_id=random.choice("ab"),
+            site_id=random.choice("xyz"),
+            target_id=random.choice("tuvw"),
+            result=random.choice(["SUCCESS", "FAILURE", "FATAL", "TIMEOUT", "INFO", "SKIPPED"]),
+            latency_ms=random.choice([None, 1.5, 8.0]),
+            seq=n,
+        )
+        for n in range(120)
+    ]
+    events = frame(spark, rows)
+    at = datetime(2026, 4, 9, 22)
+    runs = spark.createDataFrame([], schema.IMPORT_RUN_SCHEMA)
+    found = snapshot.board_snapshot(spark, events, runs, at, 240)
+    want = {
+        "summary": board.fleet_summary(events, at, 240),
+        "agents": board.agents(events),
+        "sites": board.sites(events),
+        "targets": board.targets(events),
+        "incidents": board.incidents(events),
+    }
+    for name, single in want.items():
+        assert sorted(map(str, found[name].select(single.columns).collect())) == sorted(map(str, single.collect()))
+
+
 def test_import_cycles(spark, place, tmp_path):
     root, lake = place
     (root / "x.jsonl").write_text(line())
