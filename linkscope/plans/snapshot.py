@@ -68,7 +68,7 @@ def write_snapshot(frames: dict[str, DataFrame], path: str) -> int:
     for name, frame in frames.items():
         frame.write.parquet(f"{path}/version={version}/{name}")
     spark.createDataFrame([(name,) for name in frames], "frame string").write.parquet(f"{path}/epoch={version}")
-    _, versions = numbered_folders(spark, path)
+    versions = numbered_folders(spark, path).get("epoch", [])
     for old in versions[:-KEPT_VERSIONS]:
         remove_folder(spark, f"{path}/epoch={old}")
         remove_folder(spark, f"{path}/version={old}")
@@ -78,7 +78,7 @@ def write_snapshot(frames: dict[str, DataFrame], path: str) -> int:
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All frames of the newest complete version; none where nothing was written."""
     path = path.rstrip("/")
-    _, versions = numbered_folders(spark, path)
+    versions = numbered_folders(spark, path).get("epoch", [])
     if not versions:
         return {}
     names = spark.read.parquet(f"{path}/epoch={versions[-1]}").collect()

@@ -66,18 +66,18 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def numbered_folders(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
-    """Complete bases and epochs of a folder, ascending."""
+def numbered_folders(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Numbers of the complete ``kind=number`` folders below a folder, ascending, by kind."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = hadoop_path(path)
     store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[str, list[int]] = {"base": [], "epoch": []}
+    found: dict[str, list[int]] = {}
     if store.exists(root):
         for entry in store.listStatus(root):
             kind, _, number = entry.getPath().getName().partition("=")
-            if kind in found and store.exists(hadoop_path(entry.getPath(), "_SUCCESS")):
-                found[kind].append(int(number))
-    return sorted(found["base"]), sorted(found["epoch"])
+            if number.isdecimal() and store.exists(hadoop_path(entry.getPath(), "_SUCCESS")):
+                found.setdefault(kind, []).append(int(number))
+    return {kind: sorted(numbers) for kind, numbers in found.items()}
 
 
 @contextmanager

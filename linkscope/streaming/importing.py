@@ -98,7 +98,7 @@ def start_file_import(
 
 def _failed_before(spark: SparkSession, folder: str, epoch: int) -> DataFrame | None:
     """Identifiers of the files that failed up to the micro-batch before this one; None if there are none."""
-    _, epochs = numbered_folders(spark, folder)
+    epochs = numbered_folders(spark, folder).get("epoch", [])
     earlier = [n for n in epochs if n < epoch]
     if not earlier:
         return None
@@ -151,6 +151,6 @@ def import_file_lines(
         record = importing.run_record(verdicts, listing, source.source_type, run_id, at)
         importing.log_run(spark, lake, record.first())
     # The list before this one stays for a replay.
-    _, epochs = numbered_folders(spark, retries)
+    epochs = numbered_folders(spark, retries).get("epoch", [])
     for old in [n for n in epochs if n < epoch][:-1]:
         remove_folder(spark, f"{retries}/epoch={old}")

@@ -5,15 +5,17 @@ row may fill in history but never replaces newer state. The streaming aggregate
 per target; routes keep the newest hops of each path. Both reduce rows within each task before the shuffle.
 
 Changed rows are appended per micro-batch under ``epoch=<id>``; replaying a micro-batch
-rewrites its own folder. Readers take the newest epoch per key. Every few micro-batches the newest
-rows are merged into ``base=<id>``: readers start from the newest complete base and need only
-the epochs after it. What a base replaces is deleted one merge later, so a reader that
-began before a merge finds its files, and a merge cut short is simply made again.
+rewrites its own folder. Readers take the newest epoch per key. Folders are merged in tiers: every 20
+epochs become a ``run1``, every 20 of those a ``run2``, and so on, each with the newest rows per key of what it
+replaces. A merge so writes rows of its own tier only, however many keys there are in all, and a row
+is written again once per tier. What a run replaced is deleted when the next run of its tier is there, so a
+reader that began before a merge finds its files, and a merge cut short is simply made again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ def _start(
     return writer.start()
 
 
-# Micro-batches between two merges.
+# So many folders of a tier are merged into one of the next.
 MERGE_EVERY = 20
 
 
@@ -47,37 +49,56 @@ def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
 
-def stored_epochs(spark: SparkSession, path: str, rows: T.StructType, before: int | None = None) -> DataFrame:
-    """Rows with their epoch: the newest base (below ``before``), and all epochs after it."""
-    path = path.rstrip("/")
-    bases, epochs = numbered_folders(spark, path)
-    base = max((n for n in bases if before is None or n < before), default=None)
+def _kind(tier: int) -> str:
+    return f"run{tier}" if tier else "epoch"
+
+
+def _current_folders(spark: SparkSession, path: str) -> list[str]:
+    """The fewest complete folders that hold all rows: those of the highest tier, then what came after them."""
+    found, after, chosen = numbered_folders(spark, path), -1, []
+    tiers = [int(kind[3:]) for kind in found if kind.startswith("run")]
+    for tier in range(max(tiers, default=0), -1, -1):
+        for number in [n for n in found.get(_kind(tier), []) if n > after]:
+            chosen.append(f"{_kind(tier)}={number}")
+            after = number
+    return chosen
+
+
+def _read_folders(spark: SparkSession, path: str, folders: Sequence[str], rows: T.StructType) -> DataFrame:
+    """Rows with their epoch. In a run it is a column, for an epoch it is the folder's name."""
     columns = T.StructType([*rows.fields, T.StructField("epoch", T.LongType())])
-    after = [f"{path}/epoch={n}" for n in epochs if base is None or n > base]
-    changed = (
-        spark.read.schema(columns).option("basePath", path).parquet(*after)
-        if after
-        else spark.createDataFrame([], columns)
-    )
-    return changed if base is None else spark.read.schema(columns).parquet(f"{path}/base={base}").union(changed)
+    runs = [f"{path}/{name}" for name in folders if name.startswith("run")]
+    epochs = [f"{path}/{name}" for name in folders if name.startswith("epoch=")]
+    parts = [spark.read.schema(columns).parquet(*runs)] if runs else []
+    if epochs:
+        parts.append(spark.read.schema(columns).option("basePath", path).parquet(*epochs))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], columns)
+
+
+def stored_epochs(spark: SparkSession, path: str, rows: T.StructType) -> DataFrame:
+    """All rows of a folder written by :func:`write_epoch`, with their epoch."""
+    path = path.rstrip("/")
+    return _read_folders(spark, path, _current_folders(spark, path), rows)
 
 
 def merge_epochs(
     spark: SparkSession, path: str, rows: T.StructType, keys: Sequence[str], epoch: int, every: int = MERGE_EVERY
 ) -> None:
-    """After every ``every`` micro-batches: the newest rows become a base, what the base before it replaced goes.
+    """Merge the tiers that the epoch completes, and delete what the runs before these replaced.
 
-    All rows of a key's newest epoch stay. A replayed micro-batch makes its base again, from the one before.
+    All rows of a key's newest epoch stay. A replayed micro-batch makes its runs again, from the same folders.
     """
-    if (epoch + 1) % every:
-        return
-    path = path.rstrip("/")
-    newest_rows(stored_epochs(spark, path, rows, epoch), keys).write.mode("overwrite").parquet(f"{path}/base={epoch}")
-    bases, epochs = numbered_folders(spark, path)
-    earlier = [n for n in bases if n < epoch]
-    if earlier:
-        for name in [f"base={n}" for n in earlier[:-1]] + [f"epoch={n}" for n in epochs if n <= earlier[-1]]:
-            remove_folder(spark, f"{path}/{name}")
+    path, tier = path.rstrip("/"), 1
+    while (epoch + 1) % every**tier == 0:
+        first = epoch - every**tier
+        below = _kind(tier - 1)
+        found = numbered_folders(spark, path).get(below, [])
+        parts = [f"{below}={n}" for n in found if first < n <= epoch]
+        merged = newest_rows(_read_folders(spark, path, parts, rows), keys)
+        merged.write.mode("overwrite").parquet(f"{path}/{_kind(tier)}={epoch}")
+        for number in [n for n in found if n <= first]:
+            remove_folder(spark, f"{path}/{below}={number}")
+        tier += 1
 
 
 def newest_rows(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -171,10 +192,9 @@ def start_path_changes(
 
 def read_path_changes(spark: SparkSession, path: str) -> DataFrame:
     """Current path changes: per target, those of the newest epoch that touched it."""
-    bases, epochs = numbered_folders(spark, path)
-    if bases or epochs:
-        newest = f"base={bases[-1]}" if bases else f"epoch={epochs[-1]}"
-        rows = spark.read.parquet(f"{path.rstrip('/')}/{newest}").drop("epoch").schema
+    folders = _current_folders(spark, path)
+    if folders:
+        rows = spark.read.parquet(f"{path.rstrip('/')}/{folders[-1]}").drop("epoch").schema
     else:
         rows = paths.changes_from_sightings(spark.createDataFrame([], routes.SIGHTINGS)).schema
     return newest_rows(stored_epochs(spark, path, rows), ("target_key",)).drop("epoch")

@@ -99,8 +99,10 @@ def test_merges_bound_what_a_reader_opens(spark, tmp_path):
     for minute in range(9):
         rows = [hop(minute, "AB"[minute % 2], n, f"h{n}", target_id=f"t{minute % 3}") for n in (1, 2)]
         stream.start_path_changes(feed(spark, folder, rows), out, checkpoint, merge_every=2).awaitTermination()
-        # At most two bases, and the epochs of two merges and one micro-batch; no other folder.
-        assert len(stored(tmp_path / "out")) <= 7
+        # Of each tier the folders of two merges at most, less than one of them not merged yet; no other folder.
+        names = stored(tmp_path / "out")
+        assert all(sum(name.startswith(kind) for name in names) <= 4 for kind in ("epoch=", "run1=", "run2=", "run3="))
+        assert len(stream._current_folders(spark, out)) <= 4
     found = stream.read_path_changes(spark, out)
     want = paths.changes_from_hops(paths.latest_hops(spark.read.parquet(folder)))
     assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
@@ -112,10 +114,25 @@ def test_a_merge_cut_short_is_ignored_and_made_again(spark, tmp_path):
         stream.write_epoch(spark.createDataFrame([(epoch % 2, epoch), (9, epoch)], rows), path, epoch)
         stream.merge_epochs(spark, path, rows, ("k",), epoch, 2)
     want = [(0, 2), (1, 3), (9, 3)]
+    assert stream._current_folders(spark, path) == ["run2=3"]
     assert sorted(map(tuple, stream.read_latest(spark, path, rows, ("k",)).collect())) == want
-    (tmp_path / "state" / "base=3" / "_SUCCESS").unlink()
-    assert sorted(map(tuple, stream.read_latest(spark, path, rows, ("k",)).collect())) == want
+    for name in ("run2=3", "run1=3"):
+        (tmp_path / "state" / name / "_SUCCESS").unlink()
+        assert sorted(map(tuple, stream.read_latest(spark, path, rows, ("k",)).collect())) == want
+    assert stream._current_folders(spark, path) == ["run1=1", "epoch=2", "epoch=3"]
     stream.write_epoch(spark.createDataFrame([(1, 3), (9, 3)], rows), path, 3)
     stream.merge_epochs(spark, path, rows, ("k",), 3, 2)
     assert sorted(map(tuple, stream.read_latest(spark, path, rows, ("k",)).collect())) == want
-    assert stored(tmp_path / "state") == ["base=1", "base=3", "epoch=2", "epoch=3"]
+    assert stored(tmp_path / "state") == ["epoch=2", "epoch=3", "run1=1", "run1=3", "run2=3"]
+
+
+def test_a_merge_writes_what_changed_and_not_all_keys(spark, tmp_path):
+    path, rows = str(tmp_path / "state"), spark.createDataFrame([], "k long, v long").schema
+    for epoch in range(10):
+        keys = range(500) if epoch == 0 else (epoch % 3, 700 + epoch)
+        stream.write_epoch(spark.createDataFrame([(k, epoch) for k in keys], rows), path, epoch)
+        stream.merge_epochs(spark, path, rows, ("k",), epoch, 3)
+    sizes = {name: spark.read.parquet(f"{path}/{name}").count() for name in stored(tmp_path / "state")}
+    assert sizes["run2=8"] == 508 and max(n for name, n in sizes.items() if name not in ("run2=8", "run1=2")) <= 6
+    newest = {row.k: row.v for row in stream.read_latest(spark, path, rows, ("k",)).collect()}
+    assert newest == {k: 0 for k in range(3, 500)} | {0: 9, 1: 7, 2: 8} | {700 + n: n for n in range(1, 10)}
