@@ -41,10 +41,9 @@ def unescape(text: str) -> str:
 
 
 def text_part(text: Column) -> Column:
-    """A content list of one text part."""
-    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"))).cast(
-        "array<struct<kind:string,text:string>>"
-    )
+    """A content list of one text part, of the type that lists of any parts have."""
+    nothing = [F.lit(None)] * 5
+    return F.array(F.struct(F.lit("text"), text, *nothing)).cast(PARTS)
 
 
 def _placeholder(part: Column) -> Column:
@@ -131,7 +130,8 @@ def placeholders(formatted: str) -> list[str]:
 
 
 SUMMARY = (
-    "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, "
+    "n_attachments bigint, attachment_tokens bigint"
 )
 
 
@@ -141,9 +141,11 @@ class _Summary:
     def __init__(self, conv_id: int | None) -> None:
         self.conv_id = conv_id
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.n_turns = self.loss_chars = self.formatted_chars = self.n_attachments = self.attachment_tokens = 0
 
-    def add(self, segment: str) -> None:
+    def add(self, segment: str, attachments: int, tokens: int) -> None:
+        self.n_attachments += attachments
+        self.attachment_tokens += tokens
         for role, text in read_turns(segment):
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode())
@@ -161,11 +163,13 @@ class _Summary:
             "loss_chars": self.loss_chars,
             "loss_sha256": self.loss.hexdigest(),
             "formatted_chars": self.formatted_chars,
+            "n_attachments": self.n_attachments,
+            "attachment_tokens": self.attachment_tokens,
         }
 
 
 def summarize(segments: DataFrame) -> DataFrame:
-    """Digests of every conversation, read back from its formatted segments.
+    """Digests of every conversation, read back from its formatted segments, and its attachments and their tokens.
 
     Segments of a conversation pass by in order and only running digests are kept, so a task's
     memory does not depend on the length of a conversation. A digest is sequential by nature: one
@@ -179,6 +183,8 @@ def summarize(segments: DataFrame) -> DataFrame:
             ("loss_chars", pa.int64()),
             ("loss_sha256", pa.string()),
             ("formatted_chars", pa.int64()),
+            ("n_attachments", pa.int64()),
+            ("attachment_tokens", pa.int64()),
         ]
     )
 
@@ -186,18 +192,25 @@ def summarize(segments: DataFrame) -> DataFrame:
         current = None
         for batch in batches:
             done = []
-            for conv_id, segment in zip(batch["conv_id"].to_pylist(), batch["segment"].to_pylist(), strict=True):
+            columns = (batch[name].to_pylist() for name in ("conv_id", "segment", "n_attachments", "attachment_tokens"))
+            for conv_id, segment, attachments, tokens in zip(*columns, strict=True):
                 if current is None or current.conv_id != conv_id:
                     if current is not None:
                         done.append(current.row())
                     current = _Summary(conv_id)
-                current.add(segment)
+                current.add(segment, attachments, tokens)
             yield pa.RecordBatch.from_pylist(done, schema)
         if current is not None:
             yield pa.RecordBatch.from_pylist([current.row()], schema)
 
     ordered = (
-        segments.select("conv_id", "turn", "segment")
+        segments.select(
+            "conv_id",
+            "turn",
+            "segment",
+            F.size("attachments").cast("long").alias("n_attachments"),
+            "attachment_tokens",
+        )
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "segment")
     )

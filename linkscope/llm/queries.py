@@ -82,7 +82,7 @@ WITH turns AS (
     FROM turns GROUP BY conv_id
 )
 SELECT w.conv_id, n_turns, turns_sha256, coalesce(length(l.text), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(l.text, '')) AS loss_sha256, formatted_chars
+       sha256(coalesce(l.text, '')) AS loss_sha256, formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM whole w LEFT JOIN loss l USING (conv_id)
 """
 
@@ -92,7 +92,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
-    segments = chat.format_turns(turns.union(extra), chat.text_part(F.col("text")), typed=False)
+    segments = chat.format_turns(turns.union(extra), chat.text_part(F.col("text")))
     return chat.summarize(segments)
 
 

@@ -223,7 +223,9 @@ def _dealt(rows: DataFrame, size: str, most: int) -> DataFrame:
     blocks = F.greatest(F.lit(1), F.ceil(F.sum(size) / most)).cast("int")
     all_blocks = rows.groupBy("bucket").agg(blocks.alias("blocks"))
     minor_blocks = rows.where("minor").groupBy("bucket").agg(blocks.alias("minor_blocks"))
-    counted = rows.join(all_blocks.join(minor_blocks, "bucket"), "bucket")
+    # Stored, so that Spark broadcasts the counts if they are few, or splits the rows of a large bucket.
+    counts = staged(all_blocks.join(minor_blocks, "bucket"), "sketch-blocks")
+    counted = rows.join(counts, "bucket")
 
     def cells(frame: DataFrame, own: str, count: str, other: str, others: str, kind: int) -> DataFrame:
         kept = [F.col(name) for name in rows.columns if name not in ("bucket", "minor")]

@@ -60,7 +60,7 @@ def test_summary_of_odd_conversations(spark):
         (2, 0, "assistant", "same", "clash"),
     ]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string")
-    segments = chat.format_turns(frame, chat.text_part(F.col("text")), typed=False)
+    segments = chat.format_turns(frame, chat.text_part(F.col("text")))
     found = {row["conv_id"]: row for row in chat.summarize(segments).collect()}
     digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
     assert found[1]["turns_sha256"] == digest("\nfirst\nuser\n\nassistant\ntwo\n")
@@ -101,3 +101,16 @@ def test_ties_and_bounds_of_rules():
     assert urls.match(trie, "c.b", "/x/y/zz") == ("b/x/y/z", "allow")
     with pytest.raises(ValueError, match="more than 1 rules"):
         urls.build_trie([("allow", "a", ""), ("allow", "b", "")], max_rules=1)
+
+
+def test_attachments_are_counted(spark):
+    rows = [
+        (1, 0, "user", [("text", "see <|image|>", None, None, None, None, None), ("image", None, "a.png", 28, 15, None, None)]),
+        (1, 1, "user", [("audio", None, "b.wav", None, None, 2.0, None), ("odd", None, None, None, None, None, None), None]),
+        (2, 0, "user", None),
+    ]
+    frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    segments = chat.format_turns(frame, F.col("parts"))
+    found = {row["conv_id"]: row for row in chat.summarize(segments).collect()}
+    assert (found[1]["n_attachments"], found[1]["attachment_tokens"]) == (3, 4 + 50)
+    assert (found[2]["n_attachments"], found[2]["attachment_tokens"], found[2]["n_turns"]) == (0, 0, 1)
