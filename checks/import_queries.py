@@ -5,7 +5,7 @@ Input files are written by Spark from the given tables into a fresh shared folde
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from linkscope.functions.events import source_badge
 from linkscope.operators import board
 from linkscope.plans import importing, snapshot, status
 from linkscope.session import shared_folder
-from linkscope.sinks import files as file_sink
+from linkscope.sinks import files as file_sink, packing
 from linkscope.sources import batches, tables, validate
 from linkscope.streaming import importing as stream_import
 from linkscope.streaming import state as stream_state
@@ -500,6 +500,20 @@ def sink_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_columns(lake.events(spark))
 
 
+@query("sink_pack_events", with_tel(f"SELECT {EVENT_SQL} FROM tel"))
+def sink_pack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs write files for the same days; packed, and the small files deleted, they are ``tel`` still."""
+    lake = tables.Lake(shared_folder(spark, "lake"))
+    part = F.pmod(F.xxhash64("agent_id", "target_id", "timestamp_utc"), F.lit(2))
+    for n in range(2):
+        root = shared_folder(spark, "batches")
+        file_sink.write_jsonl(tel(spark, sf_dir).where(part == n), root, by_site=True)
+        importing.import_source(spark, lake, batches.local_source(root), IMPORTED_AT)
+    packing.pack_events(spark, lake, least_files=2)
+    packing.remove_packed(spark, lake, importing.utc_now() + timedelta(days=1))
+    return _event_columns(lake.events(spark))
+
+
 @query(
     "sink_import_run",
     with_lines(

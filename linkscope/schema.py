@@ -88,6 +88,20 @@ STORED_EVENT_SCHEMA = T.StructType(
     ]
 )
 
+# Packings: one log entry each, the event files it replaced, and the rows it wrote instead.
+PACK_LOG_SCHEMA = T.StructType(
+    [T.StructField("pack_id", T.StringType()), T.StructField("packed_utc", T.TimestampType())]
+)
+REPLACED_SCHEMA = T.StructType(
+    [
+        T.StructField("file_name", T.StringType()),
+        T.StructField("event_date", T.DateType()),
+        T.StructField("source_pack", T.StringType()),
+        T.StructField("pack_id", T.StringType()),
+    ]
+)
+PACKED_EVENT_SCHEMA = T.StructType([*STORED_EVENT_SCHEMA.fields, T.StructField("pack_id", T.StringType())])
+
 LEDGER_SCHEMA = T.StructType(
     [
         T.StructField("source_type", T.StringType()),

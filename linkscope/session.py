@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Runtime settings; each can be changed on a live session.
@@ -80,6 +81,28 @@ def numbered_folders(spark: SparkSession, path: str) -> dict[str, list[int]]:
     return {kind: sorted(numbers) for kind, numbers in found.items()}
 
 
+def claim_file(spark: SparkSession, path: str, line: str) -> bool:
+    """Create a file of one ASCII line; False where another driver created it before."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = store.create(jvm_path, False)
+    except Py4JJavaError:
+        if store.exists(jvm_path):
+            return False
+        raise
+    out.writeBytes(line + "\n")
+    out.close()
+    return True
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, ascending; none where it does not exist. For folders with few entries."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(entry.getPath().getName() for entry in store.listStatus(root)) if store.exists(root) else []
+
+
 @contextmanager
 def scratch(spark: SparkSession, label: str) -> Iterator[None]:
     """Shared folders taken inside lie below one folder, which is deleted at the end.

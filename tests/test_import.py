@@ -17,7 +17,7 @@ from linkscope import schema
 from linkscope.operators import board
 from linkscope.plans import importing, snapshot, status
 from linkscope.session import shared_folder
-from linkscope.sinks import files, lake as sink
+from linkscope.sinks import files, lake as sink, packing
 from linkscope.sources import batches
 from linkscope.sources.tables import Lake
 from linkscope.streaming import importing as stream_import
@@ -600,3 +600,118 @@ def test_files_of_lost_runs_are_removed(spark, place):
     assert sink.remove_orphans(spark, lake, datetime(2000, 1, 1)) == 0
     assert sink.remove_orphans(spark, lake, datetime(2100, 1, 1)) == 1
     assert files() == 1 and lake.events(spark).count() == 2
+
+
+def event_files(lake):
+    return sorted(p for name in ("events", "packs/events") for p in Path(lake.path(name)).rglob("*.parquet"))
+
+
+def delivered(spark, place, first, count):
+    """One import run for each of some files; every event is told by its details."""
+    root, lake = place
+    for n in range(first, first + count):
+        (root / f"{n}.jsonl").write_text(line(details=f"n{n}"))
+        run(spark, lake, root, AT + timedelta(minutes=n))
+
+
+def details(rows):
+    return sorted(row.details for row in rows.collect())
+
+
+def test_packing_keeps_the_rows_and_merges_the_files(spark, place):
+    root, lake = place
+    assert packing.pack_events(spark, lake) == 0 and packing.remove_packed(spark, lake, datetime(2100, 1, 1)) == 0
+    delivered(spark, place, 0, 3)
+    assert packing.pack_events(spark, lake) == 0  # too few files for a day
+    lost = frame(spark, [event(details="lost")])
+    sink.append_events(lake, lost, "lost")
+    want = [f"n{n}" for n in range(3)]
+    before = lake.events(spark)
+    columns, schema_before = before.columns, before.schema
+    assert packing.pack_events(spark, lake, least_files=2) == 3
+    assert details(lake.events(spark)) == want == details(before)
+    assert lake.events(spark).columns == columns and lake.events(spark).schema == schema_before
+    assert len(event_files(lake)) == 5  # the reader that began before still has its files
+    assert packing.remove_packed(spark, lake, datetime(2000, 1, 1)) == 0
+    assert packing.remove_packed(spark, lake, datetime(2100, 1, 1)) == 3
+    assert packing.remove_packed(spark, lake, datetime(2100, 1, 1)) == 0
+    assert len(event_files(lake)) == 2 and details(lake.events(spark)) == want
+    assert packing.pack_events(spark, lake, least_files=2) == 0
+    delivered(spark, place, 3, 2)  # runs after a packing, and a packing of a packed file
+    want = [f"n{n}" for n in range(5)]
+    assert details(lake.events(spark)) == want
+    assert packing.pack_events(spark, lake, least_files=2) == 3
+    assert details(lake.events(spark)) == want
+    assert packing.remove_packed(spark, lake, datetime(2100, 1, 1)) == 3
+    assert sink.remove_orphans(spark, lake, datetime(2100, 1, 1)) == 1
+    assert len(event_files(lake)) == 1 and details(lake.events(spark)) == want
+    assert counts(run(spark, lake, root, AT + timedelta(days=1))) == (5, 0, 5, 0)
+
+
+def test_a_lost_or_overtaken_packing_changes_nothing(spark, place, monkeypatch):
+    _, lake = place
+    delivered(spark, place, 0, 2)
+    with monkeypatch.context() as patched:
+        patched.setattr(packing, "claim_file", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            packing.pack_events(spark, lake, least_files=2)
+    assert len(event_files(lake)) == 3 and details(lake.events(spark)) == ["n0", "n1"]
+    claim, inner = packing.claim_file, []
+
+    def overtaken(*args):
+        if not inner:
+            inner.append(None)
+            inner.append(packing.pack_events(spark, lake, least_files=2))
+        return claim(*args)
+
+    monkeypatch.setattr(packing, "claim_file", overtaken)
+    with pytest.raises(packing.PackingConflict):
+        packing.pack_events(spark, lake, least_files=2)
+    assert inner == [None, 2] and details(lake.events(spark)) == ["n0", "n1"]
+    assert packing.remove_packed(spark, lake, datetime(2000, 1, 1)) == 0 and len(event_files(lake)) == 5
+    assert packing.remove_packed(spark, lake, datetime(2100, 1, 1)) == 2
+    assert len(event_files(lake)) == 1 and details(lake.events(spark)) == ["n0", "n1"]
+
+
+def test_packing_follows_a_torn_ledger(spark, place):
+    """Rows of a batch that is not in the ledger yet are copied too, and are seen once it is."""
+    root, lake = place
+    for n in range(2):
+        (root / f"{n}.jsonl").write_text(line(details=f"n{n}"))
+    run(spark, lake, root)
+    ledger = lake.ledger(spark).orderBy("source_identifier").collect()
+    part = spark.createDataFrame(ledger[:1], schema.LEDGER_SCHEMA)
+    part.write.parquet(lake.path("torn"))
+    spark.read.parquet(lake.path("torn")).write.mode("overwrite").parquet(lake.path("ledger"))
+    (root / "2.jsonl").write_text(line(details="n2"))
+    run(spark, lake, root, AT + timedelta(hours=1))
+    seen = details(lake.events(spark))
+    assert packing.pack_events(spark, lake, least_files=2) == 2
+    packing.remove_packed(spark, lake, datetime(2100, 1, 1))
+    assert details(lake.events(spark)) == seen == ["n0", "n1", "n2"]
+    assert len(event_files(lake)) == 1
+
+
+def test_a_large_day_is_packed_into_several_files(spark, place, monkeypatch):
+    """Its rows are dealt by their place in their batch, though all are of one target."""
+    root, lake = place
+    monkeypatch.setattr(packing, "SMALL_SHARE", 0.1)
+    for n in range(2):
+        (root / f"{n}.jsonl").write_text("\n".join(line(details=f"n{n} {k:04}") for k in range(400)))
+        run(spark, lake, root, AT + timedelta(minutes=n))
+    want = details(lake.events(spark))
+    total = sum(path.stat().st_size for path in event_files(lake))
+    assert packing.pack_events(spark, lake, total // 3, 2) == 2
+    packing.remove_packed(spark, lake, datetime(2100, 1, 1))
+    assert details(lake.events(spark)) == want and len(want) == 800
+    assert 2 <= len(event_files(lake)) <= 4
+
+
+def test_packed_events_are_pruned_by_window(spark, place):
+    _, lake = place
+    delivered(spark, place, 0, 2)
+    packing.pack_events(spark, lake, least_files=2)
+    rows = lake.events(spark).where("event_date = DATE'2020-01-01'")
+    assert rows.count() == 0
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(event_date") >= 1
