@@ -11,7 +11,7 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkscope import schema
@@ -23,6 +23,8 @@ LEAST_FILES = 8
 # A file below this share of the target is small. What one packing writes is above it wherever a day has the
 # bytes, so rows are copied again only while a day's files are small: about log(target) / log(least files) times.
 SMALL_SHARE = 4
+# Beyond so many output files a task writes several.
+MOST_TASKS = 100_000
 
 
 class PackingConflict(RuntimeError):
@@ -30,7 +32,8 @@ class PackingConflict(RuntimeError):
 
 
 def small_files(spark: SparkSession, lake: Lake, target_bytes: int, least_files: int) -> DataFrame:
-    """The files worth packing, with the number of files (``shares``) that their day is packed into.
+    """The files worth packing, with the number of files (``shares``) that their day is packed into and the number
+    of those of earlier days (``first``).
 
     Days with fewer small files than ``least_files`` are left alone, and so are rows without a date and files with
     a row of a run that is not in the ledger: it may still be writing, or it was lost and its files will be removed. The size is
@@ -54,7 +57,9 @@ def small_files(spark: SparkSession, lake: Lake, target_bytes: int, least_files:
         .where(F.col("files") >= least_files)
         .select("event_date", F.ceil(F.col("bytes") / target_bytes).cast("int").alias("shares"))
     )
-    return files.join(days, "event_date").select("source_pack", "event_date", "file_name", "shares")
+    before = Window.orderBy("event_date").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = days.withColumn("first", F.coalesce(F.sum("shares").over(before), F.lit(0)))
+    return files.join(days, "event_date").select("source_pack", "event_date", "file_name", "shares", "first")
 
 
 def pack_events(
@@ -76,16 +81,15 @@ def pack_events(
         folder = shared_folder(spark, "chosen")
         small_files(spark, lake, target_bytes, least_files).write.parquet(folder)
         chosen = spark.read.parquet(folder)
-        totals = chosen.agg(F.count("*").alias("files")).first()
+        totals = chosen.agg(F.count("*").alias("files"), F.max(F.col("first") + F.col("shares")).alias("outputs")).first()
         if not totals.files:
             return 0
-        outputs = chosen.select("event_date", "shares").distinct().agg(F.sum("shares")).first()[0]
+        tasks = min(totals.outputs, MOST_TASKS)
         share = F.pmod(F.xxhash64("run_id", "batch_id", "seq"), F.col("shares"))
         rows = lake.stored_events(spark).where(F.col("file_size") < max(1, target_bytes // SMALL_SHARE))
         (
             rows.join(chosen, ["source_pack", "event_date", "file_name"])
-            .withColumn("share", share)
-            .repartition(min(outputs, 100_000), "event_date", "share")
+            .repartitionById(tasks, F.pmod(F.col("first") + share, F.lit(tasks)).cast("int"))
             .sortWithinPartitions("event_date", "agent_id", "target_id", "timestamp_utc")
             .select(*schema.STORED_EVENT_SCHEMA.names)
             .write.partitionBy("event_date")

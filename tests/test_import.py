@@ -704,7 +704,7 @@ def test_a_large_day_is_packed_into_several_files(spark, place, monkeypatch):
     assert packing.pack_events(spark, lake, total // 3, 2) == 2
     packing.remove_packed(spark, lake, datetime(2100, 1, 1))
     assert details(lake.events(spark)) == want and len(want) == 800
-    assert 2 <= len(event_files(lake)) <= 4
+    assert len(event_files(lake)) == 4
 
 
 def test_packed_events_are_pruned_by_window(spark, place):
