@@ -6,9 +6,11 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkscope.llm import jaccard, queries, toxicity
@@ -131,13 +133,77 @@ def groups(spark):
 
 def test_identity_terms_do_not_decide(spark, groups):
     docs, labels = groups
-    plain = toxicity.train(docs, labels, counterfactual=0.0)
-    fair = toxicity.train(docs, labels, counterfactual=50.0)
+    plain = toxicity.train(docs, labels, strength=0.0)
+    fair = toxicity.train(docs, labels, strength=50.0)
     gap = lambda model: abs(model.log_odds({"muslims"}, {}) - model.log_odds({"hindus"}, {}))
     assert gap(fair) < 0.3 * gap(plain)
     assert fair.log_odds(toxicity.tokens("muslims insult1 nasty people"), {}) > 0
 
 
+def test_pairs_swap_what_is_named_or_add_a_term():
+    others = toxicity.swaps((("cats", "dogs", "birds"), ("dogs", "owls")))
+    assert others == {"cats": "dogs", "dogs": "birds", "birds": "cats", "owls": "dogs"}
+    one, other = toxicity.counterfactual({"the", "cats,", "owls"}, others)
+    assert (one, other) == ({"the", "cats,", "owls"}, {"the", "dogs"})
+    added = set()
+    for n in range(200):
+        one, other = toxicity.counterfactual({"word", str(n)}, others)
+        assert one == {"word", str(n)} and len(other) == 3
+        added |= other - one
+    assert added == set(others)
+    assert len(toxicity.counterfactual(set(), others)[1]) == 1
+    assert toxicity.counterfactual({"word"}, {}) is None
+
+
+@pytest.mark.parametrize("strength", [0.0, 4.0])
+def test_the_fit_minimises_the_loss(strength):
+    """Against plain gradient descent on the loss, written out row by row."""
+    rng, size, l2, share = np.random.default_rng(3), 6, 0.01, [3.0, 1.0]
+    pick = lambda most: [int(c) for c in rng.choice(size, rng.integers(0, most), replace=False)]
+    data = [{"toxic": int(rng.integers(0, 2)), "columns": pick(5), "added": pick(3), "removed": pick(3)} for _ in range(40)]
+    kind = pa.list_(pa.int32())
+    table = pa.Table.from_pylist(data, pa.schema([("toxic", pa.int32()), ("columns", kind), ("added", kind), ("removed", kind)]))
+    total = sum(share[row["toxic"]] for row in data)
+
+    def loss(w):
+        value = l2 / 2 * sum(x * x for x in w[:size])
+        for row in data:
+            odds = w[size] + sum(w[c] for c in row["columns"])
+            change = sum(w[c] for c in row["added"]) - sum(w[c] for c in row["removed"])
+            error = np.logaddexp(0, -odds if row["toxic"] else odds)
+            value += share[row["toxic"]] / total * (error + strength * change**2)
+        return value
+
+    want = np.zeros(size + 1)
+    for _ in range(800):
+        steps = np.eye(size + 1) * 1e-5
+        want -= 0.5 * np.array([(loss(want + step) - loss(want - step)) / 2e-5 for step in steps])
+    weights, bias = toxicity._fit(table, size, strength, l2, share)
+    assert loss(np.append(weights, bias)) < loss(want) + 1e-4
+
+
+def test_mentions_of_people_change_scores_less_on_the_given_texts(spark):
+    """Toxic texts that name one group, by chance of the sample, must not make its name toxic."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    plain = toxicity.train(docs, labels)
+    assert plain.pairs >= 0.99 * toxicity.usable_labels(labels).count()
+    biased = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left").withColumn(
+        "text", F.when(F.expr("toxic = 1 AND doc_id % 2 = 0"), F.concat("text", F.lit(" musulmans"))).otherwise(F.col("text"))
+    )
+    odds = []
+    for strength in (0.0, 4.0, 50.0):
+        model = toxicity.train(biased, labels, strength=strength)
+        odds.append(abs(model.log_odds({"musulmans"}, {}) - model.log_odds({"bouddhistes"}, {})))
+    assert odds[0] > odds[1] > odds[2]
+
+
+def test_labels_without_a_document_do_not_count(spark, groups):
+    docs, labels = groups
+    more = labels.union(spark.range(5000, 9000).selectExpr("id", "1", "1"))
+    assert toxicity.train(docs, more) == toxicity.train(docs, labels)
+
+
 def test_the_bound_of_a_class_keeps_the_class_ratio(spark):
     """Texts say nothing about the label: the score is the share of toxic labels, 1 in 9."""
     rows_ = [(n, "same words here", int(n % 9 == 0)) for n in range(1800)]
