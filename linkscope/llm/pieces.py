@@ -4,14 +4,18 @@ A text is cut before blanks that follow a non-blank. No pre-token of the support
 such a place: their patterns take blanks only at the beginning of a pre-token or drop them, and
 neither normalisation nor special tokens reach across a blank. Points and commas behind a letter or
 digit begin a pre-token as well. So the pieces are encoded each on its own, and one that was seen
-before is looked up.
+before is looked up. In byte-level vocabularies the pre-tokens of a new piece go to the vocabulary's
+model, without the steps around it.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -24,6 +28,32 @@ _BLANK_RUN = re.compile(r"\s[ \n]")
 _LETTERS = frozenset(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 0x250)])) - {"\u00d7", "\u00f7"}
 
 
+# Pre-tokens of byte-level vocabularies that a piece may consist of: a line end alone, and runs of letters, of digits and
+# of marks with the blank before them. Apostrophes and other alphabets are left to the library.
+_WORD = re.compile(r"\n| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+")
+
+
+def _byte_letters(alphabet: list[str]) -> dict[int, str]:
+    """The letter that stands for each byte: itself where it has one, else the next of those above all bytes."""
+    own = {ord(letter) for letter in alphabet if ord(letter) < 256}
+    above = sorted(letter for letter in alphabet if ord(letter) >= 256)
+    return dict(zip((byte for byte in range(256) if byte not in own), above, strict=True))
+
+
+class _Seen(dict):
+    """Ids of pieces; those of a new piece are found when they are asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._encode(piece)
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = ids
+        return ids
+
+
 def _marks_stand_apart(text: str) -> bool:
     """Whether every point and comma follows a letter or digit."""
     return all(part[-1:] in _LETTERS for mark in ".," for part in text.split(mark)[:-1])
@@ -42,12 +72,45 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.drops_blanks = self._direct(["a", " a", "a \n "]) == [self._direct(["a"])[0]] * 3
         self._cache: dict[str, bytes] = {}
+        self._added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self._words = None if self.drops_blanks else self._word_encoder()
+        if self._words:
+            self._cache = _Seen(self._piece)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         """Ids without any cutting."""
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(one.ids, "<u4").tobytes() for one in encoded]
 
+    def _word_encoder(self) -> Callable[[str], bytes] | None:
+        """Encodes a pre-token by the vocabulary's model alone; None where more than the model has a say in it."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        steps = self.tokenizer.pre_tokenizer
+        kind = json.loads(steps.__getstate__()) if isinstance(steps, ByteLevel) else {}
+        if self.tokenizer.normalizer or not kind.get("use_regex") or kind.get("add_prefix_space"):
+            return None
+        if any(map(_WORD.fullmatch, self._added)):
+            return None
+        letters, model = _byte_letters(ByteLevel.alphabet()), self.tokenizer.model
+
+        def encode(word: str) -> bytes:
+            ids = [token.id for token in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        return encode
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a new piece, from those of its pre-tokens where these are plain to see."""
+        if _WORD.fullmatch(piece):
+            return self._words(piece)
+        words = _WORD.findall(piece)
+        if sum(map(len, words)) != len(piece) or " " in piece[1:] or "\n" in piece[1:]:
+            return self._direct([piece])[0]
+        if any(token in piece for token in self._added):
+            return self._direct([piece])[0]
+        return b"".join(map(self._cache.__getitem__, words))
+
     def pieces(self, text: str) -> list[str]:
         """Parts of a text whose ids, one after another, are those of the text."""
         marks = _marks_stand_apart(text)
@@ -65,6 +128,8 @@ class PieceEncoder:
         cache = self._cache
         if len(cache) > CACHED_PIECES:
             cache.clear()
+        if self._words:
+            return [b"".join(map(cache.__getitem__, self.pieces(text))) for text in texts]
         split = [self.pieces(text) for text in texts]
         missing = list(set().union(*split).difference(cache))
         cache.update(zip(missing, self._direct(missing), strict=True))

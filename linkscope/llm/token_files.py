@@ -29,15 +29,18 @@ IDS_A_BLOCK = 1 << 16
 _TEXTS_A_STEP = 64
 
 # Lengths of the four ranks that a control byte describes.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and rank bytes of some ranks."""
-    ranks = ranks.astype("<u4")
-    codes = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    used = np.arange(4) <= codes[:, None]
-    data = ranks.view(np.uint8).reshape(-1, 4)[used]
+    wide = "<u4" if ranks.max(initial=0) >= 1 << 16 else "<u2"
+    codes = (ranks >= 1 << 8).view(np.uint8)
+    if wide == "<u4":
+        codes = codes + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    size = np.dtype(wide).itemsize
+    used = np.arange(size, dtype=np.uint8) <= codes[:, None]
+    data = ranks.astype(wide).view(np.uint8)[used.reshape(-1)]
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = codes
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
@@ -47,9 +50,11 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ranks again."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    spread = np.zeros((count, 4), np.uint8)
-    spread[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return spread.reshape(-1).view("<u4")
+    wide = "<u4" if lengths.max(initial=1) > 2 else "<u2"
+    size = np.dtype(wide).itemsize
+    spread = np.zeros(count * size, np.uint8)
+    spread[(np.arange(size, dtype=np.uint8) < lengths[:, None]).reshape(-1)] = np.frombuffer(data, np.uint8)
+    return spread.view(wide).astype("<u4", copy=False)
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:

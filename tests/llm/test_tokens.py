@@ -32,6 +32,25 @@ def test_pieces_have_the_ids_of_the_text(text):
         assert np.frombuffer(encoder(path).encode([text])[0], "<u4").tolist() == ids
 
 
+_RUNS = st.sampled_from(["$$$", "!!", "-", "_", "'", "'s", "<|", "|>", "<|endoftext|>", "endoftext", "12", "9", "the", "É", "ß", "×", "ª", "ſ", "ж", "中", "\n", "\r", " "])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(_RUNS, max_size=14).map("".join))
+def test_pretokens_of_a_piece_have_its_ids(text):
+    ids = brute.tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(BYTE_BPE).encode([text])[0], "<u4").tolist() == ids
+
+
+@pytest.mark.parametrize("top", [1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1])
+def test_blocks_of_any_width(top):
+    ranks = np.array([0, top, 7, top // 2, top], "<u4")
+    control, data = token_files.pack(ranks)
+    lengths = [max(1, -(-int(n).bit_length() // 8)) for n in ranks]
+    assert data == b"".join(int(n).to_bytes(size, "little") for n, size in zip(ranks, lengths, strict=True))
+    assert token_files.unpack(control, data, len(ranks)).tolist() == ranks.tolist()
+
+
 @settings(max_examples=100, deadline=None)
 @given(TEXTS, st.data())
 def test_joins_are_exact_for_any_cores(text, data):
