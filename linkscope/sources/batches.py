@@ -321,9 +321,13 @@ class ContentSource:
         return split_lines(pending.select(*BATCH_KEYS, "content")).select(*LINE_COLUMNS)
 
 
-# A batch is read in ranges of so many bytes, each by a task of its own.
+# A batch is read in ranges of so many bytes. Small ranges share tasks of about as many bytes, once there are more
+# ranges than RANGE_TASKS.
 RANGE_BYTES = 64 << 20
+RANGE_TASKS = 200
 _READ_STEP = 1 << 20
+# What is read behind a range at first, for the line that runs beyond it.
+_READ_TAIL = 4096
 _LINE_END = re.compile(rb"\r\n|\n|\r")
 
 # (identifier, first byte, number of bytes) -> bytes, fewer only at the end; called in tasks.
@@ -334,9 +338,11 @@ def lines_of_range(read: Callable[[int, int], bytes], start: int, end: int) -> I
     """The lines that begin at bytes ``start`` to ``end - 1``; the last of them may run on beyond.
 
     Ranges that follow one another give every line of a text once, whatever their size. Lines end at LF, CR or CRLF.
+    A small range reads little beyond it, and twice as much with every step of a line that goes on.
     """
-    held = read(max(0, start - 1), _READ_STEP + 1)
-    over = len(held) <= _READ_STEP
+    step = min(_READ_STEP, end - start + _READ_TAIL)
+    held = read(max(0, start - 1), step + 1)
+    over = len(held) <= step
     base, at = max(0, start - 1), min(start, 1)
     # A line that runs across the start, or the LF of a CRLF that does, belongs to the range before.
     before, first = held[:at], held[at : at + 1]
@@ -346,8 +352,8 @@ def lines_of_range(read: Callable[[int, int], bytes], start: int, end: int) -> I
         found = _LINE_END.search(held, searched)
         # A CR at the end of what is held may be half of a CRLF.
         if not over and (found is None or found.end() == len(held)):
-            more = read(base + len(held), _READ_STEP)
-            over = len(more) < _READ_STEP
+            more = read(base + len(held), step)
+            over, step = len(more) < step, min(_READ_STEP, 2 * step)
             searched = (found.start() if found else len(held)) - at
             held, base, at = held[at:] + more, base + at, 0
             continue
@@ -376,14 +382,16 @@ class RangedSource:
     range_bytes: int = RANGE_BYTES
 
     def _ranges(self, batches: DataFrame) -> DataFrame:
-        """Rows (file_path, block_start, block_end), one partition for each, up to 100,000 of them."""
+        """Rows (file_path, block_start, block_end), a partition for each, or for about ``RANGE_BYTES`` of small ones."""
         length, step = F.col("length").cast("long"), F.lit(self.range_bytes).cast("long")
         starts = F.sequence(F.lit(0).cast("long"), F.greatest(length - 1, F.lit(0).cast("long")), step)
         ranges = batches.select(
             F.col("source_identifier").alias("file_path"), length.alias("length"), F.explode(starts).alias("block_start")
         )
         ranges = ranges.withColumn("block_end", F.least(F.col("block_start") + self.range_bytes, F.col("length")))
-        return ranges.drop("length").repartition(max(1, min(ranges.count(), 100_000)), "file_path", "block_start")
+        total = ranges.agg(F.count("*").alias("n"), F.sum(F.col("block_end") - F.col("block_start")).alias("size")).first()
+        tasks = min(total.n, max(RANGE_TASKS, -(-(total.size or 0) // RANGE_BYTES)), 100_000)
+        return ranges.drop("length").repartition(max(1, tasks), "file_path", "block_start")
 
     def batches(self, spark: SparkSession) -> DataFrame:
         loaded = self.load(spark)

@@ -195,6 +195,26 @@ def test_one_batch_is_read_and_hashed_by_many_tasks(spark, place):
     assert lake.events(spark).count() == 42
 
 
+def test_small_ranges_share_tasks_and_reads(spark):
+    """Neither the tasks nor the bytes read grow with the number of ranges."""
+    data = b"\n".join(b"line %05d" % n for n in range(20_000))
+    asked = []
+
+    def read(start, count):
+        asked.append(count)
+        return data[start : start + count]
+
+    found = []
+    for start in range(0, len(data), 1000):
+        found += batches.lines_of_range(read, start, min(start + 1000, len(data)))
+    assert found == data.split(b"\n")
+    assert sum(asked) < 6 * len(data)
+    source = batches.RangedSource("small", lambda session: None, lambda name, start, count: b"", range_bytes=100)
+    names = spark.range(20).selectExpr("concat('n', id) AS source_identifier", "10000L AS length")
+    ranges = source._ranges(names)
+    assert ranges.count() == 2000 and ranges.rdd.getNumPartitions() <= batches.RANGE_TASKS
+
+
 def test_a_committed_run_is_logged_as_such(spark, place, monkeypatch):
     root, lake = place
     (root / "x.jsonl").write_text(line())
