@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings; each can be changed on a live session.
 SETTINGS = {
@@ -61,6 +61,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/linkscope/{label}-{uuid.uuid4().hex}"
 
 
+def stage(frame: DataFrame, path: str) -> DataFrame:
+    """Store an intermediate table, packed tightly as it is read once or twice only; returns what was stored."""
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, wherever it lives."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,12 +20,13 @@ def append_events(lake: Lake, events: DataFrame, run_id: str) -> None:
     ``rebalance`` lets Spark size the output at run time: small days share a task, a day with
     a third of all rows is spread over many. Sorting by target makes row groups skippable.
     """
-    rows = events.withColumns(
-        {"run_id": F.lit(run_id), "event_date": F.to_date("timestamp_utc")}
-    ).select(*schema.STORED_EVENT_SCHEMA.names)
+    names = schema.STORED_EVENT_SCHEMA.names
+    rows = events.withColumn("event_date", F.to_date("timestamp_utc")).select(*[n for n in names if n != "run_id"])
     (
         rows.hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "agent_id", "target_id", "timestamp_utc")
+        .withColumn("run_id", F.lit(run_id))
+        .select(*names)
         .write.mode("append")
         .partitionBy("event_date")
         .parquet(lake.path("events"))

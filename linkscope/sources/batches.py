@@ -23,10 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.session import shared_folder
+from linkscope.session import shared_folder, stage
 
 BATCH_KEYS = ("source_type", "source_identifier", "fingerprint")
 LINE_COLUMNS = (*BATCH_KEYS, "line_no", "value")
+# The number of a batch in one listing. A source that finds it in ``pending`` may hand it on with the lines.
+LISTING_NO = "listing_no"
+# Numbers in one bitmap (see :func:`number_sets`).
+SET_SIZE = 32_768
 
 # The reader is given so many paths at most, and the driver holds no more.
 PATHS_A_READ = 10_000
@@ -51,6 +55,28 @@ class BatchSource(Protocol):
         """Lines of the pending batches; the columns ``LINE_COLUMNS``."""
 
 
+# -- sets of batches -----------------------------------------------------------
+
+
+def number_sets(numbered: DataFrame) -> DataFrame:
+    """The listing numbers of a frame as bitmaps: a bit for each batch, so that large rows need not be shuffled to them."""
+    return numbered.groupBy(F.expr(f"{LISTING_NO} div {SET_SIZE}").alias("number_set")).agg(
+        F.expr(f"bitmap_construct_agg({LISTING_NO} % {SET_SIZE})").alias("numbers")
+    )
+
+
+def in_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows whose listing number is in the sets. Stored sets have a known size: Spark broadcasts them unless large."""
+    byte = f"hex(substring(numbers, cast({LISTING_NO} % {SET_SIZE} div 8 AS int) + 1, 1))"
+    is_in = F.expr(f"shiftright(cast(conv({byte}, 16, 10) AS int), cast({LISTING_NO} % 8 AS int)) & 1 = 1")
+    numbered = rows.withColumn("number_set", F.expr(f"{LISTING_NO} div {SET_SIZE}"))
+    return numbered.join(sets, "number_set").filter(is_in).drop("number_set", "numbers")
+
+
+def _number_of(frame: DataFrame) -> list[str]:
+    return [LISTING_NO] if LISTING_NO in frame.columns else []
+
+
 # -- fingerprints --------------------------------------------------------------
 
 
@@ -255,8 +281,8 @@ class FileSource:
         folder = shared_folder(spark, "lines")
         if pending.isEmpty():
             return spark.createDataFrame([], _LINES)
-        with_row_numbers(self._text(spark, pending)).write.parquet(f"{folder}/rows")
-        return numbered_lines(spark, spark.read.parquet(f"{folder}/rows"), pending, folder)
+        rows = stage(with_row_numbers(self._text(spark, pending)), f"{folder}/rows")
+        return numbered_lines(rows, pending, folder)
 
 
 _LISTED = "source_type string, source_identifier string, fingerprint string, file_path string, path string, modified timestamp"
@@ -268,14 +294,14 @@ def _place() -> dict[str, Column]:
     return {"file_path": F.col("_metadata.file_path"), "block_start": F.col("_metadata.file_block_start")}
 
 
-def numbered_lines(spark: SparkSession, rows: DataFrame, pending: DataFrame, folder: str) -> DataFrame:
+def numbered_lines(rows: DataFrame, pending: DataFrame, folder: str) -> DataFrame:
     """Stored rows (file_path, block_start, row, value) as lines of the pending batches (file_path and keys)."""
     # Written, its size is known: Spark then broadcasts it, or shuffles if it is large.
-    blocks = line_blocks(rows).join(pending.select("file_path", *BATCH_KEYS), "file_path")
-    blocks.write.parquet(f"{folder}/blocks")
-    blocks = spark.read.parquet(f"{folder}/blocks")
+    number = _number_of(pending)
+    blocks = line_blocks(rows).join(pending.select("file_path", *BATCH_KEYS, *number), "file_path")
+    blocks = stage(blocks, f"{folder}/blocks")
     return rows.join(blocks, ["file_path", "block_start"]).select(
-        *BATCH_KEYS, line_number().alias("line_no"), "value"
+        *BATCH_KEYS, line_number().alias("line_no"), "value", *number
     )
 
 
@@ -318,7 +344,8 @@ class ContentSource:
         )
 
     def lines(self, spark: SparkSession, pending: DataFrame) -> DataFrame:
-        return split_lines(pending.select(*BATCH_KEYS, "content")).select(*LINE_COLUMNS)
+        number = _number_of(pending)
+        return split_lines(pending.select(*BATCH_KEYS, *number, "content")).select(*LINE_COLUMNS, *number)
 
 
 # A batch is read in ranges of so many bytes. Small ranges share tasks of about as many bytes, once there are more
@@ -435,9 +462,9 @@ class RangedSource:
                     yield _record_batch(rows, schema)
 
         rows = self._ranges(pending).mapInArrow(split, "file_path string, block_start long, row long, value string")
-        rows.write.parquet(f"{folder}/rows")
-        keys = pending.select(F.col("source_identifier").alias("file_path"), *BATCH_KEYS)
-        return numbered_lines(spark, spark.read.parquet(f"{folder}/rows"), keys, folder)
+        rows = stage(rows, f"{folder}/rows")
+        keys = pending.select(F.col("source_identifier").alias("file_path"), *BATCH_KEYS, *_number_of(pending))
+        return numbered_lines(rows, keys, folder)
 
 
 def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

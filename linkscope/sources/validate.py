@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from linkscope import schema
 from linkscope.functions.events import is_object, utc_timestamp
-from linkscope.sources.batches import BATCH_KEYS
+from linkscope.sources.batches import BATCH_KEYS, LISTING_NO
 
 EMPTY_BATCH = "Batch did not contain any event lines."
 BROKEN_BODY = "Body is not a JSON document."
@@ -172,14 +172,20 @@ def _rule(column: str, wire: str, typed: Column, kind: Column) -> Column:
 
 
 def gate_batches(checked: DataFrame, batches: DataFrame, keys: tuple[str, ...] = BATCH_KEYS) -> DataFrame:
-    """One verdict per batch: a bad line, or no event line, rejects all of it."""
-    verdicts = checked.groupBy(*keys).agg(
+    """One verdict per batch: a bad line, or no event line, rejects all of it.
+
+    Lines and batches that bear their number in the listing meet by that instead of the keys, and verdicts keep it.
+    """
+    number = [LISTING_NO] if LISTING_NO in checked.columns and LISTING_NO in batches.columns else []
+    by = number or list(keys)
+    verdicts = checked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line_no"))).alias("first_error"),
     )
-    joined = batches.select(*keys).join(verdicts, list(keys), "left")
+    joined = batches.select(*keys, *number).join(verdicts, by, "left")
     return joined.select(
         *keys,
+        *number,
         F.coalesce("event_count", F.lit(0)).alias("event_count"),
         F.when(F.col("event_count").isNull(), F.lit(EMPTY_BATCH)).otherwise(F.col("first_error")).alias("error"),
     )

@@ -215,6 +215,24 @@ def test_small_ranges_share_tasks_and_reads(spark):
     assert ranges.count() == 2000 and ranges.rdd.getNumPartitions() <= batches.RANGE_TASKS
 
 
+def test_new_batches_are_told_without_shuffling_their_text(spark, place):
+    """Each new batch once, the one listed first; only keys are shuffled, and nothing but numbers is stored."""
+    root, _ = place
+    listed = spark.range(90_000, numPartitions=3).selectExpr(
+        "'x' AS source_type", "concat('b', id % 80000) AS source_identifier", "'f' AS fingerprint", "repeat('t', 5) AS content",
+        f"id + if(id >= 60000, 1L << 33, 0) AS {batches.LISTING_NO}",
+    )
+    listed.write.parquet(f"{root}/listing")
+    listing = spark.read.parquet(f"{root}/listing")
+    ledger = spark.range(0, 80_000, 3).selectExpr("'x' AS source_type", "concat('b', id) AS source_identifier", "'f' AS fingerprint")
+    pending = importing.pending_batches(listing, ledger, f"{root}/pending")
+    found = pending.select("source_identifier", batches.LISTING_NO, "content").collect()
+    want = {f"b{n}": n + ((1 << 33) if n >= 60_000 else 0) for n in range(80_000) if n % 3}
+    assert len(found) == len(want) and {r.source_identifier: r[batches.LISTING_NO] for r in found} == want
+    assert all(r.content == "ttttt" for r in found)
+    assert "hashpartitioning" not in pending._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_committed_run_is_logged_as_such(spark, place, monkeypatch):
     root, lake = place
     (root / "x.jsonl").write_text(line())
