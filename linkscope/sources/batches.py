@@ -136,22 +136,59 @@ def line_hashes(text: DataFrame) -> DataFrame:
     return with_row_numbers(text).select("file_path", "block_start", "row", F.sha2("value", 256).alias("hash"))
 
 
-def tree_fingerprints(hashes: DataFrame) -> DataFrame:
-    """``file_path`` and ``fingerprint`` of files whose :func:`line_hashes` were stored.
+def joined_hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file_path, block, line_no, hash) with one row for lines of a block that follow one another in a task.
+
+    ``hash`` is the text of their hashes, or, where they are all lines of a full block (``whole``), its SHA-256.
+    """
+    held: list = []  # the run at the end of what was read: file_path, block, line_no and texts of its lines
+    done: list[tuple] = []
+
+    def close() -> None:
+        if held:
+            path, block, first, texts = held
+            whole = len(texts) == TREE_LINES
+            text = "".join(texts)
+            done.append((path, block, first, hashlib.sha256(text.encode()).hexdigest() if whole else text, whole))
+
+    for part in parts:
+        for path, block, line_no, text in zip(*(part[n].to_pylist() for n in range(4)), strict=True):
+            if held and line_no == held[2] + len(held[3]) and block == held[1] and path == held[0]:
+                held[3].append(text)
+            else:
+                close()
+                held = [path, block, line_no, [text]]
+            if len(done) == 1000:
+                yield _record_batch(done, _JOINED)
+                done.clear()
+    close()
+    yield _record_batch(done, _JOINED)
+
+
+_JOINED = pa.schema(
+    [("file_path", pa.string()), ("block", pa.int64()), ("line_no", pa.int64()), ("hash", pa.string()), ("whole", pa.bool_())]
+)
+
+
+def tree_fingerprints(hashes: DataFrame, splits: DataFrame) -> DataFrame:
+    """``file_path`` and ``fingerprint`` of files whose :func:`line_hashes` and :func:`line_blocks` were stored.
 
     The SHA-256 of the SHA-256s of blocks of 4,096 lines, each of which hashes its lines' SHA-256s one after
     another. Blocks follow line numbers, so how a file was split does not change the result, and no task holds
-    more than a block or the list of a file's blocks. Line ends do not count.
+    more than a block or the list of a file's blocks. Full blocks are hashed in the task that reads their lines, and
+    only blocks that tasks share are shuffled. Line ends do not count.
     """
-    numbered = hashes.join(line_blocks(hashes), ["file_path", "block_start"])
+    numbered = hashes.join(splits, ["file_path", "block_start"])
     block = F.expr(f"(row - first_row + earlier) div {TREE_LINES}").alias("block")
-    joined = "sha2(listagg(hash) WITHIN GROUP (ORDER BY {0}), 256)"
+    joined = "listagg(hash) WITHIN GROUP (ORDER BY {0})"
     blocks = (
         numbered.select("file_path", block, line_number().alias("line_no"), "hash")
+        .mapInArrow(joined_hashes, "file_path string, block long, line_no long, hash string, whole boolean")
         .groupBy("file_path", "block")
-        .agg(F.expr(joined.format("line_no")).alias("hash"))
+        .agg(F.expr(joined.format("line_no")).alias("hash"), F.expr("bool_or(whole)").alias("whole"))
+        .withColumn("hash", F.expr("if(whole, hash, sha2(hash, 256))"))
     )
-    return blocks.groupBy("file_path").agg(F.expr(joined.format("block")).alias("fingerprint"))
+    return blocks.groupBy("file_path").agg(F.sha2(F.expr(joined.format("block")), 256).alias("fingerprint"))
 
 
 # -- files ---------------------------------------------------------------------
@@ -248,12 +285,11 @@ class FileSource:
         )
         folder = shared_folder(spark, "hashes")
         large = listed(found.filter(F.col("length") > self.whole_bytes), F.lit("")).drop("fingerprint")
-        large.write.parquet(f"{folder}/files")
-        large = spark.read.parquet(f"{folder}/files")
+        large = stage(large, f"{folder}/files")
         if large.isEmpty():
             return whole
-        line_hashes(self._text(spark, large)).write.parquet(f"{folder}/lines")
-        trees = tree_fingerprints(spark.read.parquet(f"{folder}/lines"))
+        hashes = stage(line_hashes(self._text(spark, large)), f"{folder}/lines")
+        trees = tree_fingerprints(hashes, stage(line_blocks(hashes), f"{folder}/splits"))
         return whole.unionByName(large.join(trees, "file_path"))
 
     def _text(self, spark: SparkSession, files: DataFrame) -> DataFrame:

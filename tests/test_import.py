@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 from random import Random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,31 @@ def test_new_batches_are_told_without_shuffling_their_text(spark, place):
     assert "hashpartitioning" not in pending._jdf.queryExecution().executedPlan().toString()
 
 
+def test_full_blocks_are_hashed_where_their_lines_are_read(spark, place):
+    """A tree of lines shuffles a row for each block, not for each line, however the text is split."""
+    root, _ = place
+    rows = [f"line {n}" for n in range(3 * batches.TREE_LINES + 5)]
+    (root / "a.jsonl").write_text("\n".join(rows))
+    blocks = [rows[at : at + batches.TREE_LINES] for at in range(0, len(rows), batches.TREE_LINES)]
+    want = sha("".join(sha("".join(map(sha, block))) for block in blocks))
+    for n, size in enumerate(("128m", "20000")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            text = spark.read.text(str(root), pathGlobFilter="*.jsonl")
+            text = text.select("value", *[column.alias(name) for name, column in batches._place().items()])
+            batches.line_hashes(text).write.parquet(f"{root}/h{n}")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        hashes = spark.read.parquet(f"{root}/h{n}")
+        batches.line_blocks(hashes).write.parquet(f"{root}/s{n}")
+        (row,) = batches.tree_fingerprints(hashes, spark.read.parquet(f"{root}/s{n}")).collect()
+        assert row.fingerprint == want
+    columns = [[str(root)] * len(rows), [n // batches.TREE_LINES for n in range(len(rows))], [*range(1, len(rows) + 1)], list(map(sha, rows))]
+    part = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["file_path", "block", "line_no", "hash"])
+    found = [row for out in batches.joined_hashes(iter([part.slice(0, 100), part.slice(100)])) for row in out.to_pylist()]
+    assert [(row["line_no"], row["whole"]) for row in found] == [(1, True), (4097, True), (8193, True), (12289, False)]
+
+
 def test_a_committed_run_is_logged_as_such(spark, place, monkeypatch):
     root, lake = place
     (root / "x.jsonl").write_text(line())
