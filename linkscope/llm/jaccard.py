@@ -10,7 +10,8 @@ fullest ranges first, which are the least likely to agree by chance. A set also
 next band if a similar set can be that large.
 
 Equal sets are one node. Inside a signature group every node is compared with the smallest one, or with
-the smallest of its batch, which is compared with that. Where all of them link, the group is settled. A node
+the smallest of its batch, which is compared with that. Counts of both sets by parts of the hash domain tell most
+unlike pairs; only the others bring their sets together. Where all of them link, the group is settled. A node
 that fails, or whose batch's smallest node fails, is compared with all other nodes of its
 family (what signature groups connect), but for those of sizes that rule a link out: blocks of failed
 nodes meet blocks of the family in tasks that count common shingles through an index of the block
@@ -40,6 +41,8 @@ SPARE = 1.25
 MEMBERS_A_TASK = 4000
 SHINGLES_A_BLOCK = 500_000
 _TEXTS_A_STEP = 128
+# Parts of the hash domain that a sketch counts: 256, at a byte each.
+SKETCH_BITS = 8
 
 
 def differences(a: int, b: int, percent: int) -> int:
@@ -220,22 +223,76 @@ def _held(table: np.ndarray, node: int) -> bool:
     return bool(maybe_in(table, np.array([node], np.int64).view(np.uint64))[0])
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many elements of a sorted set lie in each of equal parts of the hash domain; 255 for that many or more."""
+    parts = (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return np.minimum(np.bincount(parts, minlength=1 << SKETCH_BITS), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For rows of sketches of two sets and the sum of their sizes: whether the sets can have the similarity.
+
+    Two sets share no more elements than the smaller count of each part; never False for sets that have it.
+    """
+    least = np.minimum(one, other).astype(np.int64)
+    least[least == 255] = 1 << 40  # both reach the bound, so nothing is known
+    common = least.sum(axis=1)
+    return 100 * common >= percent * (sizes - common)
+
+
+def _screen(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with both heads, and whether their sketches leave a link possible; sets themselves stay where they are."""
+    fields = pa.schema([("node", pa.int64()), ("head", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+
+    def describe(batches: Batches) -> Batches:
+        for batch in batches:
+            found = [np.frombuffer(shingles.as_buffer(), np.uint64) for shingles in batch["shingles"]]
+            columns = {"n": [len(hashes) for hashes in found], "sketch": [sketch(hashes) for hashes in found]}
+            yield _arrow({"node": batch["node"], "head": batch["head"], **columns}, fields)
+
+    sketches = staged(sets.mapInArrow(describe, "node bigint, head bigint, n bigint, sketch binary"), "jaccard-sketches")
+    both = pairs.join(sketches, "node").join(sketches.toDF("centre", "centre_head", "centre_n", "centre_sketch"), "centre")
+    schema = pa.schema([(name, pa.int64()) for name in ("high", "low", "centre", "node", "head")] + [("possible", pa.bool_())])
+
+    def screen(batches: Batches) -> Batches:
+        for batch in batches:
+            one, other = (
+                np.frombuffer(b"".join(batch[name].to_pylist()), np.uint8).reshape(-1, 1 << SKETCH_BITS)
+                for name in ("sketch", "centre_sketch")
+            )
+            sizes, heads, centres = (batch[n].to_numpy() for n in ("n", "head", "centre_head"))
+            columns = {
+                "high": np.maximum(heads, centres),
+                "low": np.minimum(heads, centres),
+                **{name: batch[name] for name in ("centre", "node", "head")},
+                "possible": may_be_similar(one, other, sizes + batch["centre_n"].to_numpy(), percent),
+            }
+            yield _arrow(columns, schema)
+
+    screened = both.where("head <> centre_head").mapInArrow(
+        screen, "high bigint, low bigint, centre bigint, node bigint, head bigint, possible boolean"
+    )
+    return staged(screened, "jaccard-screened")
+
+
 def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compare each node with its centre: their heads as high and low, both nodes, the node's head, and linked.
 
-    Rows of a centre are dealt out in shares of bounded size; its set goes first in each of them.
+    Only sets of pairs that their sketches leave possible are shuffled, by one join. Rows of a centre are dealt out
+    in shares of bounded size; its set goes first in each of them.
     """
+    screened = _screen(pairs, sets, percent)
+    possible = screened.where("possible").select("centre", "node").distinct()
     shares = (F.floor((F.col("members") - 1) / MEMBERS_A_TASK) + 1).cast("int")
-    centres = pairs.groupBy("centre").agg(F.count("*").alias("members")).withColumn("shares", shares)
-    first = (
-        centres.join(sets.withColumnRenamed("node", "centre"), "centre")
-        .select("centre", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "head", "shingles")
-        .select("centre", "share", F.lit(None).cast("long").alias("node"), "head", "shingles")
+    centres = possible.groupBy("centre").agg(F.count("*").alias("members")).withColumn("shares", shares)
+    first = centres.select(
+        "centre",
+        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        F.col("centre").alias("node"),
+        F.lit(0).alias("kind"),
     )
-    others = (
-        pairs.join(centres, "centre")
-        .join(sets, "node")
-        .select("centre", F.pmod(F.hash("node"), "shares").alias("share"), "node", "head", "shingles")
+    others = possible.join(centres, "centre").select(
+        "centre", F.pmod(F.hash("node"), "shares").alias("share"), "node", F.lit(1).alias("kind")
     )
     schema = pa.schema([(name, pa.int64()) for name in ("high", "low", "centre", "node", "head")] + [("linked", pa.bool_())])
 
@@ -243,11 +300,11 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         key, held = None, []
         for batch in batches:
             out = []
-            names = ("centre", "share", "node", "head")
+            names = ("centre", "share", "node", "head", "kind")
             columns = zip(*(batch[name].to_pylist() for name in names), batch["shingles"], strict=True)
-            for centre, share, node, head, shingles in columns:
+            for centre, share, node, head, kind, shingles in columns:
                 hashes = np.frombuffer(shingles.as_buffer(), np.uint64)
-                if node is None:
+                if kind == 0:
                     if key != (centre, share):
                         key, held = (centre, share), []
                     held.append((head, hashes.copy()))
@@ -263,15 +320,17 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ordered = (
         first.union(others)
+        .join(sets, "node")
         .repartition("centre", "share")
-        .sortWithinPartitions("centre", "share", F.col("node").asc_nulls_first())
+        .sortWithinPartitions("centre", "share", "kind")
     )
-    return staged(
+    compared = staged(
         ordered.mapInArrow(
             compare, "high bigint, low bigint, centre bigint, node bigint, head bigint, linked boolean"
         ),
         "jaccard-judged",
     )
+    return compared.union(screened.where("not possible").withColumnRenamed("possible", "linked"))
 
 
 class Block:

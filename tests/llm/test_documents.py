@@ -34,6 +34,28 @@ def test_similar_sets_share_a_signature(common, left, right, percent, seed):
     assert jaccard.similar(one, other, percent) == (100 * len(np.intersect1d(one, other)) >= percent * together)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 40_000), st.integers(0, 2**32))
+def test_sketches_never_rule_out_a_link(common, left, right, crowd, seed):
+    """Also where one part of the hash domain holds more elements than a sketch can count."""
+    random = np.random.default_rng(seed)
+    values = np.unique(random.integers(0, 2**64, common + left + right, np.uint64))
+    random.shuffle(values)
+    crowded = np.arange(crowd, dtype=np.uint64) + np.uint64(3 << 56)
+    one, other = (np.unique(np.concatenate((part, crowded))) for part in (values[: common + left], np.concatenate((values[:common], values[common + left :]))))
+    counts = [np.frombuffer(jaccard.sketch(part), np.uint8)[None, :] for part in (one, other)]
+    possible = jaccard.may_be_similar(*counts, np.array([len(one) + len(other)]), 85)[0]
+    assert possible or not jaccard.similar(one, other, 85)
+
+
+def test_sketches_tell_unlike_sets():
+    """Pairs that meet by chance are told without their sets: 2,000 elements each, a tenth of them shared."""
+    values = np.random.default_rng(1).integers(0, 2**64, 3800, np.uint64)
+    one, other = np.sort(values[:2000]), np.sort(values[1800:])
+    counts = [np.frombuffer(jaccard.sketch(part), np.uint8)[None, :] for part in (one, other)]
+    assert not jaccard.may_be_similar(*counts, np.array([4000]), 85)[0]
+
+
 def test_sets_have_the_right_sizes(documents):
     texts = [text or "" for _, text in documents] + ["", "One", "one TWO", "\t\n", "a b c d a b c d", "y" * 9000 + " z"]
     for width in (4, 5):
