@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkscope.llm import bpe, jaccard, mixing, toxicity
 from linkscope.llm.queries import prepare, table, tokenizer
-from linkscope.llm.staging import staged
+from linkscope.llm.staging import may_be_in, membership_filter, staged
 from linkscope.llm.words import word_count
 
 
@@ -29,11 +29,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     doc_id names nothing, so rows without one all stay.
     """
     prepare(spark)
-    found = jaccard.near_duplicates(docs, width=5, percent=80)
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    found = jaccard.near_duplicates(docs, width=5, percent=80).where("doc_id IS NOT NULL")
+    ids = staged(
+        found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.expr("doc_id = component_id")).alias("head")),
+        "pipeline-ids",
+    )
+    # All rows but those that may be no head or repeat a doc_id stay without a shuffle of their texts.
+    doubtful = membership_filter(ids.where("rows > 1 OR NOT head"), F.xxhash64("doc_id"))
+    doubt = F.col("doc_id").isNotNull() & may_be_in(doubtful, F.xxhash64(F.col("doc_id").cast("long")))
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(heads, "doc_id").withColumn("place", F.row_number().over(first)).where("place = 1")
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL").select(docs.columns))
+    heads = ids.where("head").select("doc_id")
+    kept = docs.where(doubt).join(heads, "doc_id").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return kept.select(docs.columns).union(docs.where(~doubt).select(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

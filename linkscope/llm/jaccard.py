@@ -5,9 +5,11 @@ Two sets of sizes a and b with Jaccard similarity t or more differ in at most
 of the hash domain into P ranges (groups of two halves, of which one is enumerated at a time).
 A signature is a band, a range and the set's content in that range. Similar sets of a band
 agree in all ranges but those with differing elements, H at most, so they share one of their first
-H + 1 signatures in any order that depends on the signatures alone. The order here takes the
-fullest ranges first, which are the least likely to agree by chance. A set also takes part in the
-next band if a similar set can be that large.
+H + 1 signatures in any order that depends on the signatures alone. The order here takes ranges with
+a rare shingle first, as all that share a licence or another passage agree in ranges that hold nothing else, and
+of these the fullest ones, which are the least likely to agree by chance. Common shingles are those that several
+sets of one batch hold; which of them are found decides about the order only, not about links. A set also
+takes part in the next band if a similar set can be that large.
 
 Equal sets are one node. Inside a signature group every node is compared with the smallest one, or with
 the smallest of its batch, which is compared with that. Counts of both sets by parts of the hash domain tell most
@@ -15,8 +17,11 @@ unlike pairs; only the others bring their sets together. Where all of them link,
 that fails, or whose batch's smallest node fails, is compared with all other nodes of its
 family (what signature groups connect), but for those of sizes that rule a link out: blocks of failed
 nodes meet blocks of the family in tasks that count common shingles through an index of the block
-and return no more links than connect it. No link between unconnected nodes is left out, and the
-pairs of a group of copies are never written.
+and return no more links than connect it. Families of two nodes have nothing left to compare. No link between
+unconnected nodes is left out, and the pairs of a group of copies are never written.
+
+Blocks are dealt without their sets, which join the dealt rows last, and joins take only the sets that they need. What
+is stored between is deleted when the components are known.
 """
 
 from __future__ import annotations
@@ -26,13 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkscope.llm.components import components
 from linkscope.llm.shingles import mix, set_digest, shingle_sets
-from linkscope.llm.staging import maybe_in, membership_filter, staged
+from linkscope.llm.staging import may_be_in, maybe_in, membership_filter, staged
+from linkscope.session import scratch, shared_folder
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -41,6 +48,8 @@ SPARE = 1.25
 MEMBERS_A_TASK = 4000
 SHINGLES_A_BLOCK = 500_000
 _TEXTS_A_STEP = 128
+# A shingle is common when so many different sets of a batch hold it.
+COMMON_SETS = 4
 # Parts of the hash domain that a sketch counts: 256, at a byte each.
 SKETCH_BITS = 8
 
@@ -56,8 +65,16 @@ def partitions(band: int, percent: int) -> int:
     return 1 if most == 0 else 2 * int(np.ceil(SPARE * (most + 1) / 2))
 
 
-def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted set."""
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """Shingles that ``COMMON_SETS`` or more of the sets hold, sorted."""
+    values = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+    ahead = values[COMMON_SETS - 1 :]
+    return np.unique(ahead[ahead == values[: len(ahead)]])
+
+
+def signatures(hashes: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of a sorted set; ``common`` tells which of its elements are common."""
+    rare = np.ones(len(hashes), bool) if common is None else ~common
     size = len(hashes)
     if not size:
         return np.zeros(0, np.uint64)
@@ -73,7 +90,9 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
         place = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         counts = np.bincount(place, minlength=ranges)
         ends = np.cumsum(counts)
-        chosen = np.argsort(-counts, kind="stable")[:wanted]
+        # Ranges with a rare element first, then the fullest: as a signature's content has it.
+        passages = np.bincount(place[rare], minlength=ranges) == 0
+        chosen = np.argsort(np.where(passages, size + 1, 0) - counts, kind="stable")[:wanted]
         content = running[ends[chosen]] - running[ends[chosen] - counts[chosen]]
         name = (np.uint64(band) << np.uint64(40)) + chosen.astype(np.uint64)
         found.append(mix(content + mix(name + np.uint64(1))))
@@ -144,6 +163,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     other than doc_id and text are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    spark = docs.sparkSession
     described = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
 
     def describe(batches: Batches) -> Batches:
@@ -157,9 +177,35 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
                 "low": [digest[1] for digest in digests],
             }
             yield _arrow(columns, described)
+            # A row for each common shingle, told by a size that no set has.
+            found = common_shingles(list(dict(zip(digests, sets, strict=True)).values())).view(np.int64)
+            nothing = pa.nulls(len(found), pa.int64())
+            yield _arrow(
+                {"doc_id": nothing, "n": np.full(len(found), -1), "high": found, "low": nothing}, described
+            )
 
-    rows = staged(texts.mapInArrow(describe, "doc_id bigint, n bigint, high bigint, low bigint"), "jaccard-rows")
+    first = staged(texts.mapInArrow(describe, "doc_id bigint, n bigint, high bigint, low bigint"), "jaccard-rows")
+    rows = first.where("n >= 0")
     nodes = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"))
+    place = shared_folder(spark, "jaccard-components")
+    with scratch(spark, "jaccard"):
+        grouped = staged(
+            components(_links(texts, nodes, membership_filter(first.where("n < 0"), F.col("high")), width, percent)),
+            "jaccard-components",
+            path=place,
+        )
+    labelled = nodes.join(grouped, F.col("head") == F.col("node"), "left").select(
+        "high", "low", F.coalesce("component", "head").alias("component")
+    )
+    return rows.join(labelled, ["high", "low"], "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def _links(texts: DataFrame, nodes: DataFrame, common: Broadcast, width: int, percent: int) -> DataFrame:
+    """Heads (high, low) of linked nodes, as many as connect all that are linked; ``common``: a filter of common shingles."""
 
     def route(batches: Batches) -> Batches:
         for batch in batches:
@@ -167,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
             for _, hashes in _sets(batch, width):
                 node = set_digest(hashes)[0]
                 if len(hashes) and node not in found:
-                    found[node] = signatures(hashes, percent)
+                    found[node] = signatures(hashes, percent, maybe_in(common.value, hashes))
             yield _routes(found)
 
     in_group = W.partitionBy("signature")
@@ -208,15 +254,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     links = judged.where("linked").select("high", "low")
     if judged.where("not linked").limit(1).count():
         links = links.union(_rest(judged, sets, percent))
-    grouped = components(links)
-    labelled = nodes.join(grouped, F.col("head") == F.col("node"), "left").select(
-        "high", "low", F.coalesce("component", "head").alias("component")
-    )
-    return rows.join(labelled, ["high", "low"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return links
+
+
+def _wanted(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of ``nodes``, and few others: a join by node shuffles no more than these."""
+    return sets.where(may_be_in(membership_filter(nodes, F.col("node")), F.col("node")))
 
 
 def _held(table: np.ndarray, node: int) -> bool:
@@ -320,7 +363,7 @@ def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ordered = (
         first.union(others)
-        .join(sets, "node")
+        .join(_wanted(sets, possible.select("node").union(possible.select("centre"))), "node")
         .repartition("centre", "share")
         .sortWithinPartitions("centre", "share", "kind")
     )
@@ -366,27 +409,34 @@ def _rest(judged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     missed = judged.where("not linked").select("node", "head")
     behind = judged.join(missed.select(F.col("node").alias("centre")).distinct(), "centre", "left_semi").select("head")
     failed = missed.select("head").union(behind).distinct()
-    open_families = failed.join(families, "head").select("family").distinct()
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    members = staged(
-        sets.join(families.join(open_families, "family"), "head")
+    placed = staged(
+        sets.select("node", "head", F.expr("octet_length(shingles) div 8").alias("n"))
+        .join(families, "head")
         .join(linked, "head", "left")
         .join(failed.withColumn("failed", F.lit(True)), "head", "left")
-        .withColumn("n", F.expr("octet_length(shingles) div 8"))
         .select(
             "family",
             band.alias("band"),
+            "node",
             "head",
             F.coalesce("component", "head").alias("component"),
             F.coalesce("failed", F.lit(False)).alias("failed"),
             "n",
-            "shingles",
         ),
-        "jaccard-family",
+        "jaccard-placed",
+    )
+    # Two nodes have met already, and nodes of one component need no more links.
+    open_families = (
+        placed.groupBy("family")
+        .agg(F.count("*").alias("rows"), F.expr("max(failed) AND min(component) < max(component)").alias("open"))
+        .where("open AND rows > 2")
+        .select("family")
     )
+    members = staged(placed.join(open_families, "family"), "jaccard-family")
     # A failed node can only link to sizes of its own band and the two beside it.
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-    failed_rows = members.where("failed").select("family", near, "head", "component", "n", "shingles")
+    failed_rows = members.where("failed").select("family", near, "node", "head", "component", "n")
 
     def blocks(frame: DataFrame, name: str) -> DataFrame:
         count = F.ceil(F.sum("n") / SHINGLES_A_BLOCK).cast("int").alias(name)
@@ -401,19 +451,20 @@ def _rest(judged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             "band",
             F.pmod(F.hash("head"), own_count).alias(own),
             F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(others),
+            "node",
             "head",
             "component",
-            "shingles",
         )
 
     stream = (
         dealt(members, "block", "fail_block", "blocks", "fail_blocks")
-        .select(*key, "head", "component", "shingles", F.lit(0).alias("kind"))
+        .select(*key, "node", "head", "component", F.lit(0).alias("kind"))
         .union(
             dealt(failed_rows, "fail_block", "block", "fail_blocks", "blocks").select(
-                *key, "head", "component", "shingles", F.lit(1).alias("kind")
+                *key, "node", "head", "component", F.lit(1).alias("kind")
             )
         )
+        .join(_wanted(sets, members).select("node", "shingles"), "node")
         .repartition(*key)
         .sortWithinPartitions(*key, "kind")
     )

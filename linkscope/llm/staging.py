@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
+import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,19 +15,37 @@ from linkscope.session import remove_folder, shared_folder
 
 _STAGED: list[str] = []
 
+# Spark deletes the shuffle files of an action at its end, instead of when the driver collects its garbage.
+_DELETE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Bits of a membership filter: 2 MB, however large the corpus is.
 FILTER_BITS = 24
 
 
-def staged(frame: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_DELETE_SHUFFLES, None)
+    spark.conf.set(_DELETE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DELETE_SHUFFLES)
+        else:
+            spark.conf.set(_DELETE_SHUFFLES, before)
+
+
+def staged(frame: DataFrame, label: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Write a frame once to the folder that all executors share, and read it back.
 
     What depends on the result is fixed from then on: a lost executor rereads files instead of
-    recomputing rows, so row numbers and partition numbers stored in them cannot change.
+    recomputing rows, so row numbers and partition numbers stored in them cannot change. The shuffle
+    files of the frame are deleted as soon as it is written. ``path`` is a folder that was taken before.
     """
     spark = frame.sparkSession
-    path = shared_folder(spark, label)
-    frame.write.option("compression", codec).parquet(path)
+    path = path or shared_folder(spark, label)
+    with _shuffles_deleted(spark):
+        frame.write.option("compression", codec).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -57,3 +79,14 @@ def maybe_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     shift = np.uint64(64 - (len(table).bit_length() + 5))
     slots = hashes.astype(np.uint64, copy=False) >> shift
     return (table[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def may_be_in(filter_: Broadcast, value: Column) -> Column:
+    """``maybe_in`` as a column: rows that a join need not shuffle are left out by it first."""
+
+    @F.pandas_udf("boolean")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            yield pd.Series(maybe_in(filter_.value, hashes.to_numpy(np.int64).view(np.uint64)))
+
+    return held(value)
