@@ -48,8 +48,9 @@ SPARE = 1.25
 MEMBERS_A_TASK = 4000
 SHINGLES_A_BLOCK = 500_000
 _TEXTS_A_STEP = 128
-# A shingle is common when so many different sets of a batch hold it.
+# A shingle is common when so many different sets of a batch hold it, or of a part of a batch with so many shingles.
 COMMON_SETS = 4
+SHINGLES_AT_ONCE = 4_000_000
 # Parts of the hash domain that a sketch counts: 256, at a byte each.
 SKETCH_BITS = 8
 
@@ -67,7 +68,8 @@ def partitions(band: int, percent: int) -> int:
 
 def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
     """Shingles that ``COMMON_SETS`` or more of the sets hold, sorted."""
-    values = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+    values = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    values.sort()
     ahead = values[COMMON_SETS - 1 :]
     return np.unique(ahead[ahead == values[: len(ahead)]])
 
@@ -168,21 +170,25 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
 
     def describe(batches: Batches) -> Batches:
         for batch in batches:
-            sets = [hashes for _, hashes in _sets(batch, width)]
-            digests = [set_digest(hashes) for hashes in sets]
-            columns = {
-                "doc_id": batch["doc_id"],
-                "n": [len(hashes) for hashes in sets],
-                "high": [digest[0] for digest in digests],
-                "low": [digest[1] for digest in digests],
-            }
-            yield _arrow(columns, described)
+            sizes, digests, common = [], [], []
+            held: dict[tuple[int, int], np.ndarray] = {}
+            total = 0
+            for _, hashes in _sets(batch, width):
+                digest = set_digest(hashes)
+                sizes.append(len(hashes))
+                digests.append(digest)
+                held[digest] = hashes
+                total += len(hashes)
+                if total >= SHINGLES_AT_ONCE:
+                    common.append(common_shingles(list(held.values())))
+                    held, total = {}, 0
+            common.append(common_shingles(list(held.values())))
+            high, low = ([digest[n] for digest in digests] for n in (0, 1))
+            yield _arrow({"doc_id": batch["doc_id"], "n": sizes, "high": high, "low": low}, described)
             # A row for each common shingle, told by a size that no set has.
-            found = common_shingles(list(dict(zip(digests, sets, strict=True)).values())).view(np.int64)
+            found = np.unique(np.concatenate(common)).view(np.int64)
             nothing = pa.nulls(len(found), pa.int64())
-            yield _arrow(
-                {"doc_id": nothing, "n": np.full(len(found), -1), "high": found, "low": nothing}, described
-            )
+            yield _arrow({"doc_id": nothing, "n": np.full(len(found), -1), "high": found, "low": nothing}, described)
 
     first = staged(texts.mapInArrow(describe, "doc_id bigint, n bigint, high bigint, low bigint"), "jaccard-rows")
     rows = first.where("n >= 0")

@@ -49,8 +49,10 @@ def test_similar_sets_share_a_signature_whatever_is_common(common, left, right,
         assert found[0] & found[1]
 
 
-def test_a_common_passage_connects_nothing(spark, stored):
+@pytest.mark.parametrize("at_once", [4_000_000, 3000])
+def test_a_common_passage_connects_nothing(spark, stored, monkeypatch, at_once):
     """Texts with a licence in common and no other words are no candidates: before, they were one family."""
+    monkeypatch.setattr(jaccard, "SHINGLES_AT_ONCE", at_once)
     licence = " ".join(f"licence{n}" for n in range(80))
     docs = [(d, " ".join(f"d{d}w{n}" for n in range(150 + 5 * (d % 9))) + " " + licence) for d in range(60)]
     parts = spark.sparkContext.parallelize(docs, 2)
